@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import runs
+from tracewright.llm import mojibake, runs
 from tracewright.session import table
 
 
@@ -23,5 +23,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_runs(spark, sf_dir).where("events >= 2").select("src", "log_id", "first_idx", "last_idx")
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs}
+def _texts(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    """The free texts as (source, rec_id, text)."""
+    found = {
+        "line": ("parsed_log_line", "line_id", "raw"),
+        "gold": ("strategy_c_gold_cases", "case_id", "text"),
+        "changelog": ("changelog_item", "item_id", "changelog"),
+    }
+    parts = [table(spark, sf_dir, t).select(F.lit(s).alias("source"), F.col(k).alias("rec_id"), F.col(c).alias("text")) for s, (t, k, c) in found.items() if s in sources]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def p3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with foreign characters: its chain and its restored text."""
+    return mojibake.repair(_texts(spark, sf_dir, "line", "gold"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records damaged by a wrong decoding."""
+    return p3_repair(spark, sf_dir).where("damaged").select(F.col("source").alias("src"), "rec_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs}
 SQL: dict[str, str] = {}
