@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mojibake, runs
+from tracewright.llm import mojibake, pii, runs
 from tracewright.session import table
 
 
@@ -37,6 +37,18 @@ def _texts(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
     return out
 
 
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with personal data: its kinds and the text with placeholders."""
+    t = _texts(spark, sf_dir, "line", "gold", "changelog")
+    t = t.withColumn("head", F.when(F.col("source") == "line", pii.head_length(F.col("text"))).otherwise(0))
+    return pii.redact(t)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of personal data in each record."""
+    return p1_redacted(spark, sf_dir).select(F.col("source").alias("src"), "rec_id", F.explode("kinds").alias("kind"))
+
+
 def p3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record with foreign characters: its chain and its restored text."""
     return mojibake.repair(_texts(spark, sf_dir, "line", "gold"))
@@ -47,5 +59,5 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_repair(spark, sf_dir).where("damaged").select(F.col("source").alias("src"), "rec_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs}
 SQL: dict[str, str] = {}
