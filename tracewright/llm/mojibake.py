@@ -13,6 +13,7 @@ Only texts with non-ASCII characters can be damaged; the others are not read.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,6 +58,11 @@ def _byte_table(codec: str) -> dict[int, str]:
 
 
 TABLES = {c: _byte_table(c) for c in SINGLE}
+#: The characters that each codec reads from the bytes above 127; those among
+#: them that begin a UTF-8 sequence, and those that go on with one.
+MAPPED = {c: frozenset(chr(i) for i, b in t.items() if "\x80" <= b <= "\xff") for c, t in TABLES.items()}
+LEADS = {c: frozenset(chr(i) for i, b in t.items() if "\xc2" <= b <= "\xf4") for c, t in TABLES.items()}
+FOLLOW = {c: frozenset(chr(i) for i, b in t.items() if "\x80" <= b <= "\xbf") for c, t in TABLES.items()}
 _CLASS: dict[str, str] = {}
 # Characters in a class, for an even share of its probability.
 SIZES = {"a": 26, "A": 26, "0": 10, "C1": 32, "hi": 83, "ka": 90, "hk": 63, "fw": 94, "hg": 2350, "hr": 8800, "h1": 4800, "h2": 16000, "pu": 6400, "ff": 1, "ot": 20000, "cy": 200}
@@ -110,6 +116,21 @@ def _char_class(c: str) -> str:
     return "pu" if 0xE000 <= o < 0xF900 else "ot"
 
 
+class _Pairs(dict):
+    """Two characters -> their log probability, worked out when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, two: str) -> float:
+        v = self[two] = self.model.logp(char_class(two[0]), char_class(two[1]))
+        return v
+
+    def __reduce__(self):
+        return (_Pairs, (None,), {"model": self.model})
+
+
 class Model:
     """Class-pair language model with interpolated smoothing, and the log shares of the chains."""
 
@@ -125,6 +146,8 @@ class Model:
         self.uni = {c: (n + 0.05) / (total + 100) for c, n in one.items()}
         self.floor = 0.05 / (total + 100)
         self.memo: dict[tuple[str, str], float] = {}
+        self.seen: dict[tuple[str, str], tuple] = {}
+        self.by_chars = _Pairs(self)
 
     def logp(self, a: str, b: str) -> float:
         v = self.memo.get((a, b))
@@ -135,14 +158,8 @@ class Model:
         return v
 
     def score(self, text: str) -> float:
-        total, a = 0.0, " "
-        get, memo = _CLASS.get, self.memo
-        for c in text:
-            b = get(c) or char_class(c)
-            v = memo.get((a, b))
-            total += self.logp(a, b) if v is None else v
-            a = b
-        return total
+        t = " " + text
+        return sum(map(self.by_chars.__getitem__, map(operator.add, t, text)))
 
     def share(self, source: str, chain: str) -> float:
         own = self.shares.get(source, {})
@@ -219,6 +236,15 @@ def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float]:
 #: drawing, four foreign Latin characters in a row, capitals within Cyrillic
 #: words, control and private characters.  Such texts don't count at the start.
 _ODD = re.compile("[^\\W\\d_][\u2500-\u259f]|[\u2500-\u259f][^\\W\\d_]|[\xa1-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4}|[\u0430-\u045f][\u0410-\u042f]|[\x80-\x9f\ue000-\uf8ff\ufffd]")
+def _possible(foreign: set[str], chain: tuple[str, ...], wide: bool) -> bool:
+    """False where undoing the chain can't change a text with these non-ASCII characters."""
+    if chain[0] not in TABLES:
+        return wide
+    if chain[1] == "utf-8":
+        return not LEADS[chain[0]].isdisjoint(foreign) and not FOLLOW[chain[0]].isdisjoint(foreign)
+    return not MAPPED[chain[0]].isdisjoint(foreign)
+
+
 _FOREIGN = re.compile("[\x80-\U0010ffff](?:.*[\x80-\U0010ffff])?", re.S)
 
 
@@ -229,11 +255,27 @@ def posterior(whole: str, source: str, model: Model) -> tuple[str, str, float]:
         return _SOUND, whole, 0.0
     # All that can change lies between the first and the last non-ASCII character and a few after it.
     lo, hi = max(0, m.start() - 1), min(len(whole), m.end() + 2)
-    text = whole[lo:hi]
+    key = (source, whole[lo:hi])
+    found = model.seen.get(key)
+    if found is None:
+        if len(model.seen) > 20_000:
+            model.seen.clear()
+        found = model.seen[key] = _posterior(whole[lo:hi], source, model)
+    return found[0], whole[:lo] + found[1] + whole[hi:], found[2]
+
+
+def _posterior(text: str, source: str, model: Model) -> tuple[str, str, float]:
     sound = model.share(source, _SOUND)
     name, best, top, total = _SOUND, text, sound, 1.0
+    foreign = {c for c in text if c > "\x7f"}
+    wide = any(c >= "\u2e80" for c in foreign)
+    once = True
     for chain in CHAINS:
+        if not _possible(foreign, chain, wide) or len(chain) > 2 and not once:
+            continue
         fixed, gain = undo(text, chain, model)
+        if chain == CHAINS[0]:
+            once = fixed is not text
         if gain <= 0:
             continue
         s = model.share(source, "|".join(chain)) + gain
@@ -242,8 +284,8 @@ def posterior(whole: str, source: str, model: Model) -> tuple[str, str, float]:
             top, name, best = s, "|".join(chain), fixed
     p = 1 - 1 / total
     if "\ufffd" in text:
-        return (name if name != _SOUND else _LOST), whole[:lo] + best + whole[hi:], 1.0
-    return name, whole[:lo] + best + whole[hi:], p
+        return (name if name != _SOUND else _LOST), best, 1.0
+    return name, best, p
 
 
 def _count_pairs(text: str, pairs: Counter) -> None:
@@ -341,7 +383,7 @@ def repair(records: DataFrame, rounds: int = 1) -> DataFrame:
     some = records.select("source", "rec_id", "text").where("octet_length(text) <> length(text)")
     some = stage_table(some.distinct(), "mojibake")
     model = fit(some.select("source", "text"), rounds)
-    model.memo.clear()
+    model = Model(model.pairs, model.shares)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
