@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mojibake, pii, runs
+from tracewright.llm import langid, mojibake, pii, runs
 from tracewright.session import table
 
 
@@ -59,5 +59,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_repair(spark, sf_dir).where("damaged").select(F.col("source").alias("src"), "rec_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs}
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages and the stretches of each document."""
+    return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_list"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of documents whose label is missing or wrong, or that have several."""
+    d = p8_languages(spark, sf_dir)
+    d = d.where((F.size("langs") > 1) | F.col("code").isNull() | ~F.array_contains("langs", F.col("code")))
+    return d.select("doc_id", F.explode("langs").alias("lang"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {}
