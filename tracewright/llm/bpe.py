@@ -7,8 +7,8 @@ literal map; then every text looks its words up.  Decoding concatenates the
 binary pieces of the ids.
 
 Bytes are handled as characters U+0000 to U+00FF (ISO 8859-1), so that pieces
-are strings.  Literal maps are hash tables: an array of buckets of (key, value),
-found by ``xxhash64``, as looking up a plain map literal reads all its keys.
+are strings.  Literal maps are open-addressed hash tables in a few literal
+arrays, as looking up a plain map literal reads all its keys.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.session import stage_table
@@ -28,9 +28,11 @@ DEFAULT_DIR = "/opt/tokenizers"
 # Fixed value: the pattern of the public tokenizer, with white space spelled out (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: A table of words up to this size (characters of words and ids) is looked up as a literal; a larger one is joined.
-LITERAL_BOUND = 24_000_000
+#: So many of the most frequent words, of at most ``HOT_LENGTH`` characters, are looked up in a literal; the rest are joined.
+HOT_WORDS = 300_000
+HOT_LENGTH = 64
 NONE = 2**31 - 1
+PROBES = 8
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -39,19 +41,44 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read_bytes().splitlines()) if a}
 
 
-def hash_table(entries: Iterable[tuple[str, object]], value_type: str, buckets: int) -> Column:
-    """A literal array of buckets of (key, value); the size of ``entries`` is the caller's to check."""
-    cells: list[list] = [[] for _ in range(buckets)]
-    for k, v in entries:
-        cells[xxhash.xxh64_intdigest(k.encode("utf-8"), seed=42) % buckets].append({"k": k, "v": v})  # as Spark's xxhash64
-    return F.from_json(F.lit(json.dumps(cells, ensure_ascii=False)), f"array<array<struct<k: string, v: {value_type}>>>")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hash_table(entries: list[tuple[str, object]], value_type: str) -> Column:
+    """A literal hash table of (key, value): a key's place is among the
+    ``PROBES`` slots from the low bits of its hash on.  The size of ``entries``
+    is the caller's to check."""
+    hashes = [xxhash.xxh64_intdigest(k.encode("utf-8"), seed=42) for k, _ in entries]  # as Spark's xxhash64
+    slots = 1 << max(4, (len(entries) * 3).bit_length())
+    while True:
+        at: list[int | None] = [None] * (slots + PROBES)
+        for e, h in enumerate(hashes):
+            i = h & (slots - 1)
+            free = next((j for j in range(i, i + PROBES) if at[j] is None), None)
+            if free is None:
+                break
+            at[free] = e
+        else:
+            break
+        slots *= 2
+    signed = [None if e is None else hashes[e] - (1 << 64 if hashes[e] >> 63 else 0) for e in at]
+    table = {"mask": slots - 1, "hash": signed, "entry": [0 if e is None else e for e in at], "key": [k for k, _ in entries], "value": [v for _, v in entries]}
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"struct<mask: bigint, hash: array<bigint>, entry: array<int>, key: array<string>, value: array<{value_type}>>")
+
+
+def look_up(table: Column, key: Column) -> Column:
+    """The value of ``key`` in a hash table; null without one."""
+
+    def probe(h: Column) -> Column:
+        i = h.bitwiseAND(table["mask"]).cast("int")
+        return let(F.array_position(F.slice(table["hash"], i + 1, F.lit(PROBES)), h).cast("int"), lambda p: F.when(p > 0, at(F.get(table["entry"], i + p - 1))))
 
+    def at(e: Column) -> Column:
+        return F.when(F.get(table["key"], e) == key, F.get(table["value"], e))
 
-def look_up(table: Column, key: Column, buckets: int) -> Column:
-    """The value of ``key`` in a literal hash table; null without one.  The
-    number of buckets is a power of two, so the hash's low bits are the bucket."""
-    hits = F.filter(F.get(table, F.xxhash64(key).bitwiseAND(F.lit(buckets - 1)).cast("int")), lambda e: e["k"] == key)
-    return F.get(hits, F.lit(0))["v"]
+    return let(F.xxhash64(key), probe)
 
 
 def as_bytes(text: Column) -> Column:
@@ -59,17 +86,12 @@ def as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def fold_merges(word: Column, rank: Column, buckets: int) -> Column:
+def fold_merges(word: Column, rank: Column) -> Column:
     """The ids of a word (as bytes): the pair of lowest rank merges, the
     leftmost first, until no pair has a rank."""
 
     def rank_of(piece: Column) -> Column:
-        return F.coalesce(look_up(rank, piece, buckets), F.lit(NONE))
+        return F.coalesce(look_up(rank, piece), F.lit(NONE))
 
     none = F.array().cast("array<int>")
     parts = F.filter(F.split(word, ""), lambda c: c != "")
@@ -94,15 +116,13 @@ def fold_merges(word: Column, rank: Column, buckets: int) -> Column:
 
     start = F.struct(parts.alias("p"), pair_ranks.alias("r"))
     done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step)
-    whole = look_up(rank, word, buckets)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(done["p"], lambda x: look_up(rank, x, buckets)))
+    whole = look_up(rank, word)
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(done["p"], lambda x: look_up(rank, x)))
 
 
-def rank_table(path: str | None = None) -> tuple[Column, int]:
+def rank_table(path: str | None = None) -> Column:
     """The ranks as a literal hash table; its size is that of the vocabulary."""
-    ranks = load_ranks(path)
-    buckets = 1 << (len(ranks) * 2).bit_length()
-    return hash_table(((k.decode("latin-1"), v) for k, v in ranks.items()), "int", buckets), buckets
+    return hash_table([(k.decode("latin-1"), v) for k, v in load_ranks(path).items()], "int")
 
 
 def words_of(text: Column) -> Column:
@@ -110,13 +130,13 @@ def words_of(text: Column) -> Column:
 
 
 def encode_words(words: DataFrame, path: str | None = None) -> DataFrame:
-    """``word, ids`` for the distinct non-null words of a column ``word``."""
-    rank, buckets = rank_table(path)
-    w = words.where("word is not null and word <> ''").select("word").distinct().withColumn("bytes", as_bytes(F.col("word")))
-    return w.select("word", fold_merges(F.col("bytes"), rank, buckets).alias("ids"))
+    """``word, n, ids`` for the distinct words of a column ``word``, with their
+    numbers of rows; null and empty words are left out."""
+    w = words.where("word is not null and word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return w.select("word", "n", let(rank_table(path), lambda rank: fold_merges(as_bytes(F.col("word")), rank)).alias("ids"))
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, literal_bound: int = LITERAL_BOUND) -> DataFrame:
+def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
     """``key, ids`` for each row: the token ids of its text, without special tokens.
 
     Null and empty texts have no ids (an empty list); a blank text has the ids
@@ -124,39 +144,37 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Repeated rows are encoded each for itself; an empty table gives an empty
     result; other columns, whatever their names, are not read.
 
-    The encoded words are written once.  If their measured size is within
-    ``literal_bound``, texts look them up in a literal hash table without any
-    shuffle; beyond it, the distinct words of each text are joined with them
-    (salted, so that a word of a third of all texts spreads over many tasks)
-    and handed back to the text.
+    The encoded words are written once.  The ``hot_words`` most frequent of
+    them are looked up in a literal hash table, without any shuffle.  Only if
+    there are more, the texts' other words, each of which is rarer than any of
+    those, are joined with theirs and handed back to the texts, so no key of
+    that join is hot.
     """
     d = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     encoded = stage_table(encode_words(d.select(F.explode(words_of(F.col("text"))).alias("word")), path), "bpe-words")
-    size = encoded.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("word") + F.size("ids")), F.lit(0)).alias("chars")).first()
-    if size.chars <= literal_bound:
-        buckets = 1 << (max(size.n, 1) * 2).bit_length()
-        table = hash_table(((r.word, list(r.ids)) for r in encoded.collect()), "array<int>", buckets)
-        return d.select(F.col(key), F.flatten(F.transform(words_of(F.col("text")), lambda w: look_up(table, w, buckets))).alias("ids"))
-    return _join_words(d, key, encoded)
-
-
-def _join_words(d: DataFrame, key: str, encoded: DataFrame, salts: int = 16) -> DataFrame:
-    """The way for any number of words: ids come to each text through a join."""
-    rows = d.select(F.col(key), F.expr("uuid()").alias("row"), words_of(F.col("text")).alias("words"))
-    rows = stage_table(rows, "bpe-rows")
-    salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
-    need = rows.select("row", salt.alias("salt"), F.explode(F.array_distinct("words")).alias("word"))
-    have = encoded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    got = need.join(have, ["word", "salt"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
-    out = rows.join(got, "row", "left")
-    return out.select(F.col(key), F.coalesce(F.flatten(F.transform("words", lambda w: F.try_element_at("m", w))), F.array().cast("array<int>")).alias("ids"))
-
-
-def decode_ids(ids: Column, spark: SparkSession, path: str | None = None) -> Column:
+    short = F.length("word") <= HOT_LENGTH
+    hot = encoded.where(short).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").collect()
+    total = encoded.count()
+    table = hash_table([(r.word, list(r.ids)) for r in hot], "array<int>")
+    words = words_of(F.col("text"))
+    if total == len(hot):
+        return d.select(F.col(key), let(table, lambda t: F.flatten(F.transform(words, lambda w: look_up(t, w)))).alias("ids"))
+    # A text is known by its digest in the join; copies share one row of it.
+    d = d.withColumn("digest", F.sha2(F.col("text"), 256))
+    cold = let(table, lambda t: F.filter(F.array_distinct(words), lambda w: look_up(t, w).isNull()))
+    need = d.select("digest", F.explode(cold).alias("word")).distinct()
+    got = need.join(encoded.select("word", "ids"), "word").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
+    out = d.join(got, "digest", "left")
+    ids = let(table, lambda t: F.flatten(F.transform(words, lambda w: F.coalesce(look_up(t, w), F.try_element_at("m", w)))))
+    return out.select(F.col(key), ids.alias("ids"))
+
+
+def decode_ids(ids: Column, path: str | None = None) -> Column:
     """The text of a list of ids: the binary pieces are concatenated and read as UTF-8."""
-    pieces = [""] * (max(load_ranks(path).values()) + 1)
-    for k, v in load_ranks(path).items():
+    ranks = load_ranks(path)
+    pieces = [""] * (max(ranks.values()) + 1)
+    for k, v in ranks.items():
         pieces[v] = k.decode("latin-1")
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    whole = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    whole = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
     return F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8")

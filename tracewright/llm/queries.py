@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import langid, mojibake, pii, runs
+from tracewright.llm import bpe, langid, mojibake, pii, runs
 from tracewright.session import table
 
 
@@ -59,6 +59,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_repair(spark, sf_dir).where("damaged").select(F.col("source").alias("src"), "rec_id").distinct()
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded again."""
+    return p6_ids(spark, sf_dir).select("doc_id", bpe.decode_ids(F.col("ids")).alias("text"))
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages and the stretches of each document."""
     return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_list"))
@@ -71,5 +81,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode("langs").alias("lang"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p8_found": p8_found, "p8_languages": p8_languages}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p8_found": p8_found, "p8_languages": p8_languages}
+SQL: dict[str, str] = {
+    # Encoding and decoding gives every text back.
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
