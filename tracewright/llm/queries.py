@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, langid, mojibake, pii, runs
-from tracewright.session import table
+from tracewright.llm import bpe, langid, mojibake, packing, pii, runs
+from tracewright.session import stage_table, table
 
 
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,19 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_ids(spark, sf_dir).select("doc_id", bpe.decode_ids(F.col("ids")).alias("text"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text, or of each of its parts, for each capacity."""
+    sizes = stage_table(p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")), "packing-sizes")
+    return packing.fill_containers(sizes, table(spark, sf_dir, "context_window"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity: containers used, the fewest possible and the share filled."""
+    c = p7_containers(spark, sf_dir).where("container is not null").groupBy("window_id", "capacity", "container").agg(F.sum("n_tokens").alias("tokens"))
+    g = c.groupBy("window_id", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return g.withColumns({"fewest": F.ceil(F.col("tokens") / F.col("capacity")), "filled": F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6)})
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages and the stretches of each document."""
     return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_list"))
@@ -81,7 +94,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode("langs").alias("lang"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {
     # Encoding and decoding gives every text back.
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
