@@ -29,7 +29,7 @@ DEFAULT_DIR = "/opt/tokenizers"
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: So many of the most frequent words, of at most ``HOT_LENGTH`` characters, are looked up in a literal; the rest are joined.
-HOT_WORDS = 300_000
+HOT_WORDS = 20_000
 HOT_LENGTH = 64
 NONE = 2**31 - 1
 PROBES = 8
