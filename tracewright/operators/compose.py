@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.functions.profile import GAME_PROFILE, SignalProfile
 from tracewright.operators.selection import by_file, error_windows, first_hits, head_tail, in_order, select_lines, termination
+from tracewright.session import stage_table
 
 TAIL, BODY = "连续重复", "重复"
 
@@ -117,7 +118,9 @@ def extract_c(recs: DataFrame, limit: int = 140_000, profile: SignalProfile = GA
     Files within the budget are composed natively; only the others go through
     the cascade, one file a time (a file is bounded by the input cap)."""
     size = profile.head_tail if head is None else head
-    sel = select_lines(recs, profile, window, head)
+    # The selection has several readers; its narrow rows are written once.
+    need = ["file", "idx", "raw", "body", "severity", "thread", "logger", "timestamp", "score", "is_noise", "f_ending", "f_actionable", "selected", "s_priority", "n_lines", "fallback"]
+    sel = stage_table(select_lines(recs, profile, window, head).select(*need), "selection")
     end = termination(sel, profile).select("file", "note")
     keyed = fold_keys(sel, profile, size).where("selected or s_priority").select("file", "idx", "mode", "key", "out", "score", "selected", "s_priority", "n_lines", "fallback")
     body = compose(fold_groups(keyed.where("selected")))

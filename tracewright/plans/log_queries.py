@@ -1,4 +1,492 @@
-"""Queries of the log operators (placeholder until they are built)."""
+"""Queries of the log, lookup, usage and evaluation operators, with their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Every query runs over its whole tables.  ``NOW`` is a fixed moment, as no
+operator reads the clock.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewright.functions import report as R
+from tracewright.functions import text as T
+from tracewright.functions.profile import GAME, GAME_PROFILE
+from tracewright.operators import compose, evaluate, lookup, selection, usage
+from tracewright.session import table
+from tracewright.sources import files
+
+NOW = 1746000000.0
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all logs; repeated deliveries once."""
+    return table(spark, sf_dir, "parsed_log_line").select(F.col("log_id").alias("file"), F.col("line_idx").alias("idx"), F.col("raw").alias("text")).distinct()
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.records(_lines(spark, sf_dir))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_lines(_records(spark, sf_dir))
+
+
+def log_parse_prefix(spark, sf_dir):
+    """The fields of each line's bracket prefix."""
+    return _lines(spark, sf_dir).select("file", "idx", T.parse_prefix(F.col("text")).alias("p")).select("file", "idx", "p.body", "p.severity", "p.thread", "p.logger", "p.timestamp")
+
+
+def log_format(spark, sf_dir):
+    """Each line with a compact prefix."""
+    return _lines(spark, sf_dir).select("file", "idx", T.format_line(T.parse_prefix(F.col("text"))).alias("line"))
+
+
+def log_fold_keys(spark, sf_dir):
+    """Fold keys and throwable signatures of each line."""
+    b = T.strip_prefix(F.col("text"))
+    return _lines(spark, sf_dir).select("file", "idx", T.body_fold_key(b).alias("body_key"), T.tail_fold_key(F.col("text")).alias("tail_key"), T.throwable_signature(b).alias("signature"))
+
+
+def log_score_lines(spark, sf_dir):
+    """points and noise of each line."""
+    return _records(spark, sf_dir).select("file", "idx", "score", "is_noise")
+
+
+def log_select_windows(spark, sf_dir):
+    """Head, tail and the windows around scored lines."""
+    r = _records(spark, sf_dir)
+    c = {"ends": selection.head_tail(180), **{f"near_{n}": selection.near(F.col("score") >= s, n) for s, n in GAME_PROFILE.radii}}
+    return r.select("file", "idx", "score").withColumns(c).drop("score")
+
+
+def log_block_runs(spark, sf_dir):
+    """Stack-trace blocks."""
+    r = selection.flags(_records(spark, sf_dir)).withColumn("in_block", selection.block_runs(F.col("f_seed"), F.col("f_cont")))
+    return r.select("file", "idx", "in_block")
+
+
+def log_error_windows_capped(spark, sf_dir):
+    """Windows around the first 300 error lines."""
+    return _records(spark, sf_dir).select("file", "idx", "raw").withColumn("near_error", selection.error_windows(F.col("raw"), 8, 300)).drop("raw")
+
+
+def log_must_keep(spark, sf_dir):
+    """Anchors with their windows, priority evidence, noise."""
+    return _selected(spark, sf_dir).select("file", "idx", "p_anchor", "s_must", "s_priority", "s_noise")
+
+
+def log_first_k_signatures(spark, sf_dir):
+    """The lines of the first 32 distinct throwables of each log."""
+    return _selected(spark, sf_dir).where("p_keep").select("file", "idx", "f_signature")
+
+
+def log_select(spark, sf_dir):
+    """The lines chosen for the extract."""
+    return _selected(spark, sf_dir).select("file", "idx", "s_score", "s_focus", "fallback", "selected")
+
+
+def log_noise_prune(spark, sf_dir):
+    """noise lines without points and without a failure near a reload."""
+    r = selection.flags(_records(spark, sf_dir)).withColumn("pruned", selection.pruned_noise())
+    return r.select("file", "idx", "pruned")
+
+
+def log_fold_groups(spark, sf_dir):
+    """Runs of lines that differ in their timestamp only."""
+    r = _records(spark, sf_dir)
+    k = r.withColumns({"mode": F.lit("tail"), "key": T.tail_fold_key(F.col("raw")), "out": F.col("raw")})
+    return compose.fold_groups(k)
+
+
+def log_compose(spark, sf_dir):
+    """Error windows with gap markers, one text a log."""
+    return compose.compose_lines(_records(spark, sf_dir), selection.error_windows(F.col("raw"), 8, 300))
+
+
+def log_budget_extract(spark, sf_dir):
+    """Evidence extracts of at most 6000 characters."""
+    return compose.extract_c(_records(spark, sf_dir), limit=6000)
+
+
+def log_extract(spark, sf_dir):
+    """W15 with the usual budget."""
+    return compose.extract_c(_records(spark, sf_dir))
+
+
+def log_extract_b(spark, sf_dir):
+    """Strategy B: whole short logs, ends and error windows of long ones."""
+    return compose.extract_b(_records(spark, sf_dir))
+
+
+def log_error_focused(spark, sf_dir):
+    """The error-focused text of each log."""
+    return compose.error_focused(_records(spark, sf_dir))
+
+
+def log_sections_a(spark, sf_dir):
+    """The labelled sections of crash reports, from the gold texts."""
+    g = table(spark, sf_dir, "strategy_c_gold_cases").select("case_id", "text").distinct()
+    lines = g.select(F.col("case_id").alias("file"), F.posexplode(T.lines_of(F.col("text"))).alias("idx", "raw"))
+    return compose.sections_a(lines, "crash")
+
+
+def log_termination(spark, sf_dir):
+    """How each log ended."""
+    return selection.termination(_records(spark, sf_dir))
+
+
+def log_stats(spark, sf_dir):
+    """Points and noise of each log."""
+    return selection.noise_stats(_records(spark, sf_dir))
+
+
+def log_fallback_flag(spark, sf_dir):
+    """F8: logs whose extract falls back to the error focus."""
+    s = selection.noise_stats(_records(spark, sf_dir)).join(_lines(spark, sf_dir).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines")), "file")
+    return s.select("file", ((F.col("key_hits") <= 0) | ((F.col("n_lines") >= 300) & (F.col("strong_hits") <= 0))).alias("fallback"))
+
+
+def log_is_run_log(spark, sf_dir):
+    """whether the first 80 lines look like a run log."""
+    return selection.looks_like_run_log(_lines(spark, sf_dir), "file", "idx", "text")
+
+
+def log_redact(spark, sf_dir):
+    """Each line without paths, addresses and secrets."""
+    return _lines(spark, sf_dir).select("file", "idx", T.redact(T.redact_extract(F.col("text"))).alias("line"))
+
+
+def strategy_route(spark, sf_dir):
+    """What each run's source name calls for."""
+    r = table(spark, sf_dir, "run_report").select("run_id", "source_name").distinct()
+    return r.select("run_id", T.name_strategy(F.col("source_name")).alias("strategy"), files.route(F.col("source_name")).alias("route"), T.sanitize_name(F.col("source_name")).alias("safe_name"))
+
+
+def priority_file_pick(spark, sf_dir):
+    """The file to read first among those of a session."""
+    r = table(spark, sf_dir, "run_report").select(F.col("session_id").alias("archive"), F.col("source_name").alias("name"), F.length("source_name").alias("chars"), F.col("log_id").alias("ord")).distinct()
+    return lookup.priority_file(r.where("archive is not null and name is not null")).select("archive", "name", "ord", "group")
+
+
+def archive_display_names(spark, sf_dir):
+    """Distinct display names of a session's files."""
+    r = table(spark, sf_dir, "run_report").select(F.col("session_id").alias("archive"), F.col("source_name").alias("display"), F.col("log_id").alias("ord")).distinct()
+    return lookup.display_names(r)
+
+
+def doc_lines(spark, sf_dir):
+    """The lines of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("pos", "line"))
+
+
+def doc_report_metrics(spark, sf_dir):
+    """Metrics of each report and what makes an answer suspect."""
+    m = T.report_metrics(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", m["claim_type"].alias("claim"), m["needs_more_info"].alias("needs_more_info"), m["root_cause_stability_key"].alias("stability_key"), T.suspect_output(F.col("text")).alias("suspect"))
+
+
+def doc_report_sections(spark, sf_dir):
+    """Reports brought to their four sections."""
+    return R.normalize_report(table(spark, sf_dir, "documents").where("text is not null"), "doc_id")
+
+
+def doc_code_blocks(spark, sf_dir):
+    """The fenced blocks of each document and their message."""
+    b = T.code_blocks(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(b).alias("blocks"), F.length(R.code_message(b)).alias("message_chars")).where("blocks > 0")
+
+
+def doc_instruction_lines(spark, sf_dir):
+    """Lines that look like instructions."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.instruction_lines(F.col("text"))).alias("line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def doc_exact_dedupe(spark, sf_dir):
+    """The first document of each text."""
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("digest", F.sha2("text", 256))
+    return lookup.first_per_key(d.select("doc_id", "digest"), "digest", "doc_id")
+
+
+def changelog_keys(spark, sf_dir):
+    """Canonical forms of each release note's fields."""
+    c = table(spark, sf_dir, "changelog_item").select("item_id", "project_slug", "version_number", "name", "changelog", "loaders").distinct()
+    return c.select(
+        "item_id", T.title_signature(F.col("name")).alias("title_key"), T.slug(F.col("project_slug")).alias("slug"), F.array_join(F.array_sort(T.version_tokens(F.array("version_number"))), " ").alias("tokens"),
+        F.array_join(F.transform(F.coalesce("loaders", F.array().cast("array<string>")), T.normalize_loader), " ").alias("loaders"), F.length(T.clean_text(F.col("changelog"), 3000)).alias("chars"), T.only_generic(F.col("changelog")).alias("generic"),
+    )
+
+
+def changelog_urls(spark, sf_dir):
+    """Canonical addresses and repositories of release notes."""
+    c = table(spark, sf_dir, "changelog_item").select("item_id", "url").distinct()
+    return c.select("item_id", T.canonical_url(F.col("url")).alias("url_key"), T.repository_of(F.col("url")).alias("repository"))
+
+
+def changelog_first_per_url(spark, sf_dir):
+    """The first note of each address."""
+    c = table(spark, sf_dir, "changelog_item").where("url is not null").select("item_id", "url").distinct()
+    return lookup.first_per_key(c, "url", "item_id")
+
+
+def search_greedy_dedupe(spark, sf_dir):
+    """Notes of one version kept across sources."""
+    c = table(spark, sf_dir, "changelog_item").select("item_id", "project_id", "version_number", "source", "url", "name").distinct().where("project_id is not null and version_number is not null")
+    q = F.concat_ws("@", "project_id", "version_number")
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("source"))
+    items = c.select(q.alias("query_id"), F.coalesce("source", F.lit("")).alias("source"), F.col("item_id").alias("pos"), T.canonical_url(F.col("url")).alias("url_key"), T.title_signature(F.col("name")).alias("title_key")).withColumn("source_rank", rank)
+    return lookup.dedupe_stats(items, lookup.greedy_dedupe(items))
+
+
+def newest_changelogs(spark, sf_dir):
+    """L2: the 8 newest notes with a text of each project, by version id where the date can't be read."""
+    c = table(spark, sf_dir, "changelog_item").select("item_id", "project_id", "date_published", "changelog").distinct().where("trim(changelog) <> '' and project_id is not null")
+    return lookup.top_per_key(c.withColumn("at", T.parse_time(F.col("date_published"))), "project_id", 8, F.desc("at"), "item_id").select("project_id", "item_id", "rank")
+
+
+def newer_than_anchor_topk(spark, sf_dir):
+    """Per customer the 8 newest orders after the first."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    first = lookup.first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey")
+    return lookup.newer_than(o, first, "o_custkey", "o_orderdate", "o_orderkey", 8)
+
+
+def path_resolution_tiers(spark, sf_dir):
+    """Requests by base name in other letters among a project's files."""
+    c = table(spark, sf_dir, "changelog_item").where("project_id is not null and version_number is not null and source is not null")
+    f = c.select(F.col("project_id").alias("archive"), F.concat_ws("/", "source", F.concat("version_number", F.lit(".jar"))).alias("path")).distinct()
+    r = f.select("archive", F.upper(F.regexp_extract("path", r"([^/]*)$", 1)).alias("requested")).distinct()
+    return lookup.resolve_paths(r, f)
+
+
+def usage_windows(spark, sf_dir):
+    """A1, T4: usage totals of the records kept for 90 days."""
+    r = table(spark, sf_dir, "mc_log_token_stats").distinct()
+    return usage.usage_totals(usage.retained(r, NOW), NOW)
+
+
+def usage_by_user(spark, sf_dir):
+    """A2: the 20 greatest users."""
+    return usage.usage_by(table(spark, sf_dir, "mc_log_token_stats").distinct(), "uid")
+
+
+def usage_by_session(spark, sf_dir):
+    """A2: all sessions by usage."""
+    return usage.usage_by(table(spark, sf_dir, "mc_log_token_stats").distinct(), "session_id", None)
+
+
+def rate_limit_accept(spark, sf_dir):
+    """Events accepted at one per user and 6 hours."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return usage.accept_rate(e, "user", "at", 6 * 3600.0).select("event_id", "accepted")
+
+
+def cache_live_entries(spark, sf_dir):
+    """The 10 newest entries of each sender of the last 90 days."""
+    r = table(spark, sf_dir, "run_report").distinct().where("sender_id is not null").withColumn("at", F.unix_micros(F.col("run_ts").cast("timestamp")) / 1e6)
+    return usage.live_entries(r, "sender_id", "at", NOW, 90 * 86400.0, 10, "run_id").select("sender_id", "run_id", "rank")
+
+
+def cache_has_recent(spark, sf_dir):
+    """Senders with a run of the last 30 days."""
+    r = table(spark, sf_dir, "run_report").where("sender_id is not null").withColumn("at", F.unix_micros(F.col("run_ts").cast("timestamp")) / 1e6)
+    return usage.has_recent(r, "sender_id", "at", NOW, 30 * 86400.0)
+
+
+def session_filter_block(spark, sf_dir):
+    """runs of sessions that no retry was recorded for."""
+    listed = table(spark, sf_dir, "mc_log_token_stats").where("source = 'retry' and session_id is not null").select(F.col("session_id").alias("session")).distinct()
+    r = table(spark, sf_dir, "run_report").distinct().select("run_id", "log_id", F.array("session_id").alias("c"))
+    return usage.filter_sessions(r, "c", listed, "blacklist").select("run_id", "log_id")
+
+
+def evidence_lookup(spark, sf_dir):
+    """The notes that each project's judgement cites."""
+    c = table(spark, sf_dir, "changelog_item").where("evidence_id is not null")
+    notes = c.groupBy(F.concat_ws("/", "project_id", "evidence_id").alias("evidence_id")).agg(F.min_by(F.struct("source", "version_number", "url", "changelog"), "item_id").alias("x")).select("evidence_id", "x.*")
+    j = notes.groupBy(F.substring_index("evidence_id", "/", 1).alias("judgement_id")).agg(F.transform(F.slice(F.array_sort(F.collect_set("evidence_id")), 1, 6), lambda e: F.struct(e.alias("evidence_id"), F.lit("cited").alias("quote"))).alias("evidence"))
+    return lookup.cite_evidence(j, notes).select("judgement_id", "pos", "evidence_id", "generic")
+
+
+def _evaluated(spark, sf_dir):
+    g = table(spark, sf_dir, "strategy_c_gold_cases").distinct()
+    return evaluate.evaluate(g, F.col("text"))
+
+
+def eval_recall(spark, sf_dir):
+    """Recalls of each gold case in its own text."""
+    m = ("root_recall", "support_recall", "signature_recall", "culprit_recall", "noise_leak")
+    return _evaluated(spark, sf_dir).select("case_id", *[F.round(c, 9).alias(c) for c in m], "success")
+
+
+def eval_macro_grouped(spark, sf_dir):
+    """Macro means over all cases, by loader and by kind."""
+    return evaluate.summarize(_evaluated(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        log_parse_prefix, log_format, log_fold_keys, log_score_lines, log_select_windows, log_block_runs, log_error_windows_capped, log_must_keep, log_first_k_signatures, log_select, log_noise_prune,
+        log_fold_groups, log_compose, log_budget_extract, log_extract, log_extract_b, log_error_focused, log_sections_a, log_termination, log_stats, log_fallback_flag, log_is_run_log, log_redact,
+        strategy_route, priority_file_pick, archive_display_names, doc_lines, doc_report_metrics, doc_report_sections, doc_code_blocks, doc_instruction_lines, doc_exact_dedupe, changelog_keys, changelog_urls,
+        changelog_first_per_url, search_greedy_dedupe, newest_changelogs, newer_than_anchor_topk, path_resolution_tiers, usage_windows, usage_by_user, usage_by_session, rate_limit_accept, cache_live_entries,
+        cache_has_recent, session_filter_block, evidence_lookup, eval_recall, eval_macro_grouped,
+    )
+}
+
+
+# ---------------------------------------------------------------- SQL
+
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _hit(col: str, *families: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, {_q('(?i)' + GAME[f].removeprefix('(?id)'))})" for f in families) + ")"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_q(f'^{_WS}+|{_WS}+$')}, '', 'g')"
+
+
+_LINES = "lines AS (SELECT DISTINCT log_id AS file, line_idx AS idx, coalesce(raw, '') AS raw FROM parsed_log_line)"
+_BODY = _strip(f"regexp_replace(regexp_replace(raw, {_q(f'^{_WS}*(?:\\[[^\\]]+\\]{_WS}*)+')}, ''), '^[: ]+', '')")
+_TIME = _q("(?i)" + GAME["timestamp"].removeprefix("(?id)"))
+_LV = _q(T.LEVEL_TOKEN)
+_PARSED = f"""{_LINES},
+tokens AS (SELECT *, list_transform(regexp_extract_all(substr(raw, 1, 240), '\\[([^\\]]+)\\]', 1), lambda t: {_strip("t")}) AS tk FROM lines),
+kinds AS (SELECT *, list_filter(tk, lambda t: regexp_matches('[' || t || ']', {_TIME})) AS tt,
+  list_filter(tk, lambda t: regexp_matches(t, {_LV}) AND NOT regexp_matches('[' || t || ']', {_TIME})) AS lv FROM tokens),
+parsed AS (SELECT file, idx, raw, {_BODY} AS body,
+  CASE WHEN len(lv) > 0 THEN upper(regexp_extract(lv[-1], {_LV}, 2)) END AS severity,
+  CASE WHEN len(lv) > 0 THEN regexp_extract(lv[1], {_LV}, 1) END AS thread,
+  CASE WHEN len(lv) > 1 THEN regexp_extract(lv[-1], {_LV}, 1)
+       WHEN len(lv) = 1 THEN list_filter(list_slice(tk, list_position(tk, lv[1]), len(tk)), lambda t: NOT regexp_matches(t, {_LV}) AND NOT regexp_matches('[' || t || ']', {_TIME}))[1] END AS logger,
+  tt[-1] AS timestamp FROM kinds)"""
+
+
+def _points() -> str:
+    p = GAME_PROFILE
+    out = ["CASE severity " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in p.severity_points) + " ELSE 0 END"]
+    for n, fams, both in p.points:
+        out.append(f"CASE WHEN {_hit('body', *fams)}" + (f" OR {_hit('raw', *fams)}" if both else "") + f" THEN {n} ELSE 0 END")
+    hi, lo = p.evidence_points
+    out.append(f"CASE WHEN {_hit('raw', 'evidence')} OR {_hit('body', 'evidence')} THEN CASE WHEN {_hit('body', 'base_frame')} THEN {lo} ELSE {hi} END ELSE 0 END")
+    return " + ".join(out)
+
+
+_SCORED = f"{_PARSED}, scored AS (SELECT *, CAST({_points()} AS INTEGER) AS score, {_hit('body', 'noise')} AS is_noise FROM parsed)"
+_W = "(PARTITION BY file ORDER BY idx ROWS BETWEEN {} AND {})"
+
+
+def _near(x: str, r: int) -> str:
+    return f"bool_or({x}) OVER " + _W.format(f"{r} PRECEDING", f"{r} FOLLOWING")
+
+
+_ALL_TO = _W.format("UNBOUNDED PRECEDING", "CURRENT ROW")
+_ALL_BEFORE = _W.format("UNBOUNDED PRECEDING", "1 PRECEDING")
+
+
+def _block(seed: str, cont: str) -> str:
+    return f"({seed} OR coalesce({cont} AND max(CASE WHEN {seed} THEN idx END) OVER {_ALL_BEFORE} >= coalesce(max(CASE WHEN NOT {cont} THEN idx END) OVER {_ALL_TO}, -1), false))"
+
+
+_FLAGS = f"""{_SCORED}, flagged AS (SELECT *, {_hit("body", "block_seed")} AS seed,
+  body <> '' AND {_hit("body", "continuation", "class_loading", "dependency_detail", "datapack_failure", "shader_failure")} AS cont,
+  {_hit("body", "reload_noise")} AS reload, {_hit("body", "datapack_failure", "shader_failure")} AS failure, {_hit("raw", "error_line")} AS err FROM scored)"""
+_ENDING = "CASE " + " ".join(f"WHEN {_hit('raw', f)} OR {_hit('body', f)} THEN '{n}'" for f, n in (("oom", "OOM"), ("watchdog", "watchdog卡死"), ("tick_stall", "tick卡死"))) + f" WHEN {_hit('body', 'ordered_stop')} THEN '有序关闭' END"
+_ERRORS = f"errors AS (SELECT *, err AND sum(CASE WHEN err THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 300 AS first_err FROM flagged), near_errors AS (SELECT *, {_near('first_err', 8)} AS near_error FROM errors)"
+_TAIL_KEY = _strip(f"regexp_replace(raw, {_TIME}, '')")
+_THREAD = _strip("thread")
+_FORMAT = f"""CASE WHEN severity IS NULL THEN raw ELSE '[' || concat_ws('/', CASE WHEN {_THREAD} <> '' AND lower({_THREAD}) NOT IN ('main', 'render thread') THEN {_THREAD} END, concat_ws(' ', severity, logger)) || ']: ' || body END"""
+_USAGE = "u AS (SELECT DISTINCT * FROM mc_log_token_stats), a AS (SELECT coalesce(ts, 0) AS ts, uid, session_id, coalesce(input, 0) AS input, coalesce(output, 0) AS output FROM u)"
+
+
+def _span(name: str, cond: str) -> str:
+    return ", ".join(f"CAST(coalesce(sum(CASE WHEN {cond} THEN {x} END), 0) AS BIGINT) AS {name}_{x}" for x in ("input", "output"))
+
+
+def _by(key: str, limit: str = "") -> str:
+    return f"WITH {_USAGE} SELECT {key}, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, min(ts) AS first_seen, CAST(sum(input + output) AS BIGINT) AS sum FROM a WHERE coalesce({key}, '') <> '' GROUP BY {key} ORDER BY sum DESC, first_seen, {key} {limit}"
+
+
+def _recall(items: str, empty: str, cond: str) -> str:
+    return f"round(CASE WHEN len(coalesce({items}, [])) = 0 THEN {empty} ELSE len(list_filter({items}, lambda p: {cond})) / len({items})::DOUBLE END, 9)"
+
+
+_YESTERDAY = NOW - ((int(NOW) % 86400) + 86400)
+_CASES = f"""cases AS (SELECT DISTINCT * FROM strategy_c_gold_cases),
+ev AS (SELECT *, {_recall("gold_root_regexes", "1.0", "regexp_matches(text, '(?im)' || p)")} AS root_recall, {_recall("gold_support_regexes", "1.0", "regexp_matches(text, '(?im)' || p)")} AS support_recall,
+  {_recall("gold_signature_regexes", "1.0", "regexp_matches(text, '(?im)' || p)")} AS signature_recall, {_recall("culprit_ids", "1.0", "contains(lower(text), lower(p))")} AS culprit_recall,
+  {_recall("forbidden_noise_regexes", "0.0", "regexp_matches(text, '(?im)' || p)")} AS noise_leak FROM cases),
+evs AS (SELECT *, root_recall = 1 AND signature_recall = 1 AND culprit_recall = 1 AND noise_leak <= 0.25 AS success FROM ev)"""
+_MEANS = ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("root_recall", "support_recall", "signature_recall", "culprit_recall", "noise_leak")) + ", round(avg(CAST(success AS DOUBLE)), 9) AS success_rate, count(*) AS cases"
+_ROUTES = """CASE WHEN n LIKE '%hs_err%' OR n LIKE '%crash%' THEN 'A' WHEN regexp_matches(n, 'latest|fcl|pcl|game[-_ ]?output|run[-_ ]?output|崩溃前|游戏崩溃') THEN 'C'
+  WHEN regexp_matches(n, '\\bdebug\\b|日志|log') THEN 'B' ELSE 'C' END"""
+
+SQL = {
+    "log_parse_prefix": f"WITH {_PARSED} SELECT file, idx, body, severity, thread, logger, timestamp FROM parsed",
+    "log_format": f"WITH {_PARSED} SELECT file, idx, {_FORMAT} AS line FROM parsed",
+    "log_score_lines": f"WITH {_SCORED} SELECT file, idx, score, is_noise FROM scored",
+    "log_select_windows": f"""WITH {_SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY idx) AS rn, count(*) OVER (PARTITION BY file) AS c FROM scored)
+      SELECT file, idx, rn <= 180 OR c - rn < 180 AS ends, {", ".join(f"{_near(f'score >= {s}', r)} AS near_{r}" for s, r in GAME_PROFILE.radii)} FROM n""",
+    "log_block_runs": f"WITH {_FLAGS} SELECT file, idx, {_block('seed', 'cont')} AS in_block FROM flagged",
+    "log_error_windows_capped": f"WITH {_FLAGS}, {_ERRORS} SELECT file, idx, near_error FROM near_errors",
+    "log_noise_prune": f"WITH {_FLAGS} SELECT file, idx, is_noise AND score <= 0 AND NOT (reload AND {_near('failure', 5)}) AS pruned FROM flagged",
+    "log_fold_groups": f"""WITH {_LINES}, k AS (SELECT *, {_TAIL_KEY} AS key FROM lines),
+      s AS (SELECT *, CASE WHEN lag(key) OVER w = key AND lag(idx) OVER w = idx - 1 THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY file ORDER BY idx)),
+      g AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY idx) AS run FROM s)
+      SELECT file, min(idx) AS start, max(idx) AS "end", arg_min(raw, idx) AS text, count(*) AS repeat_count, '{compose.TAIL}' AS repeat_label FROM g GROUP BY file, run""",
+    "log_compose": f"""WITH {_FLAGS}, {_ERRORS}, p AS (SELECT file, idx, {_FORMAT} AS line FROM near_errors WHERE near_error),
+      m AS (SELECT *, CASE WHEN coalesce(lag(idx) OVER (PARTITION BY file ORDER BY idx), -2) <> idx - 1 THEN '{T.GAP}' || chr(10) ELSE '' END || line AS part FROM p)
+      SELECT file, {_strip("string_agg(part, chr(10) ORDER BY idx)")} AS body FROM m GROUP BY file""",
+    "log_stats": f"WITH {_SCORED} SELECT file, count(*) FILTER (score > 0) AS key_hits, count(*) FILTER (score >= 4) AS strong_hits, count(*) FILTER (score <= 0 AND is_noise) AS noise FROM scored GROUP BY file",
+    "log_fallback_flag": f"WITH {_SCORED} SELECT file, count(*) FILTER (score > 0) <= 0 OR (count(*) >= 300 AND count(*) FILTER (score >= 4) <= 0) AS fallback FROM scored GROUP BY file",
+    "log_termination": f"""WITH {_SCORED}, e AS (SELECT *, {_ENDING} AS ending, {_hit("body", "fatal", "class_loading", "diagnostic", "dependency_header", "dependency_detail", "evidence")} OR {_hit("raw", "fatal", "evidence")} AS actionable, {_FORMAT} AS line FROM scored),
+      g AS (SELECT file, arg_max(ending, idx) FILTER (ending IS NOT NULL) AS cat, bool_or(actionable) AS act,
+        arg_max(coalesce(nullif(logger, ''), nullif(thread, ''), 'unknown'), idx) FILTER (body <> '' AND NOT is_noise) AS last_logger, arg_max(line, idx) FILTER (body <> '' AND NOT is_noise) AS last_line FROM e GROUP BY file),
+      h AS (SELECT file, coalesce(cat, '无声中断') AS category, CASE WHEN cat IS NOT NULL THEN '' WHEN act THEN '；尾部无异常块，但前文已有异常/初始化失败证据，优先分析已保留的根因片段' ELSE '；尾部无异常块/崩溃报告落点，真凶大概率在独立 hs_err_pid*.log 或启动器/系统日志' END AS hint, last_logger, last_line FROM g)
+      SELECT file, category, hint, last_logger, last_line, CASE WHEN last_line IS NULL THEN '' ELSE '[termination] type=' || category || '; last_logger=' || last_logger || '; last_non_noise=' || last_line || hint END AS note FROM h""",
+    "log_is_run_log": f"""WITH {_LINES}, p AS (SELECT file, CAST(sum(CASE WHEN {_hit("raw", "timestamp", "event_prefix")} THEN 1 ELSE 0 END + CASE WHEN {_hit("raw", "run_hint")} THEN 2 ELSE 0 END) AS BIGINT) AS points FROM lines WHERE idx < 80 GROUP BY file)
+      SELECT file, points, points >= 6 AS is_run_log FROM p""",
+    "strategy_route": f"""WITH r AS (SELECT DISTINCT run_id, source_name, lower(coalesce(source_name, '')) AS n FROM run_report)
+      SELECT run_id, {_ROUTES} AS strategy, CASE WHEN regexp_matches(n, '.\\.(zip|gz)$') AND regexp_matches(n, '错误报告|clash|crash|日志|log') THEN 'archive'
+        WHEN regexp_matches(n, '.\\.(txt|log)$') AND regexp_matches(n, 'crash|hs_err|latest|debug|fcl|pcl|游戏崩溃|日志|log') THEN 'text' END AS route,
+        regexp_replace(CASE WHEN coalesce(source_name, '') = '' THEN 'upload.log' ELSE source_name END, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\-.]', '_', 'g') AS safe_name FROM r""",
+    "priority_file_pick": """WITH r AS (SELECT DISTINCT session_id AS archive, source_name AS name, log_id AS ord, lower(source_name) AS n FROM run_report WHERE session_id IS NOT NULL AND source_name IS NOT NULL),
+      g AS (SELECT *, CASE WHEN n LIKE '%hs_err%' THEN 0 WHEN n LIKE '%crash%' THEN 1 WHEN n LIKE '%latest%' OR n LIKE '%游戏崩溃%' THEN 2 WHEN n LIKE '%日志%' THEN 3 WHEN n LIKE '%log%' THEN 4 WHEN n LIKE '%debug%' THEN 5 WHEN n LIKE '%fcl%' THEN 6 WHEN n LIKE '%pcl%' THEN 7 END AS "group",
+        CASE WHEN n LIKE '%latest%' THEN 6 ELSE 4 END AS l FROM r)
+      SELECT archive, name, ord, "group" FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY "group", length(name) DESC, CASE "group" WHEN 2 THEN l ELSE 0 END DESC, ord) AS rn FROM g WHERE "group" IS NOT NULL) WHERE rn = 1""",
+    "archive_display_names": """WITH r AS (SELECT DISTINCT session_id AS archive, source_name AS display, log_id AS ord FROM run_report), n AS (SELECT *, row_number() OVER (PARTITION BY archive, display ORDER BY ord) AS k FROM r)
+      SELECT archive, CASE WHEN k > 1 THEN display || ' [' || k || ']' ELSE display END AS display, ord FROM n""",
+    "doc_lines": """WITH s AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS p FROM documents),
+      t AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM s) SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS line FROM t""",
+    "doc_exact_dedupe": "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)",
+    "doc_instruction_lines": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM documents)
+      SELECT doc_id, least(count(*), 5) AS n FROM s WHERE regexp_matches(line, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:download|install|run|execute|delete|format|rm)(?:[^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches(line, '{T.INSTRUCTIONS[1]}') GROUP BY doc_id""",
+    "changelog_first_per_url": "SELECT min(item_id) AS item_id, url FROM changelog_item WHERE url IS NOT NULL GROUP BY url",
+    "newer_than_anchor_topk": """WITH f AS (SELECT o_custkey, min((o_orderdate, o_orderkey)) AS m FROM orders GROUP BY o_custkey), j AS (SELECT o.* FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM orders) o JOIN f USING (o_custkey) WHERE o_orderdate > m[1] AND o_orderkey <> m[2]),
+      r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM j) SELECT o_custkey, o_orderkey, o_orderdate, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
+    "path_resolution_tiers": """WITH f AS (SELECT DISTINCT project_id AS archive, source || '/' || version_number || '.jar' AS path FROM changelog_item WHERE project_id IS NOT NULL AND version_number IS NOT NULL AND source IS NOT NULL),
+      n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM f), r AS (SELECT DISTINCT archive, upper(regexp_extract(path, '([^/]*)$', 1)) AS requested FROM f),
+      g AS (SELECT r.archive, r.requested, count(path) AS c, min(path) AS p FROM r LEFT JOIN n ON n.archive = r.archive AND n.name = lower(r.requested) GROUP BY ALL)
+      SELECT archive, requested, CASE WHEN c = 1 THEN p END AS path, CASE WHEN c = 1 THEN 3 END AS tier, c AS candidates, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM g""",
+    "usage_windows": f"""WITH {_USAGE}, k AS (SELECT * FROM a WHERE ts >= {NOW - 90 * 86400}) SELECT {_span("total", "true")}, {_span("month", f"ts >= {NOW - 30 * 86400}")}, {_span("yesterday", f"ts >= {_YESTERDAY} AND ts < {_YESTERDAY + 86400}")},
+      {_span("six_hour", f"ts >= {NOW - 6 * 3600}")}, count(*) AS record_count FROM k""",
+    "usage_by_user": _by("uid", "LIMIT 20"),
+    "usage_by_session": _by("session_id"),
+    "rate_limit_accept": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+      w(user_id, rn, event_id, last, accepted) AS (SELECT user_id, rn, event_id, t, true FROM e WHERE rn = 1 UNION ALL
+        SELECT e.user_id, e.rn, e.event_id, CASE WHEN e.t - w.last >= 21600 THEN e.t ELSE w.last END, e.t - w.last >= 21600 FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+      SELECT event_id, accepted FROM w""",
+    "cache_live_entries": f"""WITH r AS (SELECT DISTINCT * FROM run_report WHERE sender_id IS NOT NULL), l AS (SELECT *, epoch_us(run_ts) / 1e6 AS stored FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY sender_id ORDER BY stored DESC, run_id DESC) AS rank FROM l WHERE {NOW} - stored <= {90 * 86400.0})
+      SELECT sender_id, run_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 10""",
+    "cache_has_recent": f"SELECT sender_id, {NOW} - max(epoch_us(run_ts) / 1e6) <= {30 * 86400.0} AS recent FROM run_report WHERE sender_id IS NOT NULL GROUP BY sender_id",
+    "session_filter_block": "SELECT DISTINCT run_id, log_id FROM run_report WHERE session_id IS NULL OR session_id NOT IN (SELECT session_id FROM mc_log_token_stats WHERE source = 'retry' AND session_id IS NOT NULL)",
+    "eval_recall": f"WITH {_CASES} SELECT case_id, root_recall, support_recall, signature_recall, culprit_recall, noise_leak, success FROM evs",
+    "eval_macro_grouped": f"""WITH {_CASES} SELECT 'all' AS scope, NULL::VARCHAR AS value, {_MEANS} FROM evs UNION ALL SELECT 'loader', loader, {_MEANS} FROM evs GROUP BY loader UNION ALL SELECT 'kind', kind, {_MEANS} FROM evs GROUP BY kind""",
+}
