@@ -300,6 +300,13 @@ def session_filter_block(spark, sf_dir):
     return usage.filter_sessions(r, "c", listed, "blacklist").select("run_id", "log_id")
 
 
+def session_filter_allow(spark, sf_dir):
+    """runs of sessions that a retry was recorded for."""
+    listed = table(spark, sf_dir, "mc_log_token_stats").where("source = 'retry' and session_id is not null").select(F.col("session_id").alias("session")).distinct()
+    r = table(spark, sf_dir, "run_report").distinct().select("run_id", "log_id", F.array("session_id").alias("c"))
+    return usage.filter_sessions(r, "c", listed, "whitelist").select("run_id", "log_id")
+
+
 def evidence_lookup(spark, sf_dir):
     """The notes that each project's judgement cites."""
     c = table(spark, sf_dir, "changelog_item").where("evidence_id is not null")
@@ -331,7 +338,7 @@ QUERIES = {
         log_fold_groups, log_compose, log_budget_extract, log_extract, log_extract_b, log_error_focused, log_sections_a, log_termination, log_stats, log_fallback_flag, log_is_run_log, log_redact,
         strategy_route, priority_file_pick, archive_display_names, doc_lines, doc_report_metrics, doc_report_sections, doc_code_blocks, doc_instruction_lines, doc_exact_dedupe, changelog_keys, changelog_urls,
         changelog_first_per_url, search_greedy_dedupe, newest_changelogs, newer_than_anchor_topk, path_resolution_tiers, usage_windows, usage_by_user, usage_by_session, rate_limit_accept, cache_live_entries,
-        cache_has_recent, session_filter_block, evidence_lookup, eval_recall, eval_macro_grouped,
+        cache_has_recent, session_filter_block, session_filter_allow, evidence_lookup, eval_recall, eval_macro_grouped,
     )
 }
 
@@ -487,6 +494,7 @@ SQL = {
       SELECT sender_id, run_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 10""",
     "cache_has_recent": f"SELECT sender_id, {NOW} - max(epoch_us(run_ts) / 1e6) <= {30 * 86400.0} AS recent FROM run_report WHERE sender_id IS NOT NULL GROUP BY sender_id",
     "session_filter_block": "SELECT DISTINCT run_id, log_id FROM run_report WHERE session_id IS NULL OR session_id NOT IN (SELECT session_id FROM mc_log_token_stats WHERE source = 'retry' AND session_id IS NOT NULL)",
+    "session_filter_allow": "SELECT DISTINCT run_id, log_id FROM run_report WHERE session_id IN (SELECT session_id FROM mc_log_token_stats WHERE source = 'retry' AND session_id IS NOT NULL)",
     "eval_recall": f"WITH {_CASES} SELECT case_id, root_recall, support_recall, signature_recall, culprit_recall, noise_leak, success FROM evs",
     "eval_macro_grouped": f"""WITH {_CASES} SELECT 'all' AS scope, NULL::VARCHAR AS value, {_MEANS} FROM evs UNION ALL SELECT 'loader', loader, {_MEANS} FROM evs GROUP BY loader UNION ALL SELECT 'kind', kind, {_MEANS} FROM evs GROUP BY kind""",
 }
