@@ -41,7 +41,7 @@ def test_chunks_make_no_difference_and_brute_force(spark):
     want = [(a, b - 1, b - a, float(b - 1 - a)) for a, b in zip(starts, starts[1:])]
     for chunk in (3, 7, 20_000):
         out = runs.collapse_runs(df, "log_id", "line_idx", "line_idx", "normalized", "ts", "ts", chunk=chunk).orderBy("first_idx").collect()
-        assert [(r.first_idx, r.last_idx, r.count, r.duration_s) for r in out] == want
+        assert [(r.first_idx, r.last_idx, r["count"], r.duration_s) for r in out] == want
 
 
 def test_groups_prefix_note_and_counts(spark):

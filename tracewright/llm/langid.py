@@ -4,8 +4,8 @@ Method: rank-order profiles.  The most frequent character n-grams of a text, by
 rank, are compared with the ranked n-grams of each language by their
 out-of-place distance.  The profiles are fitted on a bounded sample of labelled
 documents (``PER_LANGUAGE`` documents of each language, ``SENTENCES`` sentences
-of those), first by label, then once more on the sentences that the first
-profiles give the language of their label, as some labels are wrong.
+of those), first by label, then twice more without the documents and sentences
+that the profiles so far place nearer to another language, as some labels are wrong.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 PER_LANGUAGE = 200
 SENTENCES = 2000
-PROFILE = 4000
+PROFILE = 6000
 LONGEST_GRAM = 4
+SLACK = 1.1
 
 # Three-letter codes and own names of languages.
 OTHER_NAMES = {
@@ -205,26 +206,35 @@ class LanguageModel:
         return [tuple(x) for x in out]
 
 
+def _nearest(p: Profiles, words: list[str], code: str, slack: float) -> bool:
+    d = p.distances(words)
+    return d[p.langs.index(code)] <= min(d) * slack
+
+
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
-    """Profiles from (code, text) of labelled documents, in two rounds."""
-    pool: dict[str, list[tuple[str, ...]]] = {}
+    """Profiles from (code, text) of labelled documents, in three rounds: the later
+    ones leave out documents that are nearer to another language than to their
+    label, and sentences that are clearly nearer to another one."""
+    pool: dict[str, list[list[list[str]]]] = {}
+    taken: Counter = Counter()
     for code, text in rows:
-        own = pool.setdefault(code, [])
-        for _, _, s in stretches(text):
-            w = tuple(words_of(s))
-            if len(w) > 3 and len(own) < SENTENCES:
-                own.append(w)
+        own = [w for _, _, s in stretches(text) if len(w := words_of(s)) > 3 and (code in CYRILLIC) == bool(_CYR.search("".join(w)))]
+        if own and taken[code] < SENTENCES:
+            taken[code] += len(own)
+            pool.setdefault(code, []).append(own)
     model = None
-    for _ in range(2):
+    for _ in range(3):
         counts = {c: Counter() for c in (*LATIN, *CYRILLIC)}
         latin = {c: Counter() for c in CYRILLIC}
         for code in counts:
             words: Counter = Counter()
-            for w in pool.get(code, ()):
-                if (code in CYRILLIC) != bool(_CYR.search("".join(w))):
+            p = None if model is None else model.cyrillic if code in CYRILLIC else model.latin
+            for document in pool.get(code, ()):
+                if p is not None and not _nearest(p, [x for w in document for x in w], code, 1.0):
                     continue
-                if model is None or model.judge(list(w), model.cyrillic if code in CYRILLIC else model.latin)[0] == code:
-                    words.update(w)
+                for w in document:
+                    if p is None or _nearest(p, w, code, SLACK):
+                        words.update(w)
             for w, n in words.items():
                 for g in grams(w):
                     counts[code][g] += n

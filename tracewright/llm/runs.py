@@ -77,10 +77,13 @@ def one_slip(a: str, b: str) -> bool:
 def _same_token(a: str, b: str) -> bool:
     if a == b:
         return True
-    # A slip of the pen happens in plain words; names with digits, paths and dots are compared as they are.
+    # A slip of the pen happens in plain words; names with digits, inner
+    # capitals, paths and dots are compared as they are.
     x, y = a.rstrip(",.:;!?)"), b.rstrip(",.:;!?)")
     if x == y:
         return True
+    if x[1:] != x[1:].lower() or y[1:] != y[1:].lower():
+        return False
     return len(x) > 2 and len(y) > 2 and x.replace("'", "").isalpha() and y.replace("'", "").isalpha() and one_slip(x, y)
 
 
@@ -97,7 +100,7 @@ def same_happening(a: str, b: str) -> bool:
     if ta == tb:
         return True
     if ca != cb or ca:
-        ta, tb = tuple(x.upper() for x in ta), tuple(x.upper() for x in tb)
+        ta, tb = tuple(x.lower() for x in ta), tuple(x.lower() for x in tb)
     elif ta[0] and tb[0]:
         ta, tb = (ta[0][0].lower() + ta[0][1:], *ta[1:]), (tb[0][0].lower() + tb[0][1:], *tb[1:])
     if len(ta) > len(tb):
