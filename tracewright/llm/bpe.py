@@ -7,8 +7,7 @@ literal map; then every text looks its words up.  Decoding concatenates the
 binary pieces of the ids.
 
 Bytes are handled as characters U+0000 to U+00FF (ISO 8859-1), so that pieces
-are strings.  Literal maps are open-addressed hash tables in a few literal
-arrays, as looking up a plain map literal reads all its keys.
+are strings.  Literal maps are hash tables in a few literal arrays, as looking up a plain map literal reads all its keys.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 from pathlib import Path
 
 import xxhash
@@ -32,7 +32,6 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 HOT_WORDS = 20_000
 HOT_LENGTH = 64
 NONE = 2**31 - 1
-PROBES = 8
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -47,38 +46,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def hash_table(entries: list[tuple[str, object]], value_type: str) -> Column:
-    """A literal hash table of (key, value): a key's place is among the
-    ``PROBES`` slots from the low bits of its hash on.  The size of ``entries``
-    is the caller's to check."""
-    hashes = [xxhash.xxh64_intdigest(k.encode("utf-8"), seed=42) for k, _ in entries]  # as Spark's xxhash64
-    slots = 1 << max(4, (len(entries) * 3).bit_length())
-    while True:
-        at: list[int | None] = [None] * (slots + PROBES)
-        for e, h in enumerate(hashes):
-            i = h & (slots - 1)
-            free = next((j for j in range(i, i + PROBES) if at[j] is None), None)
-            if free is None:
-                break
-            at[free] = e
-        else:
-            break
-        slots *= 2
-    signed = [None if e is None else hashes[e] - (1 << 64 if hashes[e] >> 63 else 0) for e in at]
-    table = {"mask": slots - 1, "hash": signed, "entry": [0 if e is None else e for e in at], "key": [k for k, _ in entries], "value": [v for _, v in entries]}
-    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"struct<mask: bigint, hash: array<bigint>, entry: array<int>, key: array<string>, value: array<{value_type}>>")
+    """A literal hash table of (key, value): entries in the order of their
+    buckets, and where each bucket starts; a key's bucket is the low bits of its
+    hash.  The size of ``entries`` is the caller's to check."""
+    buckets = 1 << max(1, len(entries).bit_length())
+    rows = sorted((xxhash.xxh64_intdigest(k.encode("utf-8"), seed=42) & (buckets - 1), k, v) for k, v in entries)  # as Spark's xxhash64
+    start = [0] * (buckets + 1)
+    for b, _, _ in rows:
+        start[b + 1] += 1
+    start = list(accumulate(start))
+    table = {"mask": buckets - 1, "start": start, "key": [k for _, k, _ in rows], "value": [v for _, _, v in rows]}
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), f"struct<mask: bigint, start: array<int>, key: array<string>, value: array<{value_type}>>")
 
 
 def look_up(table: Column, key: Column) -> Column:
     """The value of ``key`` in a hash table; null without one."""
 
-    def probe(h: Column) -> Column:
-        i = h.bitwiseAND(table["mask"]).cast("int")
-        return let(F.array_position(F.slice(table["hash"], i + 1, F.lit(PROBES)), h).cast("int"), lambda p: F.when(p > 0, at(F.get(table["entry"], i + p - 1))))
+    def probe(b: Column) -> Column:
+        lo = F.get(table["start"], b)
+        own = F.slice(table["key"], lo + 1, F.get(table["start"], b + 1) - lo)
+        return let(F.array_position(own, key).cast("int"), lambda p: F.when(p > 0, F.get(table["value"], lo + p - 1)))
 
-    def at(e: Column) -> Column:
-        return F.when(F.get(table["key"], e) == key, F.get(table["value"], e))
-
-    return let(F.xxhash64(key), probe)
+    return let(F.xxhash64(key).bitwiseAND(table["mask"]).cast("int"), probe)
 
 
 def as_bytes(text: Column) -> Column:

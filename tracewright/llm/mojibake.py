@@ -65,7 +65,7 @@ LEADS = {c: frozenset(chr(i) for i, b in t.items() if "\xc2" <= b <= "\xf4") for
 FOLLOW = {c: frozenset(chr(i) for i, b in t.items() if "\x80" <= b <= "\xbf") for c, t in TABLES.items()}
 _CLASS: dict[str, str] = {}
 # Characters in a class, for an even share of its probability.
-SIZES = {"a": 26, "A": 26, "0": 10, "C1": 32, "hi": 83, "ka": 90, "hk": 63, "fw": 94, "hg": 2350, "hr": 8800, "h1": 4800, "h2": 16000, "pu": 6400, "ff": 1, "ot": 20000, "cy": 200}
+SIZES = {"A": 26, "0": 10, "C1": 32, "hi": 83, "ka": 90, "hk": 63, "fw": 94, "hg": 2350, "hr": 8800, "h1": 4800, "h2": 16000, "pu": 6400, "ff": 1, "ot": 20000, "cy": 200}
 
 
 def char_class(c: str) -> str:
@@ -78,7 +78,7 @@ def char_class(c: str) -> str:
 def _char_class(c: str) -> str:
     o = ord(c)
     if o < 128:
-        return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
+        return "A" if c.isupper() else "0" if c.isdigit() else c
     if o < 0xA0:
         return "C1"
     if o < 0x180 or 0x401 <= o <= 0x45F or o in (0x490, 0x491):
@@ -234,8 +234,8 @@ def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float]:
 
 #: Marks of texts that hardly are as they were written: letters joined with box
 #: drawing, four foreign Latin characters in a row, capitals within Cyrillic
-#: words, control and private characters.  Such texts don't count at the start.
-_ODD = re.compile("[^\\W\\d_][\u2500-\u259f]|[\u2500-\u259f][^\\W\\d_]|[\xa1-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4}|[\u0430-\u045f][\u0410-\u042f]|[\x80-\x9f\ue000-\uf8ff\ufffd]")
+#: words, control and private characters, UTF-8 read as two characters.  Such texts don't count at the start.
+_ODD = re.compile("[^\\W\\d_][\u2500-\u259f]|[\u2500-\u259f][^\\W\\d_]|[\xa1-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4}|[\u0430-\u045f][\u0410-\u042f]|[\x80-\x9f\ue000-\uf8ff\ufffd]|[\xc2-\xf4][\xa0-\xbf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|[\u221a\xac\u201a][^\\s\\w]")
 def _possible(foreign: set[str], chain: tuple[str, ...], wide: bool) -> bool:
     """False where undoing the chain can't change a text with these non-ASCII characters."""
     if chain[0] not in TABLES:
@@ -325,10 +325,12 @@ def _start() -> Model:
     """Before any data: scripts keep together, common characters beat rare ones."""
     lat = "àáâãäåæçèéêëìíîïñòóôõöøùúûüßœÀÁÂÄÇÉÈÊÍÎÓÖÔÚÜÑ¿¡"
     cyr = "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ"
+    letters = "abcdefghijklmnopqrstuvwxyz"
     pairs: Counter = Counter()
     for c in lat:
-        pairs[("a", c)] += 30
-        pairs[(c, "a")] += 30
+        for a in letters:
+            pairs[(a, c)] += 1
+            pairs[(c, a)] += 1
         pairs[(" ", c)] += 3
         pairs[(c, " ")] += 3
     for a in cyr:
@@ -346,9 +348,9 @@ def _start() -> Model:
     for a in "°½±×€§»«·™—“”…→":
         pairs[(" ", a)] += 10
         pairs[(a, " ")] += 10
-    for a in (" ", "a", "0", "A"):
-        for b in (" ", "a", "0", "A"):
-            pairs[(a, b)] += 3000
+    for a in (" ", "0", "A", *letters):
+        for b in (" ", "0", "A", *letters):
+            pairs[(a, b)] += (1 if a in letters else 26) * (1 if b in letters else 26) * 5
     return Model(dict(pairs), {})
 
 
