@@ -19,7 +19,7 @@ def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
     the exact path, the path in any case, the base name, the end of the path; the
     first tier with one file counts, more than one in the last two is ambiguous.
     Requests meet files by archive and base name, which all tiers share, so the
-    join is an equi-join.  Result: (archive, requested, path, tier, candidates, status)."""
+    join is an equi-join.  Result: (archive, requested, path, tier, candidates, status), tier 0 where no file is meant."""
     f = files.select("archive", "path", _name(F.col("path")).alias("name"))
     r = requests.select("archive", "requested", _name(F.col("requested")).alias("name"))
     j = r.join(f, ["archive", "name"], "left")
@@ -30,7 +30,7 @@ def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
     tier = F.when(F.col("n1") >= 1, 1).when(F.col("n2") == 1, 2).when(F.col("n3") >= 1, 3).when(F.col("n4") >= 1, 4)
     pick = F.when(F.col("n1") >= 1, F.col("p1")).when(F.col("n2") == 1, F.col("p2")).when(F.col("n3") == 1, F.col("p3")).when((F.col("n3") == 0) & (F.col("n4") == 1), F.col("p4"))
     status = F.when(pick.isNotNull(), "found").when((F.col("n3") > 1) | (F.col("n4") > 1), "ambiguous").otherwise("missing")
-    return g.select("archive", "requested", pick.alias("path"), F.when(pick.isNotNull(), tier).alias("tier"), F.greatest("n3", "n4").alias("candidates"), status.alias("status"))
+    return g.select("archive", "requested", pick.alias("path"), F.when(pick.isNotNull(), tier).otherwise(0).alias("tier"), F.greatest("n3", "n4").alias("candidates"), status.alias("status"))
 
 
 def cite_evidence(judgements: DataFrame, changelogs: DataFrame) -> DataFrame:

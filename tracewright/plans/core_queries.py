@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators.logparse import log_entries, mine_templates, text_lines
+from tracewright.operators.logparse import LEVELS, log_entries, mine_templates, text_lines
 from tracewright.operators.rolling import rolling_totals
 from tracewright.session import table
 
@@ -65,7 +65,42 @@ def _rolled(p: int) -> str:
 
 
 _ROLLING = f"WITH {_DAILY} SELECT uid, DATE '1970-01-01' + d AS day, input, output, calls, {_rolled(7)}, {_rolled(30)} FROM full_days"
+# p5: the layouts as one alternation each; RE2 has no look-ahead, which only the
+# syslog level needs to tell a level word from the message.
+_HEADS = (
+    r"^\[\d{1,2}[A-Z][a-z]{2}\d{4} \d\d:\d\d:\d\d(?:[.,]\d+)?\] \[[^\]]*/([A-Za-z]+)\] \[[^\]]*\]:",
+    r"^\[\d\d:\d\d:\d\d(?:[.,]\d+)?\] \[[^\]/]+\] \[([A-Za-z]+)\] \[[^\]]*\]:",
+    r"^\[\d\d:\d\d:\d\d(?:[.,]\d+)?\] \[[^\]]*/([A-Za-z]+)\](?: \[[^\]]*\])?:",
+    r"^\[\d\d:\d\d:\d\d(?:[.,]\d+)? ([A-Za-z]+)\]:",
+    r"^\[\d+[.,]\d+s\]\[([A-Za-z]+) *\]\[",
+    r'^\{"(?:@t|time|timestamp|ts)": ?"[^"]*"(?:, ?"(?:lvl|level|severity)": ?"(\w*)")?',
+    r"^\d{10}(?:\d{3}){0,3}\|([A-Za-z]+)\|[^|]*\|[^|]*\|",
+    r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(?:[.,]\d+)?Z? +([A-Za-z]+) +\[[^\]]*\] \S+ -",
+    r"^\d\d-\d\d \d\d:\d\d:\d\d[.,]\d+ +\d+ +\d+ ([A-Z]) [^:]+:",
+    r"^(?:time|ts)=\S+ level=(\w+)",
+    r"^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, \d{4} \d{1,2}:\d\d:\d\d [AP]M \S+ \S+\s*()$",
+    r"^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:\d\d:\d\d \S+ [^\s\[:]+(?:\[\d+\])?: ?(?:<?((?i:trace|debug|info|notice|warn|warning|error|fatal|crit))(?:> |: | \S))?",
+)
+_TWO_LINES = 11
+_LEVEL_CASE = "CASE upper(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVELS.items()) + " ELSE '' END"
+
+
+def _quote(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+_WHICH = "CASE " + " ".join(f"WHEN regexp_matches(c, {_quote(p)}) THEN {i}" for i, p in enumerate(_HEADS, 1)) + " END"
+_WORD = "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(c, {_quote(p)}, 1)" for i, p in enumerate(_HEADS, 1)) + " END"
+_P5 = f"""WITH l AS (SELECT DISTINCT 'line' AS src, log_id AS rec_id, CAST(line_idx AS BIGINT) AS i, raw FROM parsed_log_line),
+g AS (SELECT DISTINCT case_id, regexp_split_to_array(regexp_replace(text, '(?:\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS p FROM strategy_c_gold_cases WHERE text <> ''),
+x AS (SELECT * FROM l UNION ALL SELECT 'gold', case_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT), unnest(p) FROM g),
+c AS (SELECT src, rec_id, i, regexp_replace(regexp_replace(raw, '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), '^[\w.-]+[-_]\d+ +\| ', '') AS c FROM x),
+k AS (SELECT *, {_WHICH} AS k FROM c),
+w AS (SELECT *, CASE WHEN k = {_TWO_LINES} THEN regexp_extract(lead(c) OVER o, '^(SEVERE|WARNING|INFO|CONFIG|FINEST|FINER|FINE): ?', 1) ELSE {_WORD} END AS w, max(i) OVER (PARTITION BY src, rec_id) AS last FROM k WINDOW o AS (PARTITION BY src, rec_id ORDER BY i)),
+e AS (SELECT src, rec_id, i, w, last, lead(i) OVER (PARTITION BY src, rec_id ORDER BY i) AS nxt FROM w WHERE k IS NOT NULL)
+SELECT src, rec_id, i AS first_line, coalesce(nxt - 1, last) AS last_line, {_LEVEL_CASE} AS severity FROM e"""
 SQL = {
+    "p5_found": _P5,
     "p2_rolling": _ROLLING,
     "p2_found": f"SELECT uid, strftime(day, '%Y-%m-%d') AS day FROM ({_ROLLING}) WHERE input_7 + output_7 = 0 AND input_30 + output_30 > 0",
 }

@@ -481,7 +481,7 @@ SQL = {
     "path_resolution_tiers": """WITH f AS (SELECT DISTINCT project_id AS archive, source || '/' || version_number || '.jar' AS path FROM changelog_item WHERE project_id IS NOT NULL AND version_number IS NOT NULL AND source IS NOT NULL),
       n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM f), r AS (SELECT DISTINCT archive, upper(regexp_extract(path, '([^/]*)$', 1)) AS requested FROM f),
       g AS (SELECT r.archive, r.requested, count(path) AS c, min(path) AS p FROM r LEFT JOIN n ON n.archive = r.archive AND n.name = lower(r.requested) GROUP BY ALL)
-      SELECT archive, requested, CASE WHEN c = 1 THEN p END AS path, CASE WHEN c = 1 THEN 3 END AS tier, c AS candidates, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM g""",
+      SELECT archive, requested, CASE WHEN c = 1 THEN p END AS path, CASE WHEN c = 1 THEN 3 ELSE 0 END AS tier, c AS candidates, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM g""",
     "usage_windows": f"""WITH {_USAGE}, k AS (SELECT * FROM a WHERE ts >= {NOW - 90 * 86400}) SELECT {_span("total", "true")}, {_span("month", f"ts >= {NOW - 30 * 86400}")}, {_span("yesterday", f"ts >= {_YESTERDAY} AND ts < {_YESTERDAY + 86400}")},
       {_span("six_hour", f"ts >= {NOW - 6 * 3600}")}, count(*) AS record_count FROM k""",
     "usage_by_user": _by("uid", "LIMIT 20"),
