@@ -92,9 +92,9 @@ def _quote(p: str) -> str:
 _WHICH = "CASE " + " ".join(f"WHEN regexp_matches(c, {_quote(p)}) THEN {i}" for i, p in enumerate(_HEADS, 1)) + " END"
 _WORD = "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(c, {_quote(p)}, 1)" for i, p in enumerate(_HEADS, 1)) + " END"
 _P5 = f"""WITH l AS (SELECT DISTINCT 'line' AS src, log_id AS rec_id, CAST(line_idx AS BIGINT) AS i, raw FROM parsed_log_line),
-g AS (SELECT DISTINCT case_id, regexp_split_to_array(regexp_replace(text, '(?:\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS p FROM strategy_c_gold_cases WHERE text <> ''),
+g AS (SELECT DISTINCT case_id, regexp_split_to_array(regexp_replace(text, '(?:\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r') AS p FROM strategy_c_gold_cases WHERE text <> ''),
 x AS (SELECT * FROM l UNION ALL SELECT 'gold', case_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT), unnest(p) FROM g),
-c AS (SELECT src, rec_id, i, regexp_replace(regexp_replace(raw, '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), '^[\w.-]+[-_]\d+ +\| ', '') AS c FROM x),
+c AS (SELECT src, rec_id, i, regexp_replace(regexp_replace(raw, '\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '^[\\w.-]+[-_]\\d+ +\\| ', '') AS c FROM x),
 k AS (SELECT *, {_WHICH} AS k FROM c),
 w AS (SELECT *, CASE WHEN k = {_TWO_LINES} THEN regexp_extract(lead(c) OVER o, '^(SEVERE|WARNING|INFO|CONFIG|FINEST|FINER|FINE): ?', 1) ELSE {_WORD} END AS w, max(i) OVER (PARTITION BY src, rec_id) AS last FROM k WINDOW o AS (PARTITION BY src, rec_id ORDER BY i)),
 e AS (SELECT src, rec_id, i, w, last, lead(i) OVER (PARTITION BY src, rec_id ORDER BY i) AS nxt FROM w WHERE k IS NOT NULL)
