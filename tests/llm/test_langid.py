@@ -40,6 +40,14 @@ def test_sentences(model):
         assert model.sentence(s)[0] == lang, s
 
 
+def test_signs_and_names_of_other_scripts_decide_nothing(model):
+    for lang, s in (
+        ("en", "🚀 launched the base 🇺🇳 and it worked every time I open the inventory."), ("de", "\ufeffDer Server behauptet, dass es fehlt, obwohl es installiert ist."), ("fr", "Le serveur prétend que 小明 est absent alors qu'il est bien installé."),
+        ("ru", "Сервер пишет, что не хватает мода 🙂, хотя он установлен."), ("en", "ＦＵＬＬ ＷＩＤＴＨ Going back to the old version made things worse!"), (None, "𝕸𝖔𝖉 𝖒𝖊𝖓𝖚 ①②③"), (None, "🚀 🇺🇳 小明"), ("zh", "服务器说缺少 🙂 模组"),
+    ):
+        assert model.sentence(s)[0] == lang, s
+
+
 def test_stretches_and_what_has_no_language(model):
     t = "The world never finishes saving. Mobs stand still until somebody relogs.\n[10:00:00] [main/INFO]: Loaded 5 recipes\n  expected 19 but found 57\n```\ncode here is not text\n```\nLe monde ne finit jamais de se sauvegarder. La mémoire dépasse la limite en quelques minutes."
     got = model.document(t)

@@ -157,7 +157,9 @@ class LanguageModel:
                 return "ja", 1.0
             if han >= 4 and not kana:
                 return "zh", 0.98
-            return None, 0.0
+            # Emoji, marks or a short name decide nothing: the words in letters of the profiles do.
+            p, letters = (self.cyrillic, _CYR) if _CYR.search(raw) else (self.latin, _LAT)
+            return self.judge([w for w in words_of(raw) if letters.search(w)], p)
         return self.judge(words_of(raw), self.cyrillic if _CYR.search(raw) else self.latin)
 
     @staticmethod
