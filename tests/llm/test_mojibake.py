@@ -49,3 +49,20 @@ def test_part_of_a_text():
     m = M._start()
     assert M.undo("la mémoire dÃ©passe", ("cp1252", "utf-8"), m)[0] == "la mémoire dépasse"
     assert M.undo("Со вчерашнеãî âå÷åðà", ("cp1252", "cp1251"), m)[0] == "Со вчерашнего вечера"
+
+
+def test_damage_below_ornaments_and_undecodable_bytes():
+    m = M._start()
+    bad = "更新之后,服务器说缺少模组".encode("gb18030").decode("cp1252", "replace")
+    for text in (f"Temperature 5 °\n» Marsh «\n{bad}\nla mémoire", f"price ½ {bad}", f"» {bad}\r\n± 3"):
+        assert M.undo(text, ("cp1252", "gb18030"), m)[0] == text.replace(bad, "更新之后,服务器说缺少模组")
+        assert M.posterior(text, "s", m)[2] > 0.5
+
+
+def test_stretches_of_one_record_take_different_chains():
+    m = M._start()
+    a, b, c = "更新之后,服务器说缺少模组", "После обновления сервер пишет", "la mémoire dépasse déjà"
+    text = "\n".join([a.encode("gb18030").decode("latin-1"), "x", b.encode("cp1251").decode("cp1252"), c.encode("utf-8").decode("cp1252")])
+    chain, fixed, p = M.posterior(text, "s", m)
+    assert fixed == "\n".join([a, "x", b, c]) and p > 0.5
+    assert set(chain.split(M.BOTH)) == {"cp1252|gb18030", "cp1252|cp1251", "cp1252|utf-8"}

@@ -37,6 +37,8 @@ SINGLE = ("cp1252", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
 #: Valid UTF-8 of two bytes and more, in a text whose characters are bytes.
 _UTF8 = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
 _SOUND = "sound"
+#: Between the names of the chains of a record that has several.
+BOTH = " + "
 _LOST = "lost"
 
 
@@ -168,11 +170,28 @@ class Model:
         return math.log((own.get(chain, 0.0) + start) / (n + 100.0 + 0.5 * len(CHAINS)))
 
 
-_MAPPED = re.compile("[\x01-\xff]*[\x80-\xff][\x01-\xff]*")
+_MAPPED = re.compile("[\x01-\t\x0b\x0c\x0e-\xff]*[\x80-\xff][\x01-\t\x0b\x0c\x0e-\xff]*")
+_HIGH = re.compile("[\x80-\xff]")
 _WORD = re.compile("[!-\xff]*[\x80-\xff][!-\xff]*")
 _WIDE = re.compile("[\x80-\ufffc]+")
 
 
+def _decodable(b: str, lo: int, hi: int, written: str) -> list[tuple[int, int, str]]:
+    """The pieces of a line that ``written`` decodes, from one undecodable byte to the next."""
+    out = []
+    while m := _HIGH.search(b, lo, hi):
+        lo = m.start()
+        raw = b[lo:hi].encode("latin-1")
+        try:
+            out.append((lo, hi, raw.decode(written)))
+            break
+        except UnicodeDecodeError as e:
+            if e.start:
+                out.append((lo, lo + e.start, raw[: e.start].decode(written)))
+            lo += e.start + 1
+    return out
+
+
 def _undo_once(text: str, read_as: str, written: str) -> list[tuple[int, int, str]]:
     """Replacements (start, end, restored) that undo one misreading."""
     out = []
@@ -186,15 +205,7 @@ def _undo_once(text: str, read_as: str, written: str) -> list[tuple[int, int, st
                 out.append((m.start(), m.end(), m[0].encode("latin-1").decode(written, "replace")))
             return out
         for m in _MAPPED.finditer(b):
-            lo, hi = m.start(), m.end()
-            while b[lo] < "\x80":
-                lo += 1
-            raw = b[lo:hi].encode("latin-1")
-            try:
-                out.append((lo, hi, raw.decode(written)))
-            except UnicodeDecodeError as e:
-                if e.start > 3:  # what was read before the damage breaks off
-                    out.append((lo, lo + e.start, raw[: e.start].decode(written, "replace")))
+            out += _decodable(b, m.start(), m.end(), written)
         return out
     for m in _WIDE.finditer(text):
         try:
@@ -208,9 +219,11 @@ def _undo_once(text: str, read_as: str, written: str) -> list[tuple[int, int, st
     return out
 
 
-def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float]:
-    """(the text with the chain undone wherever that is more likely, the gain in log likelihood)."""
+def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float, list[tuple[int, int, str, float]]]:
+    """(the text with the chain undone wherever that is more likely, the gain in log likelihood,
+    the replaced stretches of the text as (start, end, restored, gain))."""
     first, gain = text, 0.0
+    spans: list[tuple[int, int, str, float]] = []
     for k in range(0, len(chain), 2):
         parts, at = [], 0
         for lo, hi, new in _undo_once(text, chain[k], chain[k + 1]):
@@ -226,10 +239,20 @@ def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float]:
                 gain += g
             parts += [text[at:lo], new]
             at = hi
+            if len(chain) == 2:
+                spans.append((lo, hi, new, g))
         if not parts:
-            return first, 0.0
+            return first, 0.0, []
         text = "".join([*parts, text[at:]])
-    return text, (gain if len(chain) == 2 else model.score(text) - model.score(first))
+    if len(chain) == 2:
+        return text, gain, spans
+    # The stretches of the second step aren't those of the text: whole lines stand for them.
+    spans, at = [], 0
+    for old, new in zip(first.split("\n"), text.split("\n"), strict=True):
+        if old != new:
+            spans.append((at, at + len(old), new, model.score(new) - model.score(old)))
+        at += len(old) + 1
+    return text, model.score(text) - model.score(first), spans
 
 
 #: Marks of texts that hardly are as they were written: letters joined with box
@@ -267,27 +290,66 @@ def posterior(whole: str, source: str, model: Model) -> tuple[str, str, float]:
 def _posterior(text: str, source: str, model: Model) -> tuple[str, str, float]:
     sound = model.share(source, _SOUND)
     name, best, top, total = _SOUND, text, sound, 1.0
+    where: list[tuple[int, int, str, float]] = []
+    rivals: dict[str, list[tuple[int, int, str, float]]] = {}
     foreign = {c for c in text if c > "\x7f"}
     wide = any(c >= "\u2e80" for c in foreign)
     once = True
     for chain in CHAINS:
         if not _possible(foreign, chain, wide) or len(chain) > 2 and not once:
             continue
-        fixed, gain = undo(text, chain, model)
+        fixed, gain, spans = undo(text, chain, model)
         if chain == CHAINS[0]:
             once = fixed is not text
         if gain <= 0:
             continue
         s = model.share(source, "|".join(chain)) + gain
         total += math.exp(min(s - sound, 500.0))
+        rivals["|".join(chain)] = spans
         if s > top:
-            top, name, best = s, "|".join(chain), fixed
+            top, name, best, where = s, "|".join(chain), fixed, spans
     p = 1 - 1 / total
+    if where and p > 0.5:
+        # A line goes to a chain that gains more there than what a further chain costs.
+        own = _by_line(text, where)
+        if len(own) > 1:
+            lost = set()
+            for other, theirs in rivals.items():
+                if other != name:
+                    cost = sound - model.share(source, other)
+                    lost |= {k for k, g in _by_line(text, theirs).items() if k in own and g > own[k] + cost}
+            where = [x for x in where if text.count("\n", 0, x[0]) not in lost] or where
+        name, best = _others(text, name, where, source, model)
     if "\ufffd" in text:
         return (name if name != _SOUND else _LOST), best, 1.0
     return name, best, p
 
 
+def _by_line(text: str, spans: list[tuple[int, int, str, float]]) -> dict[int, float]:
+    """The number of each line with replaced stretches -> their gain."""
+    out: dict[int, float] = {}
+    for lo, _, _, g in spans:
+        k = text.count("\n", 0, lo)
+        out[k] = out.get(k, 0.0) + g
+    return out
+
+
+def _others(text: str, name: str, where: list[tuple[int, int, str, float]], source: str, model: Model) -> tuple[str, str]:
+    """(names of all chains, restored text): what lies between the stretches ``where`` that
+    one chain restored may be damaged by other chains, line by line."""
+    names, parts, at = name.split(BOTH), [], 0
+    for lo, hi, new, _ in [*where, (len(text), len(text), "", 0.0)]:
+        for line in text[at:lo].splitlines(keepends=True):
+            chain, fixed, p = posterior(line, source, model)
+            if p > 0.5 and chain not in (_SOUND, _LOST):
+                names += [x for x in chain.split(BOTH) if x not in names]
+                line = fixed
+            parts.append(line)
+        parts.append(new)
+        at = hi
+    return BOTH.join(names), "".join(parts)
+
+
 def _count_pairs(text: str, pairs: Counter) -> None:
     a = " "
     for c in text:
@@ -310,7 +372,8 @@ def _expect(model: Model | None):
                         _count_pairs(text, pairs)
                     continue
                 chain, fixed, p = posterior(text, src, model)
-                chains[(src, chain)] += p if chain != _SOUND else 1 - p
+                for x in chain.split(BOTH):
+                    chains[(src, x)] += p if chain != _SOUND else 1 - p
                 if chain != _SOUND:
                     chains[(src, _SOUND)] += 1 - p
                 if chain != _LOST:
@@ -379,6 +442,8 @@ def repair(records: DataFrame, rounds: int = 1) -> DataFrame:
     ``damaged`` holds where a wrong decoding is more likely than not, or a
     replacement character tells of one; ``restored`` is the text with the
     likeliest chain undone wherever undoing makes it likelier, else the text.
+    The stretches that this chain leaves may have chains of their own; ``chain``
+    then names all of them with " + " between.
     Null and empty texts have no row; equal records count once; an empty table
     gives an empty result; other columns, whatever their names, are not read.
     """
