@@ -48,6 +48,17 @@ def test_mining_finds_prefixes_and_layouts(spark):
     assert m.prefixes and dict(m.layouts).get("clock_thread_level") == 40
 
 
+def test_mined_headers_of_unknown_programs(spark):
+    a = [f"2025/01/02 10:00:{i:02d} <{'WARN' if i % 3 else 'INFO'}> {{worker-{i}}} net.io :: message {chr(97 + i)}" for i in range(20)]
+    b = [f"(10:00:{i:02d}.5) [ERROR] [a.B] - other {chr(97 + i)}" for i in range(20)]
+    df = _df(spark, [(1, i, t, "", 0, "") for i, t in enumerate([*a, *b, "\tat a.b.C.d(C.java:1)", "2025/01/03 00:00:00 <FATAL> {x} net.io :: late"])])
+    out = log_entries(df, "log_id", "line_idx", "raw", mine_templates(df, "raw", 0.1)).orderBy("first_line").collect()
+    assert len(out) == 41 and out[39].last_line == 40 and not log_entries(df, "log_id", "line_idx", "raw").count()
+    x, y, z = out[1], out[21], out[40]
+    assert (x.severity, x.timestamp, x.thread, x.component, x.message) == ("WARN", "2025/01/02 10:00:01", "worker-1", "net.io", "message b")
+    assert (y.severity, y.timestamp, y.component, y.message) == ("ERROR", "10:00:01.5", "a.B", "other b") and (z.severity, z.message) == ("FATAL", "late")
+
+
 def test_nulls_empty_long(spark):
     df = _df(spark, [(None, 0, LOG[1], "", 0, ""), (2, None, LOG[1], "", 0, ""), (3, 0, None, None, None, None), (3, 1, "", "", 0, ""), (4, 0, LOG[1] + "x" * 200_000, "", 0, ""), (5, 0, LOG[5], "", 0, "")])
     out = {r.log: r for r in log_entries(df, "log_id", "line_idx", "raw").collect()}

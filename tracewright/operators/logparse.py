@@ -4,11 +4,13 @@ component and message.
 Method: frequent position-word mining.  Every line gives the first tokens of its
 head, digits folded; equal heads are added up before anything is shuffled.
 Distributed (position, token) counts give the frequent constants; a head with
-its infrequent tokens starred is a template.  Frequent templates tell which
-container prefixes and which layouts the corpus has and in what order to try
-them; what no mined template covers goes through the remaining layouts as
-fallback rules.  Both tables that reach the driver are bounded: at most
-``positions / support`` constants and ``1 / support`` templates.
+its infrequent tokens starred is a template.  Frequent beginnings of templates that
+hold a time and a level become headers: their brackets and separators are
+anchors, what stands between is assigned to timestamp, level, thread and
+component.  They also tell container prefixes and the order of the given
+layouts, which serve as fallback rules for what no mined header covers.  Both
+tables that reach the driver are bounded: at most ``positions / support``
+constants and as many beginnings of templates.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tracewright.session import stage_table
 
-POSITIONS = 4
+POSITIONS = 8
+#: Positions that tell container prefixes and layouts.
+SHORT = 4
 CHUNK = 20_000
 
 # How programs write levels, and the level each stands for.
@@ -83,19 +87,134 @@ class Mined:
 
     prefixes: list[str] = field(default_factory=list)
     layouts: list[tuple[str, int]] = field(default_factory=list)
+    #: Headers made of templates, the most special first.
+    headers: list[Layout] = field(default_factory=list)
 
     def ordered(self) -> list[Layout]:
-        """Mined layouts by weight, then the fallback rules; a layout keeps its
-        place before any more general one of the same first character."""
+        """Of each first character: mined headers with an end mark, the given
+        layouts as fallback rules, then mined headers without an end mark, which
+        say less.  The groups go by the weight of their layouts."""
         rank = {n: i for i, (n, _) in enumerate(sorted(self.layouts, key=lambda x: (-x[1], x[0])))}
         groups: dict[str, int] = {}
         for x in LAYOUTS:
             groups[x.first] = min(groups.get(x.first, 99), rank.get(x.name, 99))
-        return sorted(LAYOUTS, key=lambda x: (groups[x.first], x.first, LAYOUTS.index(x)))
+        given = sorted(LAYOUTS, key=lambda x: (groups[x.first], x.first, LAYOUTS.index(x)))
+        return [x for x in self.headers if x.name.endswith(ENDS)] + given + [x for x in self.headers if not x.name.endswith(ENDS)]
+
+
+#: Marks at which a header ends and the message begins.
+ENDS = (":", "-")
+_WORDS = sorted((w for w in LEVELS if len(w) > 1), key=lambda w: (-len(w), w))
+_LEVEL = "(?:" + "|".join(_WORDS) + ")"
+#: A time in folded form.
+_TIME = re.compile(r"(?:(?:0-0-0|0/0/0|0\.0\.0|0-0|0/0|0" + MONTH + "0|" + MONTH + " 0,? 0,?|" + MONTH + " 0|0 " + MONTH + r" 0)[ T])?0:0:0(?:[.,]0)?(?: [AP]M)?(?:Z|[+-]0(?::0)?)?|0[.,]0s")
+# What may follow a time in a template: (name in the header's name, folded form, pattern).
+_FIELDS = tuple(
+    (name, re.compile(folded), pattern)
+    for name, folded, pattern in (
+        (" ", " ", " +"),
+        ("[X/L]", r"\[[^\]\[]*/(?i:" + _LEVEL + r")\]", r"\[(?<thread>[^\]]*)/(?<level>(?i:" + _LEVEL + r"))\]"),
+        ("[L/X]", r"\[(?i:" + _LEVEL + r")/[^\]\[]*\]", r"\[(?<level>(?i:" + _LEVEL + r"))/(?<thread>[^\]]*)\]"),
+        *((f"{a}L{b}", rf"\{a}(?i:{_LEVEL}) ?\{b}", rf"\{a}(?<level>(?i:{_LEVEL})) *\{b}") for a, b in ("[]", "()", "<>", "{}")),
+        *((f"{a}X{b}", rf"\{a}[^\{b}\{a}]*\{b}", rf"\{a}(?<name>[^\{b}]*)\{b}") for a, b in ("[]", "()", "{}")),
+        ("L", _LEVEL + r"(?=[ \])>:|]|$)", "(?<level>" + _LEVEL + ")"),
+        ("L", r"[VTDIWEF](?= |$)", "(?<level>[VTDIWEF])"),
+        ("N", r"0(?= |$)", r"(?<number>\d+)"),
+        ("|", r"\|(?= |$)", r"\|"),
+        ("-", r"-(?= |$)", "- ?"),
+        ("::", r"::(?= |$)", ":: ?"),
+        (":", r":(?= |$)", ": ?"),
+        ("]", r"\]", r"\]"),
+        (")", r"\)", r"\)"),
+        (">", r">", ">"),
+        ("X -", r"[^\s\[\](){}<>|]+ -(?= |$)", r"(?<name>\S+) +- ?"),
+        ("X ::", r"[^\s\[\](){}<>|]+ ::?(?= |$)", r"(?<name>\S+) +::? ?"),
+        ("X |", r"[^\s\[\](){}<>|]+ \|(?= |$)", r"(?<name>[^|]*?) +\|"),
+        ("X:", r"[^\s\[\](){}<>|:*]+:(?= |$)", r"(?<name>[^\s:\[]+): ?"),
+    )
+)
+
+
+def _time_pattern(folded: str) -> str:
+    parts = {"0:0:0": r"\d{1,2}:\d\d:\d\d(?:[.,]\d+)?", "0": r"\d+", " ": " +", "AM": "[AP]M", "PM": "[AP]M"}
+    return "".join(parts.get(x) or (MONTH if re.fullmatch(MONTH, x) else "" if x in (".0", ",0") else re.escape(x)) for x in re.findall(r"0:0:0|(?<=0:0:0)[.,]0|[AP]M|" + MONTH + "|.", folded))
+
+
+def header_of(template: str) -> Layout | None:
+    """The header that a template tells: a time first, a level behind it, and
+    nothing but marks, names in brackets and names before a mark between and
+    after them.  None where any part of the template is something else.
+
+    Fallback rules: what shares a bracket with the level is the thread; of two
+    other names the first is the thread and the last the component; a single
+    one is the component, or the thread if a bracketed one stands before the
+    level; the last number before the level is the thread if no name is.  A
+    starred end in a header that isn't complete is a name with its end mark.
+    """
+    m = re.match(r"([\[(<]?)", template)
+    t = _TIME.match(template, m.end())
+    if not t:
+        return None
+    name, at = m[1] + "T", t.end()
+    pattern = re.escape(m[1]) + "(?<time>" + _time_pattern(t[0]) + ")"
+    while at < len(template):
+        if name.endswith(ENDS):
+            return None
+        star = template[at:] == "*" and "L" in name
+        if star and name.endswith("L] "):
+            # A dated log names logger and marker.
+            name, pattern = name + "[X]:", pattern + (r"\[(?<name>[^\]]*?)/?[^/\]]*\]: ?" if re.match("0[A-Z]", t[0]) else r"\[(?<name>[^\]]*)\]: ?")
+            break
+        if star and name.endswith("L "):
+            name, pattern = name + "X:", pattern + r"(?<name>[^\s:\[]+): ?"
+            break
+        for label, folded, part in _FIELDS:
+            f = folded.match(template, at)
+            if f and not ("L" in label and "L" in name) and not (label == "N" and "L" in name):
+                break
+        else:
+            return None
+        if label == "[X]" and "/L]" in name and re.match("0[A-Z]", t[0]):
+            part = r"\[(?<name>[^\]]*?)/?[^/\]]*\]"
+        if label == "L" and len(f[0]) == 1 and not re.search(r"[N\]|] $", name):
+            return None
+        name, pattern, at = name + label, pattern + part, f.end()
+    if "L" not in name or name.endswith(" "):
+        return None
+    if name == "[T L]:":
+        pattern += r"(?:\[(?<name>[\w .-]+)\] )?"
+    groups = [g for g in re.findall(r"\(\?<(\w+)>", pattern)]
+    number = {k: [i for i, g in enumerate(groups, 1) if g == k] for k in ("time", "level", "thread", "name", "number")}
+    names, level = number["name"], number["level"][0]
+    thread = number["thread"][0] if number["thread"] else 0
+    if not thread and len(names) > 1 or not thread and names and names[0] < level and re.search(r"\[X\].*L", name):
+        thread, names = names[0], names[1:]
+    if not thread and number["number"]:
+        thread = number["number"][-1]
+    first = m[1] or ("a" if t[0][0].isalpha() else "0")
+    return Layout(name, first, "^" + re.sub(r"\(\?<\w+>", "(", pattern), 1, level, thread, names[-1] if names else 0)
+
+
+def headers_of(templates: dict[str, int], least: int) -> list[Layout]:
+    """The headers of frequent beginnings of templates, the most special first;
+    one that is hardly found without a longer one around it is left out."""
+    found: dict[str, Layout] = {}
+    weight: dict[str, int] = {}
+    for t, n in sorted(templates.items()):
+        if x := header_of(t):
+            found.setdefault(x.name, x)
+            weight[x.name] = weight.get(x.name, 0) + n
+    rest = dict(weight)
+    for x in found:
+        inner = [y for y in found if y != x and x.startswith(y)]
+        if inner:
+            rest[max(inner, key=len)] -= weight[x]
+    keep = [x for x in found if rest[x] >= least]
+    return [found[x] for x in sorted(keep, key=lambda x: (-len(x), -weight[x], x))]
 
 
 def _head_tokens(text: Column) -> Column:
-    shape = F.regexp_replace(F.regexp_replace(F.substring(text, 1, 64), ANSI, ""), "[0-9]+", "0")
+    shape = F.regexp_replace(F.regexp_replace(F.substring(text, 1, 96), ANSI, ""), "[0-9]+", "0")
     return F.slice(F.split(shape, " +", POSITIONS + 1), 1, POSITIONS)
 
 
@@ -121,18 +240,25 @@ def mine_templates(lines: DataFrame, text: str, support: float = 1e-3) -> Mined:
         ),
         " ",
     )
-    templates = heads.select(starred.alias("template"), "n").groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    found, prefixes = {}, set()
+    # Each beginning of a template; whole ones also tell prefixes and layouts.
+    starts = heads.select("n", F.split(starred, " ").alias("s")).select("n", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("k"))
+    starts = starts.select(F.array_join(F.slice("s", 1, F.col("k")), " ").alias("template"), "n", F.when(F.col("k") == F.least(F.size("s"), F.lit(SHORT)), F.col("n")).otherwise(0).alias("whole"))
+    templates = starts.groupBy("template").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole")).where(F.col("n") >= least).collect()  # at most POSITIONS / support rows
+    found, prefixes, begun = {}, set(), {}
     for r in templates:
         t = r.template
         if m := re.match(r"^(\S+) \| (.*)$", t):
             prefixes.add(m[1])
             t = m[2]
+        begun[t] = begun.get(t, 0) + r.n
+        if r.whole < least:
+            continue
         for x in LAYOUTS:
             if re.match(x.folded, t):
-                found[x.name] = found.get(x.name, 0) + r.n
+                found[x.name] = found.get(x.name, 0) + r.whole
                 break
-    return Mined(sorted("^" + re.sub("0", r"\\d+", re.escape(p)) + r" +\| " for p in prefixes if p != "*"), sorted(found.items()))
+    strip = sorted("^" + re.sub("0", r"\\d+", re.escape(p)) + r" +\| " for p in prefixes if p != "*" and not _TIME.match(p))
+    return Mined(strip, sorted(found.items()), headers_of(begun, least))
 
 
 def _extract(c: Column, layouts: list[Layout], which: Column, group: str) -> Column:
@@ -158,7 +284,7 @@ def parse_lines(lines: DataFrame, text: str, mined: Mined | None = None) -> Data
     kinds: dict[str, list[Layout]] = {}
     for x in layouts:
         kinds.setdefault(x.first, []).append(x)
-    tests = {"[": one == "[", "{": one == "{", "0": one.between("0", "9"), "a": one.rlike("[A-Za-z]")}
+    tests = {"[": one == "[", "(": one == "(", "<": one == "<", "{": one == "{", "0": one.between("0", "9"), "a": one.rlike("[A-Za-z]")}
 
     def cascade(own: list[Layout]) -> Column:
         return reduce(lambda acc, x: acc.when(c.rlike(x.pattern), F.lit(x.name)), own[1:], F.when(c.rlike(own[0].pattern), F.lit(own[0].name)))
@@ -225,8 +351,8 @@ def log_entries(lines: DataFrame, log: str, idx: str, text: str, mined: Mined |
     )
     two = F.col("head.layout").isin([x.name for x in LAYOUTS if x.level_below])
     level = F.when(two, F.col("below")).otherwise(F.col("head.level_word"))
-    names = {x.name: x for x in LAYOUTS}
-    header = reduce(lambda acc, x: acc.when(F.col("head.layout") == x.name, F.regexp_replace("whole", x.pattern.removesuffix("$") if not x.level_below else x.pattern.removesuffix(r"\s*$") + r"[ \t]*(?:\n(?:[A-Z]+: ?)?)?", "")), list(names.values())[1:], F.when(F.col("head.layout") == LAYOUTS[0].name, F.regexp_replace("whole", LAYOUTS[0].pattern, "")))
+    names = {x.name: x for x in (mined or Mined()).ordered()}
+    header = reduce(lambda acc, x: acc.when(F.col("head.layout") == x.name, F.regexp_replace("whole", x.pattern.removesuffix("$") if not x.level_below else x.pattern.removesuffix(r"\s*$") + r"[ \t]*(?:\n(?:[A-Z]+: ?)?)?", "")), list(names.values()), F.when(F.lit(False), F.col("whole")))
     return g.select(
         "log",
         F.col("start").alias("first_line"),
