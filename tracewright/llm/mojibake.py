@@ -2,22 +2,28 @@
 
 Method: expectation-maximisation over latent encoding chains.  A chain says
 "written in T, read as W" (once or twice over); undoing it encodes with W and
-decodes with T.  A record's likelihood under a chain is the likelihood of the
-undone text in a language model of character classes.  The model and the
-chains' shares per source and field are unknown at first; each round the
-posterior of every record (E) gives expected counts of chains and of class
-pairs of the restored texts (M), so weak evidence in single records is pooled.
-Only texts with non-ASCII characters can be damaged; the others are not read.
+decodes with T.  Each line with a character that damage can leave behind has a
+latent chain, and each stretch that the chain can undo is latently damaged or
+not.  The likelihood is that of the undone line in a language model of pairs of
+character classes, which falls back on scripts.  The model and the chains'
+shares per source are unknown at first; each round the posteriors of all lines
+and stretches (E) give expected, fractional counts of chains and of class pairs
+(M), so weak evidence in single records is pooled.  Rounds go on until the log
+likelihood a line settles.
+
+The readings of the lines are worked out once and written as arrays of pair
+numbers; a round is a few array operations over them.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +37,7 @@ CHAINS = (
     ("cp1252", "gb18030"), ("cp1252", "cp949"), ("cp1252", "cp932"), ("cp1252", "big5"), ("cp1252", "euc_jp"),
     ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp866"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp866", "koi8_r"),
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp850", "cp1251"), ("cp437", "cp1251"),
+    ("latin-1", "utf-16-le"), ("latin-1", "utf-16-be"), ("ascii", "utf-7"),
 )
 SINGLE = ("cp1252", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
 
@@ -39,7 +46,9 @@ _UTF8 = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\
 _SOUND = "sound"
 #: Between the names of the chains of a record that has several.
 BOTH = " + "
+#: The chain that leaves replacement characters behind and can't be undone.
 _LOST = "lost"
+NAMES = (*("|".join(c) for c in CHAINS), _LOST)
 
 
 def _byte_table(codec: str) -> dict[int, str]:
@@ -65,115 +74,159 @@ TABLES = {c: _byte_table(c) for c in SINGLE}
 MAPPED = {c: frozenset(chr(i) for i, b in t.items() if "\x80" <= b <= "\xff") for c, t in TABLES.items()}
 LEADS = {c: frozenset(chr(i) for i, b in t.items() if "\xc2" <= b <= "\xf4") for c, t in TABLES.items()}
 FOLLOW = {c: frozenset(chr(i) for i, b in t.items() if "\x80" <= b <= "\xbf") for c, t in TABLES.items()}
-_CLASS: dict[str, str] = {}
-# Characters in a class, for an even share of its probability.
-SIZES = {"A": 26, "0": 10, "C1": 32, "hi": 83, "ka": 90, "hk": 63, "fw": 94, "hg": 2350, "hr": 8800, "h1": 4800, "h2": 16000, "pu": 6400, "ff": 1, "ot": 20000, "cy": 200}
 
+# Groups of characters, and how many a group has (for an even share of its probability).
+GROUPS = {
+    "nul": 28, "space": 1, "low": 26, "up": 26, "digit": 10, "mark": 32, "c1": 32, "latin": 260, "LATIN": 260, "cyr": 120, "CYR": 120, "greek": 60, "GREEK": 60, "quote": 30, "sign": 34, "symbol": 3000,
+    "box": 160, "cjk_mark": 64, "hira": 86, "kata": 90, "half_kata": 63, "wide": 94, "hangul": 2350, "rare_hangul": 8800, "han": 4800, "rare_han": 24000, "private": 6400, "lost": 1, "other": 40000, "emoji": 2000,
+}
+_GROUP = tuple(GROUPS)
+#: Groups whose characters are told apart by the model; the others are one class each.
+_SPELT = frozenset(("space", "low", "mark", "latin", "LATIN", "cyr", "CYR", "greek", "GREEK", "quote", "sign", "symbol", "box", "cjk_mark"))
 
-def char_class(c: str) -> str:
-    found = _CLASS.get(c)
-    if found is None:
-        found = _CLASS[c] = _char_class(c)
-    return found
 
-
-def _char_class(c: str) -> str:
+def _group(c: str) -> str:
     o = ord(c)
     if o < 128:
-        return "A" if c.isupper() else "0" if c.isdigit() else c
+        return "space" if c in " \t" else "low" if c.islower() else "up" if c.isupper() else "digit" if c.isdigit() else "nul" if o < 32 or o == 127 else "mark"
     if o < 0xA0:
-        return "C1"
-    if o < 0x180 or 0x401 <= o <= 0x45F or o in (0x490, 0x491):
-        return c
-    if o == 0xFFFD:
-        return "ff"
-    if 0x370 <= o < 0x400 or 0x2070 <= o < 0x2C00:
-        return c
+        return "c1"
+    if o in (0xAB, 0xBB) or 0x2010 <= o <= 0x203A:
+        return "quote"
+    if o <= 0xBF or o in (0xD7, 0xF7, 0x20AC, 0x2122):
+        return "sign" if c not in "ªº" else "latin"
+    if o < 0x250 or 0x1E00 <= o < 0x1F00 or o in (0xFB01, 0xFB02):
+        return "LATIN" if c.isupper() else "latin"
+    if 0x370 <= o < 0x400:
+        return "GREEK" if c.isupper() else "greek"
     if 0x400 <= o < 0x530:
-        return "cy"
-    if 0x2010 <= o <= 0x205E or o in (0x20AC, 0x2122) or 0x3000 <= o <= 0x303F:
-        return c
+        return "CYR" if c.isupper() else "cyr"
+    if 0x2500 <= o < 0x25A0:
+        return "box"
+    if 0x2070 <= o < 0x2E00:
+        return "symbol"
+    if 0x3000 <= o < 0x3040:
+        return "cjk_mark"
     if 0x3040 <= o < 0x30A0:
-        return "hi"
+        return "hira"
     if 0x30A0 <= o < 0x3100:
-        return "ka"
+        return "kata"
     if 0xFF61 <= o <= 0xFF9F:
-        return "hk"
+        return "half_kata"
     if 0xFF00 <= o < 0xFF61:
-        return "fw"
+        return "wide"
     if 0xAC00 <= o <= 0xD7A3:
         try:
             c.encode("euc_kr")
-            return "hg"
+            return "hangul"
         except UnicodeEncodeError:
-            return "hr"
-    if 0x4E00 <= o <= 0x9FFF:
+            return "rare_hangul"
+    if 0x3400 <= o <= 0x9FFF:
         for codec, top in (("gb2312", 0xD7), ("euc_jp", 0xCF)):
             try:
                 if 0xB0 <= c.encode(codec)[0] <= top:
-                    return "h1"
+                    return "han"
             except UnicodeEncodeError:
                 pass
-        return "h2"
-    return "pu" if 0xE000 <= o < 0xF900 else "ot"
-
+        return "rare_han"
+    if o == 0xFFFD:
+        return "lost"
+    return "private" if 0xE000 <= o < 0xF900 else "emoji" if o >= 0x1F000 else "other"
 
-class _Pairs(dict):
-    """Two characters -> their log probability, worked out when first asked for."""
 
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
+class _Classes(dict):
+    """A character -> (class, group), both numbers; worked out when first asked for."""
 
-    def __missing__(self, two: str) -> float:
-        v = self[two] = self.model.logp(char_class(two[0]), char_class(two[1]))
+    def __missing__(self, c: str) -> tuple[int, int]:
+        g = _group(c)
+        k = _GROUP.index(g)
+        v = self[c] = (ord(" ") if g == "space" else ord(c) if g in _SPELT else 0x110000 + k, k)
         return v
 
-    def __reduce__(self):
-        return (_Pairs, (None,), {"model": self.model})
+
+CLASSES = _Classes()
+_LOST_CLASS = 0x110000 + _GROUP.index("lost")
+
+
+def _class_group(k: int) -> int:
+    return k - 0x110000 if k >= 0x110000 else CLASSES[chr(k)][1]
+
+
+def pair_key(two: str) -> int:
+    """The number of a pair of classes."""
+    return CLASSES[two[0]][0] << 21 | CLASSES[two[1]][0]
 
 
 class Model:
-    """Class-pair language model with interpolated smoothing, and the log shares of the chains."""
-
-    BACK = 40.0
-
-    def __init__(self, pairs: dict[tuple[str, str], float], shares: dict[str, dict[str, float]]):
-        self.pairs, self.shares = pairs, shares
-        one, left = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            one[b] += n
-            left[a] += n
-        self.left, total = left, sum(one.values())
-        self.uni = {c: (n + 0.05) / (total + 100) for c, n in one.items()}
-        self.floor = 0.05 / (total + 100)
-        self.memo: dict[tuple[str, str], float] = {}
-        self.seen: dict[tuple[str, str], tuple] = {}
-        self.by_chars = _Pairs(self)
-
-    def logp(self, a: str, b: str) -> float:
-        v = self.memo.get((a, b))
+    """Language model of class pairs, which falls back on pairs of groups, and the shares of the chains by source."""
+
+    BACK, GROUP_BACK, CLASS_BACK = 30.0, 20.0, 20.0
+    #: Before any data two lines in a hundred are damaged, by any chain alike; half of a share rests on that.
+    DAMAGED = 0.02
+
+    #: So many stretches that a line's chain can undo are damaged before any data, and how many stretches that is worth.
+    TOUCHED, WORTH = 0.3, 20.0
+
+    def __init__(self, pairs: dict[int, float], shares: dict[str, dict[str, float]] | None = None, touched: dict[str, dict[str, float]] | None = None):
+        self.pairs, self.shares, self.touched = pairs, shares or {}, touched or {}
+        n = len(_GROUP)
+        self.left, one = Counter(), Counter()
+        groups = np.zeros((n, n))
+        for key, v in pairs.items():
+            a, b = key >> 21, key & 0x1FFFFF
+            self.left[a] += v
+            one[b] += v
+            groups[_class_group(a), _class_group(b)] += v
+        into = groups.sum(axis=0) + 0.5
+        into /= into.sum()
+        self.trans = np.log((groups + self.GROUP_BACK * into) / (groups.sum(axis=1, keepdims=True) + self.GROUP_BACK))
+        in_group = Counter()
+        for b, v in one.items():
+            in_group[_class_group(b)] += v
+        self.one, self.in_group = one, in_group
+        self.memo: dict[int, float] = {}
+
+    def logp(self, key: int) -> float:
+        """log P(second character | first character)."""
+        v = self.memo.get(key)
         if v is None:
-            u = self.uni.get(b, self.floor)
-            v = math.log((self.pairs.get((a, b), 0.0) + self.BACK * u) / (self.left.get(a, 0.0) + self.BACK)) - math.log(SIZES.get(b, 1))
-            self.memo[(a, b)] = v
+            a, b = key >> 21, key & 0x1FFFFF
+            ga, gb = _class_group(a), _class_group(b)
+            size = GROUPS[_GROUP[gb]]
+            back = math.exp(self.trans[ga, gb])
+            if b < 0x110000:
+                back *= (self.one.get(b, 0.0) + self.CLASS_BACK / size) / (self.in_group.get(gb, 0.0) + self.CLASS_BACK)
+            v = math.log((self.pairs.get(key, 0.0) + self.BACK * back) / (self.left.get(a, 0.0) + self.BACK))
+            v = self.memo[key] = v if b < 0x110000 else v - math.log(size)
         return v
 
     def score(self, text: str) -> float:
-        t = " " + text
-        return sum(map(self.by_chars.__getitem__, map(operator.add, t, text)))
+        return sum(self.logp(pair_key(text[i : i + 2])) for i in range(len(text) - 1))
 
     def share(self, source: str, chain: str) -> float:
+        """The log share of a chain (or of sound lines) in a source."""
         own = self.shares.get(source, {})
         n = sum(own.values())
-        start = 100.0 if chain == _SOUND else 0.5
-        return math.log((own.get(chain, 0.0) + start) / (n + 100.0 + 0.5 * len(CHAINS)))
+        start = 1 - self.DAMAGED if chain == _SOUND else self.DAMAGED / len(NAMES)
+        return math.log(0.5 * own.get(chain, 0.0) / n + 0.5 * start) if n else math.log(start)
+
+    def touch(self, chain: str) -> float:
+        """The share of damaged ones among the stretches that the chain of a line can undo."""
+        own = self.touched.get(chain, {})
+        return (own.get("touched", 0.0) + self.TOUCHED * self.WORTH) / (own.get("touchable", 0.0) + self.WORTH)
 
 
 _MAPPED = re.compile("[\x01-\t\x0b\x0c\x0e-\xff]*[\x80-\xff][\x01-\t\x0b\x0c\x0e-\xff]*")
 _HIGH = re.compile("[\x80-\xff]")
 _WORD = re.compile("[!-\xff]*[\x80-\xff][!-\xff]*")
-_WIDE = re.compile("[\x80-\ufffc]+")
+_INNER = re.compile("[а-џґ](?=[Ѐ-ЯҐ])")
+_WIDE = re.compile("[\x80-￼]+")
+_LOSS = re.compile("�+")
+_NULS = re.compile("(?:[\x01-\xff]\x00){2,}|(?:\x00[\x01-\xff]){2,}")
+_UTF7 = re.compile(r"\+[A-Za-z0-9+/]{3,}-")
+#: What damage can leave behind; lines without it can't be changed by any chain.
+TRACE = "[\x80-\U0010ffff]|\x00|" + _UTF7.pattern
+_TRACE = re.compile(TRACE)
 
 
 def _decodable(b: str, lo: int, hi: int, written: str) -> list[tuple[int, int, str]]:
@@ -200,13 +253,22 @@ def _undo_once(text: str, read_as: str, written: str) -> list[tuple[int, int, st
         if written == "utf-8":
             return [(m.start(), m.end(), m[0].encode("latin-1").decode("utf-8")) for m in _UTF8.finditer(b)]
         if written in SINGLE:
-            # Word by word, as a text may be damaged in part.
+            # Word by word, as a text may be damaged in part; a capital behind a small letter may begin the damage, too.
             for m in _WORD.finditer(b):
-                out.append((m.start(), m.end(), m[0].encode("latin-1").decode(written, "replace")))
+                word = text[m.start() : m.end()]
+                cuts = [0, *(x.start() + 1 for x in _INNER.finditer(word)), len(word)]
+                out += [(m.start() + i, m.start() + j, m[0][i:j].encode("latin-1").decode(written, "replace")) for i, j in zip(cuts, cuts[1:], strict=False)]
             return out
         for m in _MAPPED.finditer(b):
             out += _decodable(b, m.start(), m.end(), written)
         return out
+    if read_as in ("latin-1", "ascii"):
+        for m in (_NULS if read_as == "latin-1" else _UTF7).finditer(text):
+            try:
+                out.append((m.start(), m.end(), m[0].encode(read_as).decode(written)))
+            except UnicodeError:
+                continue
+        return out
     for m in _WIDE.finditer(text):
         try:
             b = m[0].encode(read_as).decode("latin-1")
@@ -215,52 +277,35 @@ def _undo_once(text: str, read_as: str, written: str) -> list[tuple[int, int, st
         good = "".join(x[0] for x in _UTF8.finditer(b))
         # Bytes at the edges of the run may have been lost.
         if good and len(good) * 10 >= len(b) * 6:
-            out.append((m.start(), m.end(), good.encode("latin-1").decode("utf-8") + "\ufffd" * (len(good) < len(b))))
+            out.append((m.start(), m.end(), good.encode("latin-1").decode("utf-8") + "�" * (len(good) < len(b))))
     return out
 
 
-def undo(text: str, chain: tuple[str, ...], model: Model) -> tuple[str, float, list[tuple[int, int, str, float]]]:
-    """(the text with the chain undone wherever that is more likely, the gain in log likelihood,
-    the replaced stretches of the text as (start, end, restored, gain))."""
-    first, gain = text, 0.0
-    spans: list[tuple[int, int, str, float]] = []
+def _undo(text: str, chain: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    """Replacements that undo a whole chain; of two misreadings the line is one stretch."""
+    first = [x for x in _undo_once(text, chain[0], chain[1]) if x[2] != text[x[0] : x[1]]]
+    if len(chain) == 2 or not first:
+        return first
     for k in range(0, len(chain), 2):
-        parts, at = [], 0
-        for lo, hi, new in _undo_once(text, chain[k], chain[k + 1]):
-            old = text[lo:hi]
-            if new == old:
-                continue
-            if len(chain) == 2 or k:
-                # Both readings of the stretch, between the characters around it.
-                a, z = text[max(0, lo - 1) : lo] or " ", text[hi : hi + 1]
-                g = model.score(a + new + z) - model.score(a + old + z)
-                if g <= 0 and len(chain) == 2:
-                    continue
-                gain += g
-            parts += [text[at:lo], new]
-            at = hi
-            if len(chain) == 2:
-                spans.append((lo, hi, new, g))
-        if not parts:
-            return first, 0.0, []
-        text = "".join([*parts, text[at:]])
-    if len(chain) == 2:
-        return text, gain, spans
-    # The stretches of the second step aren't those of the text: whole lines stand for them.
-    spans, at = [], 0
-    for old, new in zip(first.split("\n"), text.split("\n"), strict=True):
-        if old != new:
-            spans.append((at, at + len(old), new, model.score(new) - model.score(old)))
-        at += len(old) + 1
-    return text, model.score(text) - model.score(first), spans
+        spans = _undo_once(text_now, chain[k], chain[k + 1]) if k else first
+        if not spans:
+            return []
+        text_now = _spliced(text if not k else text_now, spans)
+    return [(0, len(text), text_now)]
 
 
-#: Marks of texts that hardly are as they were written: letters joined with box
-#: drawing, four foreign Latin characters in a row, capitals within Cyrillic
-#: words, control and private characters, UTF-8 read as two characters.  Such texts don't count at the start.
-_ODD = re.compile("[^\\W\\d_][\u2500-\u259f]|[\u2500-\u259f][^\\W\\d_]|[\xa1-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4}|[\u0430-\u045f][\u0410-\u042f]|[\x80-\x9f\ue000-\uf8ff\ufffd]|[\xc2-\xf4][\xa0-\xbf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|[\u221a\xac\u201a][^\\s\\w]")
-def _possible(foreign: set[str], chain: tuple[str, ...], wide: bool) -> bool:
+def _spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for lo, hi, new in spans:
+        parts += [text[at:lo], new]
+        at = hi
+    return "".join([*parts, text[at:]])
+
+
+def _possible(foreign: frozenset[str], chain: tuple[str, ...], wide: bool, plain: bool) -> bool:
     """False where undoing the chain can't change a text with these non-ASCII characters."""
+    if chain[0] in ("latin-1", "ascii"):
+        return plain
     if chain[0] not in TABLES:
         return wide
     if chain[1] == "utf-8":
@@ -268,198 +313,371 @@ def _possible(foreign: set[str], chain: tuple[str, ...], wide: bool) -> bool:
     return not MAPPED[chain[0]].isdisjoint(foreign)
 
 
-_FOREIGN = re.compile("[\x80-\U0010ffff](?:.*[\x80-\U0010ffff])?", re.S)
-
-
-def posterior(whole: str, source: str, model: Model) -> tuple[str, str, float]:
-    """(best chain, restored text, probability that the text is damaged)."""
-    m = _FOREIGN.search(whole)
-    if m is None:
-        return _SOUND, whole, 0.0
-    # All that can change lies between the first and the last non-ASCII character and a few after it.
-    lo, hi = max(0, m.start() - 1), min(len(whole), m.end() + 2)
-    key = (source, whole[lo:hi])
-    found = model.seen.get(key)
-    if found is None:
-        if len(model.seen) > 20_000:
-            model.seen.clear()
-        found = model.seen[key] = _posterior(whole[lo:hi], source, model)
-    return found[0], whole[:lo] + found[1] + whole[hi:], found[2]
-
-
-def _posterior(text: str, source: str, model: Model) -> tuple[str, str, float]:
-    sound = model.share(source, _SOUND)
-    name, best, top, total = _SOUND, text, sound, 1.0
-    where: list[tuple[int, int, str, float]] = []
-    rivals: dict[str, list[tuple[int, int, str, float]]] = {}
-    foreign = {c for c in text if c > "\x7f"}
-    wide = any(c >= "\u2e80" for c in foreign)
-    once = True
-    for chain in CHAINS:
-        if not _possible(foreign, chain, wide) or len(chain) > 2 and not once:
-            continue
-        fixed, gain, spans = undo(text, chain, model)
-        if chain == CHAINS[0]:
-            once = fixed is not text
-        if gain <= 0:
-            continue
-        s = model.share(source, "|".join(chain)) + gain
-        total += math.exp(min(s - sound, 500.0))
-        rivals["|".join(chain)] = spans
-        if s > top:
-            top, name, best, where = s, "|".join(chain), fixed, spans
-    p = 1 - 1 / total
-    if where and p > 0.5:
-        # A line goes to a chain that gains more there than what a further chain costs.
-        own = _by_line(text, where)
-        if len(own) > 1:
-            lost = set()
-            for other, theirs in rivals.items():
-                if other != name:
-                    cost = sound - model.share(source, other)
-                    lost |= {k for k, g in _by_line(text, theirs).items() if k in own and g > own[k] + cost}
-            where = [x for x in where if text.count("\n", 0, x[0]) not in lost] or where
-        name, best = _others(text, name, where, source, model)
-    if "\ufffd" in text:
-        return (name if name != _SOUND else _LOST), best, 1.0
-    return name, best, p
-
-
-def _by_line(text: str, spans: list[tuple[int, int, str, float]]) -> dict[int, float]:
-    """The number of each line with replaced stretches -> their gain."""
-    out: dict[int, float] = {}
-    for lo, _, _, g in spans:
-        k = text.count("\n", 0, lo)
-        out[k] = out.get(k, 0.0) + g
+def readings(text: str) -> list[tuple[int, int, int, str]]:
+    """All stretches that some chain can undo: (number of the chain, start, end, restored)."""
+    foreign = frozenset(c for c in text if c > "\x7f")
+    wide = any(c >= "⺀" for c in foreign)
+    plain = "\x00" in text or "+" in text
+    out, once = [], False
+    for k, chain in enumerate(CHAINS):
+        if _possible(foreign, chain, wide, plain) and (len(chain) == 2 or once):
+            found = _undo(text, chain)
+            out += [(k, *x) for x in found]
+            once = bool(found) if k == 0 else once
+    if "�" in foreign:
+        out += [(len(CHAINS), m.start(), m.end(), m[0]) for m in _LOSS.finditer(text)]
     return out
 
 
-def _others(text: str, name: str, where: list[tuple[int, int, str, float]], source: str, model: Model) -> tuple[str, str]:
-    """(names of all chains, restored text): what lies between the stretches ``where`` that
-    one chain restored may be damaged by other chains, line by line."""
-    names, parts, at = name.split(BOTH), [], 0
-    for lo, hi, new, _ in [*where, (len(text), len(text), "", 0.0)]:
-        for line in text[at:lo].splitlines(keepends=True):
-            chain, fixed, p = posterior(line, source, model)
-            if p > 0.5 and chain not in (_SOUND, _LOST):
-                names += [x for x in chain.split(BOTH) if x not in names]
-                line = fixed
-            parts.append(line)
-        parts.append(new)
-        at = hi
-    return BOTH.join(names), "".join(parts)
-
+#: Marks of texts that hardly are as they were written: letters joined with box
+#: drawing, four foreign Latin characters in a row, capitals within Cyrillic
+#: words, control and private characters, UTF-8 read as two characters.  Such lines don't count before the first round.
+_ODD = re.compile("[^\\W\\d_][─-▟]|[─-▟][^\\W\\d_]|[\xa1-ſƒˆ˜–-›€™]{4}|[а-џ][А-Я]|[\x00\x80-\x9f-�]|[\xc2-\xf4][\xa0-\xbfŒœŠšŸŽžƒˆ˜–-›€™]|[√\xac‚][^\\s\\w]")
+#: Log probability of a run of replacement characters under the chain that left them, and of each further one.
+_LOSS_COST = (3.0, 1.0)
+#: What a character counts for that a multi-byte chain lost at the end of a stretch.
+_LOSS_GAIN = 5.0
+
+
+class _Blob:
+    """Lines and their readings as arrays of pair numbers."""
+
+    def __init__(self) -> None:
+        self.records: list = []
+        self.units: list = []
+        self.spans: list = []
+        self.seq: list[int] = []
+        self.lengths: list[int] = []
+        self.local: dict[str, int] = {}
+
+    def _put(self, text: str) -> None:
+        local = self.local
+        self.seq += [local.setdefault(text[i : i + 2], len(local)) for i in range(len(text) - 1)]
+        self.lengths.append(max(0, len(text) - 1))
+
+    def add(self, source: str, rec_id, text: str) -> None:
+        at = 0
+        self.records.append((source, rec_id, text))
+        for line in text.split("\n"):
+            hits = [m.span() for m in _TRACE.finditer(line)]
+            if hits:
+                # All that can change lies between the first and the last trace and a few characters after it.
+                lo, hi = max(0, hits[0][0] - 2), min(len(line), hits[-1][1] + 2)
+                part = line[lo:hi]
+                t = f" {part} "
+                self.units.append((len(self.records) - 1, at + lo, at + hi, _ODD.search(part) is not None))
+                self._put(t)
+                for k, a, b, new in readings(part):
+                    # Both readings of the stretch, between the characters around it.
+                    self._put(t[a] + part[a:b] + t[b + 1])
+                    self._put("" if k == len(CHAINS) else t[a] + new + t[b + 1])
+                    extra = -_LOSS_COST[0] - _LOSS_COST[1] * (b - a) if k == len(CHAINS) else _LOSS_GAIN * new.endswith("�")
+                    self.spans.append((len(self.units) - 1, k, at + lo + a, at + lo + b, new, extra))
+            at += len(line) + 1
+
+    def row(self) -> dict:
+        """The arrays as bytes, the texts apart from them."""
+        u, s = self.units, self.spans
+        kinds = sorted({r[0] for r in self.records})
+        return {
+            "sources": kinds,
+            "unit": np.array([[kinds.index(self.records[x[0]][0]), x[3]] for x in u], dtype=np.int32).tobytes(),
+            "span": np.array([[x[0], x[1]] for x in s], dtype=np.int32).tobytes(),
+            "extra": np.array([x[5] for x in s], dtype=np.float64).tobytes(),
+            "pairs": np.array([pair_key(p) for p in self.local], dtype=np.int64).tobytes(),
+            "seq": np.array(self.seq, dtype=np.int32).tobytes(),
+            "lengths": np.array(self.lengths, dtype=np.int32).tobytes(),
+            "texts": json.dumps([self.records, [x[:3] for x in u], [x[2:5] for x in s]]),
+        }
+
+
+_ARRAYS = "sources array<string>, unit binary, span binary, extra binary, pairs binary, seq binary, lengths binary"
+
+
+class _Posterior:
+    """Posteriors of the chains of each line and of each stretch, under a model."""
+
+    def __init__(self, row, model: Model):
+        unit = np.frombuffer(row["unit"], dtype=np.int32).reshape(-1, 2)
+        span = np.frombuffer(row["span"], dtype=np.int32).reshape(-1, 2)
+        self.keys = np.frombuffer(row["pairs"], dtype=np.int64)
+        self.seq = np.frombuffer(row["seq"], dtype=np.int32)
+        self.lengths = np.frombuffer(row["lengths"], dtype=np.int32)
+        self.sources, self.odd, self.source = list(row["sources"]), unit[:, 1] > 0, unit[:, 0]
+        n, c = len(unit), len(NAMES)
+        logp = np.fromiter((model.logp(k) for k in self.keys.tolist()), dtype=np.float64, count=len(self.keys))
+        ends = np.cumsum(self.lengths)
+        sums = np.concatenate([[0.0], np.cumsum(logp[self.seq])])
+        sums = sums[ends] - sums[ends - self.lengths]
+        # Sequences come in the order in which they were put: a line, then both readings of each of its stretches.
+        self.span_unit, self.chain = span[:, 0], span[:, 1]
+        per = np.bincount(self.span_unit, minlength=n) if n else np.zeros(0, dtype=np.int64)
+        self.base = np.arange(n) + 2 * (np.cumsum(per) - per)
+        self.old = np.arange(len(span)) * 2 + self.span_unit + 1
+        gain = sums[self.old + 1] - sums[self.old] + np.frombuffer(row["extra"], dtype=np.float64) if len(span) else np.zeros(0)
+        self.gain = gain
+        t = np.array([model.touch(x) for x in NAMES])[self.chain]
+        touched = np.where(gain > 300, gain + np.log(t), np.log1p(t * np.expm1(np.minimum(gain, 300))))
+        group, self.of = np.unique(self.span_unit.astype(np.int64) * c + self.chain, return_inverse=True)
+        self.g_unit, self.g_chain = group // c, group % c
+        share = np.array([[model.share(s, x) for x in NAMES] for s in self.sources]).reshape(-1, c)
+        sound = np.array([model.share(s, _SOUND) for s in self.sources])
+        at = self.source[self.g_unit] if n else np.zeros(0, dtype=np.int64)
+        self.log_odds = share[at, self.g_chain] - sound[at] + np.bincount(self.of, weights=touched, minlength=len(group))
+        top = np.zeros(n)
+        np.maximum.at(top, self.g_unit, self.log_odds)
+        total = np.exp(-top) + np.bincount(self.g_unit, weights=np.exp(self.log_odds - top[self.g_unit]), minlength=n)
+        self.p_chain = np.exp(self.log_odds - top[self.g_unit]) / total[self.g_unit]
+        self.p_damaged = np.bincount(self.g_unit, weights=self.p_chain, minlength=n) if n else np.zeros(0)
+        self.p_span = 1 / (1 + np.exp(-np.clip(gain + np.log(t / (1 - t)), -500.0, 500.0)))
+        self.log_likelihood = float(sums[self.base].sum() + (top + np.log(total)).sum() + (sound[self.source].sum() if n else 0))
+
+    def counts(self, plain: bool) -> tuple[np.ndarray, dict[tuple[str, str, str], float]]:
+        """Expected counts of the pairs, of (source, chain) and of stretches; ``plain`` counts the lines that look sound as they are."""
+        w = np.zeros(len(self.lengths))
+        chains: dict[tuple[str, str, str], float] = {}
+        if plain:
+            w[self.base] = np.where(self.odd, 0.0, 1.0)
+        else:
+            w[self.base] = 1.0
+            v = self.p_chain[self.of] * self.p_span
+            w[self.old], w[self.old + 1] = -v, v
+            # What lost characters leave of a line tells nothing.
+            for s, name in enumerate(self.sources):
+                own = self.source[self.g_unit] == s
+                for k, x in enumerate(np.bincount(self.g_chain[own], weights=self.p_chain[own], minlength=len(NAMES))):
+                    chains[("chain", name, NAMES[k])] = float(x)
+                chains[("chain", name, _SOUND)] = float((1 - self.p_damaged[self.source == s]).sum())
+            for what, weights in (("touched", v), ("touchable", self.p_chain[self.of])):
+                for k, x in enumerate(np.bincount(self.chain, weights=weights, minlength=len(NAMES))):
+                    chains[(what, "", NAMES[k])] = float(x)
+        return np.maximum(np.bincount(self.seq, weights=np.repeat(w, self.lengths), minlength=len(self.keys)), 0.0), chains
+
+    def restore(self, texts: str) -> Iterator[tuple]:
+        """(source, rec_id, chain, damaged, probability, restored) of each record."""
+        records, units, spans = json.loads(texts)
+        by_unit: dict[int, list[int]] = {}
+        for k in np.flatnonzero((self.p_span > 0.5) & (self.p_damaged[self.span_unit] > 0.5)).tolist():
+            by_unit.setdefault(int(self.span_unit[k]), []).append(k)
+        by_record: dict[int, list[int]] = {}
+        for u, x in enumerate(units):
+            by_record.setdefault(x[0], []).append(u)
+        for r, (source, rec_id, text) in enumerate(records):
+            names, take, p = [], [], 0.0
+            for u in by_record.get(r, ()):
+                p = max(p, float(self.p_damaged[u]))
+                # The likeliest chain goes first; another one takes stretches that are left, if they alone make it likelier than not.
+                free, groups = [], {}
+                for k in by_unit.get(u, ()):
+                    groups.setdefault(int(self.of[k]), []).append(k)
+                for n, (g, own) in enumerate(sorted(groups.items(), key=lambda x: -self.log_odds[x[0]])):
+                    own = [k for k in own if all(spans[k][1] <= lo or spans[k][0] >= hi for lo, hi in free)]
+                    prior = self.log_odds[g] - sum(self.gain[k] for k in groups[g])
+                    if own and (n == 0 or prior + sum(self.gain[k] for k in own) > 0):
+                        free += [(spans[k][0], spans[k][1]) for k in own]
+                        take += own
+                        names.append(NAMES[self.g_chain[g]])
+            names = list(dict.fromkeys(names))
+            fixed = _spliced(text, sorted(tuple(spans[k]) for k in take))
+            yield source, rec_id, BOTH.join(sorted(names, key=lambda x: x == _LOST)) if p > 0.5 and names else _SOUND, p > 0.5, p, fixed
+
+
+def posterior(text: str, source: str, model: Model) -> tuple[str, str, float]:
+    """(chains, restored text, probability that the text is damaged) of one text."""
+    blob = _Blob()
+    blob.add(source, 0, text)
+    row = blob.row()
+    _, _, chain, _, p, fixed = next(_Posterior(row, model).restore(row["texts"]))
+    return chain, fixed, p
 
-def _count_pairs(text: str, pairs: Counter) -> None:
-    a = " "
-    for c in text:
-        b = _CLASS.get(c) or char_class(c)
-        if a > "\x7f" or b > "\x7f" or len(a) > 1 or len(b) > 1:
-            pairs[(a, b)] += 1.0
-        a = b
 
+def _start() -> Model:
+    """Before any data: how scripts, letters, quotation marks and signs are put together."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    low = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœšžčćđłńśźżąęěřůťďňőűğışţășțðþ"
+    common = "àáâäåæçèéêíñóôöøúüß"
+    cyr = "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґё"
+    greek = "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώς"
+    pairs: Counter = Counter()
 
-def _expect(model: Model | None):
-    """Expected counts under ``model``; without one, the counts of the texts as they are."""
+    def put(a: str, b: str, n: float) -> None:
+        for x in a:
+            for y in b:
+                pairs[pair_key(x + y)] += n
+
+    put(letters, letters, 5)
+    put(letters, " ", 40)
+    put(" ", letters, 40)
+    put(letters, ",.", 8)
+    put(letters, "!?:;)'\"-/", 1)
+    put("(\"'-/", letters, 2)
+    put(",.:;!?)", " ", 60)
+    put(" ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 10)
+    put("ABCDEFGHIJKLMNOPQRSTUVWXYZ", letters, 3)
+    put("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.5)
+    put("0123456789", "0123456789", 20)
+    put(" ", "0123456789", 20)
+    put("0123456789", " .,:", 20)
+    put(letters, low, 0.15)
+    put(low, letters, 0.15)
+    put(letters, common, 1)
+    put(common, letters, 1)
+    put(" ", common, 2)
+    put(common, " ", 2)
+    put(common, ",.!?", 0.5)
+    put(low, low, 0.05)
+    put(" ", low.upper().replace("SS", ""), 1.0)
+    put(" ", common.upper().replace("SS", ""), 2.0)
+    put(common.upper().replace("SS", ""), " ", 1.0)
+    put(common.upper().replace("SS", ""), common.upper().replace("SS", ""), 0.5)
+    put(low.upper().replace("SS", ""), low.upper().replace("SS", "") + "A", 0.05)
+    put(low.upper().replace("SS", ""), letters, 0.3)
+    put("ABCDEFGHIJKLMNOPQRSTUVWXYZ", common.upper().replace("SS", ""), 0.5)
+    put(common.upper().replace("SS", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.5)
+    for small, n in ((cyr, 3.0), (greek, 1.0)):
+        put(small, small, n)
+        put(" ", small, 4 * n)
+        put(small, " ", 4 * n)
+        put(small, ",.!?:", n)
+        put(" ", small.upper(), n)
+        put(small.upper(), small, n / 6)
+        put(small.upper(), small.upper(), n / 8)
+        put(small.upper(), " ,.!?:", n)
+    wide = "的いア한，。、"
+    put(wide, wide, 200)
+    put(wide, "ｱ龘\U0001f600", 1)
+    put("ｱ", "ｱ", 50)
+    put(" ", wide, 50)
+    put(wide, " ", 50)
+    put(wide, letters + "0A", 10)
+    put(letters + "0A", wide, 10)
+    # Quotation marks, apostrophes, dashes, dots.
+    put(letters + common, "’", 6)
+    put("’", letters + common + "A", 4)
+    put("A", "’", 6)
+    put(" (", "“„‘«»", 15)
+    put(" (", "‚‹›", 4)
+    put("“„‘‚«‹»", letters + cyr, 2)
+    put("“„‘‚«‹»", "AAAAAAAAAA0" + common, 2)
+    put("«»–—‹›", " ", 20)
+    put(" ", "–—…•", 20)
+    put(" ", "·", 4)
+    put("•·", " ", 20)
+    put(letters + cyr + greek, "”“’»…", 2)
+    put(".,!?0", "”“’»", 10)
+    put("”“’»", " ", 60)
+    put("”“’»", ".,!?:;)", 10)
+    put("…", " .\"”»", 30)
+    put("0", "–°€%′″½×™…", 15)
+    put("–°±×€£≈≤≥", "0", 15)
+    put("°", "A ", 5)
+    put(" ", "°±×€£§©®µ½¼¾→←↑↓★✓■●", 3)
+    put("°±×€£©®µ½¼¾²³→←↑↓★✓■●", " ", 4)
+    put("0", "²³½", 4)
+    put(letters, "™®²³", 2)
+    put("™®²³", " .,", 15)
+    put("§", "0 ", 40)
+    put("§", "abcdefklmnor", 10)
+    put(" ", "¡¿", 30)
+    put("¡¿", "A" * 20 + letters, 2)
+    for lead, line, end in (("╔╚╠║", "═", "╗╝╣║"), ("┌└├│", "─", "┐┘┤│"), ("█▓▒░■", "█▓▒░■", "█▓▒░■")):
+        put(" ", lead + line + end, 10)
+        put(lead, line, 40)
+        put(line, line, 60)
+        put(line, end + " ", 20)
+        put(end, " ", 20)
+    put(" ", "\U0001f600", 10)
+    put("\U0001f600", "\U0001f600 ", 10)
+    return Model(dict(pairs))
+
+
+def _blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blob = _Blob()
+    for pdf in batches:
+        for s, i, t in zip(pdf["source"].to_list(), pdf["rec_id"].to_list(), pdf["text"].to_list(), strict=True):
+            blob.add(s, i, t)
+            if len(blob.seq) > 400_000:
+                yield pd.DataFrame([blob.row()])
+                blob = _Blob()
+    if blob.records:
+        yield pd.DataFrame([blob.row()])
+
+
+def _expect(model: Model, plain: bool):
+    """Expected counts under ``model``: rows (what, source or null, name, pair, n)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chains: Counter = Counter()
         pairs: Counter = Counter()
+        other: Counter = Counter()
         for pdf in batches:
-            for src, text in zip(pdf["source"].to_list(), pdf["text"].to_list(), strict=True):
-                if model is None:
-                    if not _ODD.search(text):
-                        _count_pairs(text, pairs)
-                    continue
-                chain, fixed, p = posterior(text, src, model)
-                for x in chain.split(BOTH):
-                    chains[(src, x)] += p if chain != _SOUND else 1 - p
-                if chain != _SOUND:
-                    chains[(src, _SOUND)] += 1 - p
-                if chain != _LOST:
-                    _count_pairs(fixed if p > 0.5 else text, pairs)
-        rows = [("chain", a, b, n) for (a, b), n in chains.items()] + [("pair", a, b, n) for (a, b), n in pairs.items()]
-        yield pd.DataFrame(rows, columns=["what", "a", "b", "n"])
+            for row in pdf.to_dict("records"):
+                p = _Posterior(row, model)
+                n, chains = p.counts(plain)
+                for k in np.flatnonzero(n).tolist():
+                    pairs[int(p.keys[k])] += float(n[k])
+                for k, x in chains.items():
+                    other[k] += x
+                other[("total", "", "")] += p.log_likelihood
+                other[("lines", "", "")] += len(p.base)
+        rows = [("pair", "", "", k, n) for k, n in pairs.items()] + [(*k, 0, n) for k, n in other.items()]
+        yield pd.DataFrame(rows, columns=["what", "a", "b", "pair", "n"])
 
     return run
 
 
-def _start() -> Model:
-    """Before any data: scripts keep together, common characters beat rare ones."""
-    lat = "àáâãäåæçèéêëìíîïñòóôõöøùúûüßœÀÁÂÄÇÉÈÊÍÎÓÖÔÚÜÑ¿¡"
-    cyr = "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ"
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    pairs: Counter = Counter()
-    for c in lat:
-        for a in letters:
-            pairs[(a, c)] += 1
-            pairs[(c, a)] += 1
-        pairs[(" ", c)] += 3
-        pairs[(c, " ")] += 3
-    for a in cyr:
-        pairs[(" ", a)] += 10
-        pairs[(" ", a.upper())] += 2
-        pairs[(a, " ")] += 10
-        for b in cyr:
-            pairs[(a, b)] += 3
-            pairs[(a.upper(), b)] += 0.3
-    for a in ("h1", "hi", "ka", "hg", "fw", "，", "。", "、"):
-        for b in ("h1", "hi", "ka", "hg", "fw", "，", "。", "、"):
-            pairs[(a, b)] += 200
-        pairs[(" ", a)] += 50
-        pairs[(a, " ")] += 50
-    for a in "°½±×€§»«·™—“”…→":
-        pairs[(" ", a)] += 10
-        pairs[(a, " ")] += 10
-    for a in (" ", "0", "A", *letters):
-        for b in (" ", "0", "A", *letters):
-            pairs[(a, b)] += (1 if a in letters else 26) * (1 if b in letters else 26) * 5
-    return Model(dict(pairs), {})
-
-
-def fit(records: DataFrame, rounds: int = 1) -> Model:
-    """EM over ``source, text``, begun with the texts as they are.  What reaches the driver is bounded by the
-    chains times the sources and by the square of the some 700 classes."""
-    model = None
-    for _ in range(rounds + 1):
-        rows = records.mapInPandas(_expect(model), "what string, a string, b string, n double").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-        pairs = Counter(_start().pairs)
-        shares: dict[str, dict[str, float]] = {}
+#: Rounds end where the mean log likelihood of a line moves by less, or here.
+SETTLED, ROUNDS = 0.02, 8
+
+
+def fit(blobs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """EM over the written readings, begun with the lines that look sound, as they are.  At most ``rounds``
+    rounds; fewer once the log likelihood a line settles.  What reaches the driver is bounded by the chains
+    times the sources and by the square of the some 900 classes."""
+    start = _start()
+    model, before = start, None
+    for k in range(rounds + 1):
+        rows = blobs.drop("texts").mapInPandas(_expect(model, k == 0), "what string, a string, b string, pair long, n double").groupBy("what", "a", "b", "pair").agg(F.sum("n").alias("n")).collect()
+        pairs, shares, touched, total = dict(start.pairs), {}, {}, {}
         for r in rows:
             if r.what == "pair":
-                pairs[(r.a, r.b)] += r.n
-            else:
+                # A lost character tells nothing of the language.
+                if _LOST_CLASS not in (r.pair >> 21, r.pair & 0x1FFFFF):
+                    pairs[r.pair] = pairs.get(r.pair, 0.0) + r.n
+            elif r.what == "chain":
                 shares.setdefault(r.a, {})[r.b] = r.n
-        model = Model(dict(pairs), shares)
+            elif r.what.startswith("touch"):
+                touched.setdefault(r.b, {})[r.what] = r.n
+            else:
+                total[r.what] = r.n
+        model = Model(pairs, shares, touched)
+        now = total.get("total", 0.0) / max(1.0, total.get("lines", 0.0))
+        if k and before is not None and abs(now - before) < SETTLED:
+            break
+        before = now if k else None
     return model
 
 
-def repair(records: DataFrame, rounds: int = 1) -> DataFrame:
+def repair(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``source, rec_id, chain, damaged, probability, restored`` for each record
-    of ``source, rec_id, text`` that holds a non-ASCII character; all others
-    are sound and have no row.
-
-    ``damaged`` holds where a wrong decoding is more likely than not, or a
-    replacement character tells of one; ``restored`` is the text with the
-    likeliest chain undone wherever undoing makes it likelier, else the text.
-    The stretches that this chain leaves may have chains of their own; ``chain``
-    then names all of them with " + " between.
+    of ``source, rec_id, text`` that holds a character beyond ASCII, a zero
+    character or a run in UTF-7; no chain can change any other, so they are
+    sound and have no row.
+
+    ``damaged`` holds where a line is likelier damaged than not; ``restored`` is
+    the text with each damaged line's likeliest chain undone wherever that is
+    likelier than not.  The stretches that this chain leaves may have chains of
+    their own; ``chain`` then names all of them with " + " between; "lost" is the
+    chain that left replacement characters.
     Null and empty texts have no row; equal records count once; an empty table
     gives an empty result; other columns, whatever their names, are not read.
     """
-    some = records.select("source", "rec_id", "text").where("octet_length(text) <> length(text)")
-    some = stage_table(some.distinct(), "mojibake")
-    model = fit(some.select("source", "text"), rounds)
-    model = Model(model.pairs, model.shares)
+    some = records.select("source", "rec_id", "text").where(F.col("text").rlike(TRACE)).distinct()
+    blobs = stage_table(some.mapInPandas(_blobs, _ARRAYS + ", texts string"), "mojibake")
+    model = fit(blobs, rounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [posterior(t, s, model) for s, t in zip(pdf["source"].to_list(), pdf["text"].to_list(), strict=True)]
-            yield pd.DataFrame(
-                {
-                    "source": pdf["source"], "rec_id": pdf["rec_id"], "chain": [f[0] for f in found],
-                    "damaged": [f[2] > 0.5 for f in found], "probability": [f[2] for f in found], "restored": [f[1] for f in found],
-                }
-            )
-
-    return some.mapInPandas(run, "source string, rec_id long, chain string, damaged boolean, probability double, restored string")
+            for row in pdf.to_dict("records"):
+                yield pd.DataFrame(list(_Posterior(row, model).restore(row["texts"])), columns=["source", "rec_id", "chain", "damaged", "probability", "restored"])
+
+    return blobs.mapInPandas(run, "source string, rec_id long, chain string, damaged boolean, probability double, restored string")
