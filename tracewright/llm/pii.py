@@ -1,14 +1,18 @@
 """Personal information in free text: found and replaced by typed placeholders.
 
-Method: semi-Markov conditional random field.  Candidate segments (spans of the
-text) of the five types compete with each other and with plain text; whole-span
+Method: semi-Markov conditional random field.  Candidate segments (spans of a
+line) of the five types compete with each other and with plain text.  Whole-span
 features (form, digits, names, words on either side) give each segment a score,
-and a dynamic program over positions, with entities of bounded length, chooses
+features of neighbouring segments (their types and what stands between) one for
+each transition, and a dynamic program over segments of bounded length chooses
 boundaries and types together.  The weights are trained here, by maximum
-conditional likelihood on sentences made from frames below.
+conditional likelihood on sentences made of general frames; names of the frames
+are listed ones and made-up ones, and the list of given names is hidden from a
+part of the sentences, so that forms and contexts must carry a name, too.
 
-A text without a candidate has only plain segments, so Spark keeps such texts
-from Python by one native test (``may_hold``) that covers all candidate forms.
+Candidates are looked for only behind gates, plain patterns that mean the same
+to Spark and to Python; a text that passes no gate has no candidate, so Spark
+keeps such texts from Python (``may_hold``).
 """
 
 from __future__ import annotations
@@ -42,46 +46,32 @@ roman rosa sabine samuel sara selma sergei simon sofia sonja stefan stella susan
 thomas tomas ursula valentina vera veronika victor viktor vincent vladimir walter wilhelm xenia yvonne zoe""".split()
 _GIVEN = frozenset(GIVEN)
 # Chinese family names of two characters, and common ones of one.
-DOUBLE_SURNAMES = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 公户 公玉 公仪 梁丘 公仲 公上 公门 公山 公坚 左丘 公伯 西门 公祖 第五 公乘 贯丘 公皙 南荣 东里 东宫 仲长 子书 子桑 即墨 达奚 褚师 吴铭".split()
+DOUBLE_SURNAMES = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 公户 公玉 公仪 梁丘 公仲 公上 公门 公山 公坚 左丘 公伯 西门 公祖 第五 公乘 贯丘 公皙 南荣 东里 东宫 仲长 即墨 达奚 褚师".split()
 SINGLE_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑谢罗梁宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
 
-_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?"
-_AT = r"(?:\s*[@＠]\s*|\s*[(\[{]\s*(?:at|AT|At)\s*[)\]}]\s*|\s+(?:at|AT)\s+)"
-_DOT = r"(?:\s*[(\[{]\s*(?:dot|DOT|Dot)\s*[)\]}]\s*|\s+(?:dot|DOT)\s+|\.)"
-EMAIL = re.compile(rf"(?<![\w@]){_LOCAL}{_AT}[A-Za-z0-9][A-Za-z0-9-]{{0,40}}(?:{_DOT}[A-Za-z0-9-]{{1,40}}){{1,4}}(?![\w@])")
-PHONE = re.compile(r"(?<![\w.+/-])(?:\+\s?|00)?\(?\d(?:[ ./()-]{0,3}\d){6,14}(?:\s?(?:ext\.?|x|Durchwahl)\s?\d{1,5})?(?![\w-]|\.\d)")
-_IDKEY = r"(?:SSN|ssn|social security(?: number| no\.?)?|NINO|NI number|national insurance(?: number| no\.?)?|tax[ _-]?(?:id|number|no\.?)|TIN|Steuer-?(?:ID|nummer)|(?:driver'?s? ?)?licen[cs]e(?: no\.?| number)?|F[üu]hrerschein(?: Nr\.?)?|passport(?: no\.?| number)?|Reisepass(?: Nr\.?)?|passeport(?: n[°o]\.?)?|pasaporte|Personalausweis(?: Nr\.?)?|(?:national )?id(?:entity)? card(?: no\.?| number)?|ID[- ]?number|documento|DNI|dni|NIE|NIF|codice fiscale|CPF|BSN|NIR|(?:居民)?身份证号?码?|护照号?码?|驾驶证号?|社保号?|паспорт|ИНН|СНИЛС)"
-ID = re.compile(rf"(?<![A-Za-z])(?:({_IDKEY})[ \t]*(?:[:：=#№]|no\.?|Nr\.?)?[ \t]*#?)?((?<![\w-])[A-Z]{{0,3}}(?:[ -]?\d){{2,18}}(?:[ -]?[A-Z](?:\d{{0,2}}))?)(?![\w]|[-.]\d)", re.I)
-_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻČŠŽĐ](?:[\w-]|['’](?=\w))*"
-_TOWN = rf"(?:,?\s*\d{{4,6}}\s+{_CAP}(?:(?:-(?:on|sur|am|de|upon)-|\s){_CAP}){{0,2}}|(?:,\s*(?:Apt|Unit|Suite|Flat|No)\.? ?\d+\w?)?(?:,\s*{_CAP}(?:(?:-(?:on|sur|am|de|upon)-|\s){_CAP}){{0,2}}(?:,?\s+(?:[A-Z]{{2}}\s+)?\d{{4,6}})?)?)"
-_EN = r"(?:Street|St\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Close|Road|Rd\.?|Avenue|Ave\.?|Court|Ct\.?|Way|Terrace|Crescent|Place|Square)"
-ADDRESS = (
-    re.compile(rf"(?:(?:Flat|Apt|Unit)\.? ?\d+\w?,\s*)?(?<![\w.,-])\d{{1,5}}[a-zA-Z]?\s+(?:{_CAP}\s+){{1,4}}{_EN}(?![A-Za-z]){_TOWN}"),
-    re.compile(rf"(?<![\w-])\w*(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|pfad|hof)\s+\d{{1,4}}\s?[a-z]?(?![\w])(?:,\s*\d{{4,5}}\s+{_CAP}(?:(?:-\w+-|\s){_CAP}){{0,2}})?"),
-    re.compile(rf"(?<![\w-])(?:Am|An der|Im|In der|Auf dem|Zum|Zur)\s+{_CAP}(?:\s{_CAP})?\s+\d{{1,4}}\s?[a-z]?(?![\w])(?:,\s*\d{{4,5}}\s+{_CAP}(?:(?:-\w+-|\s){_CAP}){{0,2}})?"),
-    re.compile(rf"(?<![\w.-])\d{{1,4}}(?:\s?(?:bis|ter|quater))?\s?[a-zA-Z]?,?\s+(?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|quai|allée|route|cours|passage|square)\s+[\w'’ À-ÿ-]{{2,40}}?(?:,\s*\d{{5}}\s+{_CAP}(?:(?:-\w+-|\s){_CAP}){{0,2}}|(?=[,\"'\]<;]|$|\s+(?:on|failed|saved)))"),
-    re.compile(rf"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua|Travessa|Largo)\s+(?:[\w'’À-ÿ]+\s+){{1,5}}\d{{1,4}}(?![\w])(?:,\s*\d{{1,2}}\.?º\s?[A-Z]?)?(?:,\s*\d{{4,5}}\s+{_CAP}(?:(?:-\w+-|\s){_CAP}){{0,2}})?"),
-    re.compile(rf"(?<![\w-]){_CAP}(?:straat|laan|gracht|plein|kade|weg|dijk)\s+\d{{1,4}}\s?[a-z]?(?![\w])(?:,\s*\d{{4}}\s?[A-Z]{{2}}\s+{_CAP})?"),
-    re.compile(r"(?:ул\.|улица|вул\.|вулиця|пр\.|проспект|пер\.)\s+[А-ЯЇІЄ][\w-]+(?:\s[\w-]+)?,?\s+(?:д\.|дом|буд\.)?\s?\d{1,4}\s?[а-я]?(?:,\s*(?:кв\.)\s?\d+)?"),
-    re.compile(r"(?:[一-鿿]{2,8}(?:省|自治区))?(?:[一-鿿]{2,8}[市州县])?(?:[一-鿿]{1,8}[区县镇])?[一-鿿]{1,8}[路街道巷弄]\d{1,5}号(?:\d+(?:单元|栋|幢|号楼))?(?:\d+室)?"),
-    re.compile(r"(?:[一-龠]{2,4}[都道府県])?[一-龠ぁ-んァ-ヶ]{1,8}[市区町村][一-龠ぁ-んァ-ヶ]{1,10}\d{1,3}(?:丁目|[-－])\d{1,3}(?:[-－番]\d{1,3})?"),
-    re.compile(r"[가-힣]{1,8}(?:시|도)\s(?:[가-힣]{1,8}(?:구|군|시)\s)?[가-힣\d]{1,12}(?:로|길)\s?\d{1,4}(?:-\d{1,3})?"),
-)
-_G = "|".join(sorted(GIVEN, key=lambda x: (-len(x), x)))
-_TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra|Mme|Mlle|M)\.?\s+)?"
-_FAM = r"[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-ZÀ-ÖØ-Þ][\w'’]+)?"
-_fam = r"[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)?"
-PERSON = (
-    (re.compile(rf"(?<![\w@./+:-]){_TITLE}((?i:{_G}))(?:\s+(?:[A-Z]\.\s*){{1,2}}|\s+)({_fam})(?![\w@]|\.\w|[-+]\w|\s?(?:[@＠]|\(at\)|\[at\]))"), "given_family"),
-    (re.compile(rf"(?<![\w@./+-])({_fam}),\s+((?i:{_G}))(?:\s+[A-Z]\.)?(?![\w@]|\.\w|[-+]\w)"), "family_given"),
-    (re.compile(rf"(?<![\w@./+-]){_TITLE}()(?:[A-Z]\.\s?){{1,2}}\s?({_FAM})(?![\w@]|\.\w)"), "initial_family"),
-    (re.compile(rf"(?<![\w@./+-])({_FAM}),\s()[A-Z]\.(?:\s?[A-Z]\.)?(?!\w)"), "family_initial"),
-    (re.compile(rf"(?<![\w@./+:-]){_TITLE}([A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє]+)(?:\s+[A-ZА-Я]\.)?\s+([A-ZÀ-ÖØ-ÞА-ЯІЇЄ][\w'’]+(?:-[A-ZА-Я][\w'’]+)?)(?![\w@]|\.\w)"), "two_capitals"),
-    (re.compile(rf"()((?:{'|'.join(DOUBLE_SURNAMES)})[一-鿿]{{1,2}})(?![一-鿿])"), "double_surname"),
-    (re.compile(rf"(?<![一-鿿ぁ-ヿ｡-ﾟ�])()([{SINGLE_SURNAMES}][一-鿿]{{1,2}})(?![一-鿿ぁ-ヿ｡-ﾟ�])"), "single_surname"),
+# ---------------------------------------------------------------- gates
+
+#: Moments as programs write them; no candidate overlaps one.
+STAMP = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]{1,9})?|[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3} +[0-9]+ +[0-9]+ [A-Z] "
+    r"|[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]{1,9})?|[0-9]{10,19}\|[A-Za-z]{1,7}\||\[[0-9]+[.,][0-9]+s\]"
+)
+# The words before identity numbers, as patterns of ASCII case folding.
+ID_KEYS = (
+    "ssn", r"social security(?: number| no\.?)?", "nino", r"ni number", r"national insurance(?: number| no\.?)?", r"tax[ _-]?(?:id|number|no\.?)", "tin", r"steuer-?(?:id|nummer)(?: ?nr\.?)?", r"(?:driver'?s? ?|driving ?)?licen[cs]e(?: no\.?| number)?",
+    r"f(?:[üÜu]|ue)hrerschein(?: ?nr\.?|nummer)?", r"passport(?: no\.?| number)?", r"reisepass(?: ?nr\.?|nummer)?", r"passeport(?: n[°o]\.?)?", r"pasaporte(?: n[°ºo]\.?)?", r"personalausweis(?: ?nr\.?|nummer)?", r"(?:national )?id(?:entity)? card(?: no\.?| number)?", "id[- ]?number",
+    "documento", "dni", "nie", "nif", "codice fiscale", "cpf", "bsn", "nir", "(?:居民)?身份证号?码?", "护照号?码?", "驾驶证号?", "社保号?", "[Пп]аспорт", "ИНН", "СНИЛС",
 )
-#: Native test: all texts with a candidate pass it.  The head of a log line
-#: (time, thread, level) is no candidate; for lines it is taken off first.
+_KEYS = "(?:" + "|".join(ID_KEYS) + ")"
+_UP = "A-ZÀ-ÖØ-ÞŁŚŻČŠŽĐ"
+_CAP = rf"[{_UP}][^\s,;:\"()<>\[\]]*"
+_EN = r"(?:Street|St\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Close|Road|Rd\.?|Avenue|Ave\.?|Court|Ct\.?|Way|Terrace|Crescent|Place|Square)"
+_DE = r"(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|pfad|hof)"
+_AM = r"(?:Am|An der|Im|In der|Auf dem|Zum|Zur)"
+_FR = r"(?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|quai|allée|route|cours|passage|square)"
+_ES = r"(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua|Travessa|Largo)"
+_NL = r"(?:straat|laan|gracht|plein|kade|dijk)"
+_RU = r"(?:ул\.|улица|вул\.|вулиця|пр\.|проспект|пер\.)"
 
 
 def _trie(words: list[str]) -> str:
@@ -95,107 +85,179 @@ def _trie(words: list[str]) -> str:
     return f"(?:{body})?" if "" in words and body else body
 
 
-_JG = _trie(list(GIVEN))
-MAY_HOLD = (
-    r"[@＠]|[(\[{] ?(?i:at) ?[)\]}]| (?i:at) \S+ (?i:dot) |\d(?:[ ./()-]{0,3}\d){6}|\b[A-Z]{0,3}[ -]?\d{6,}",
-    r"\b[A-Z]\. ?[A-ZÀ-ÖØ-Þ]\S|\S, [A-Z]\.|[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє]+\s+(?:[A-ZА-Я]\.\s+)?[A-ZÀ-ÖØ-ÞА-ЯІЇЄ]\S",
-    rf"\b(?i:{_JG})\b",
-    r"(?i:ssn|nino|insurance|licen[cs]e|passport|pasaporte|ausweis|documento|\bdni\b|steuer|\btax|\bni )",
-    r"\d[a-zA-Z]?,? (?:[A-Z]\S* ){1,4}(?:St|Lane|Ln|Dr|B|Cl|R|Av|C|W|T|P|S)",
-    r"\d ?(?:bis|ter|quater)?\S?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|quai|allée|route|cours|passage|square) ",
-    r"(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua|Travessa|Largo) .*\d",
-    r"(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|pfad|hof|straat|laan|gracht|plein|kade|dijk) \d|\b(?:Am|An der|Im|In der|Auf dem|Zum|Zur) [A-Z]\S+ (?:\S+ )?\d",
-)
-#: The same for candidates that hold a non-ASCII character.
-MAY_HOLD_FOREIGN = (
-    rf"身份证|护照|驾驶证|[路街道巷弄]\d|丁目|[市区町村]\D{{1,10}}\d|[로길] ?\d|ул\.|улица|вул\.|вулиця|пр\.|проспект|пер\.|(?:{_trie(DOUBLE_SURNAMES)})|[{SINGLE_SURNAMES}][一-鿿]"
-)
+#: Gates by candidate family: explicit classes only, so Java and Python agree.  (pattern, whether ASCII case is folded)
+GATES = {
+    "caps": (r"[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+[ \t]+(?:[A-ZА-Я]\.?[ \t]*)?(?:(?:de|del|di|da|van|von|der|den|la|le|al|bin|zu)[ \t]+)*[A-ZÀ-ÖØ-ÞА-ЯІЇЄ]", False),
+    "initial": (r"[A-Z]\.[ \t]?[A-ZÀ-ÖØ-Þ]|[^ \t],[ \t][A-Z]\.", False),
+    "given": (rf"[^A-Za-z](?:{_trie(list(GIVEN))})[^A-Za-z]", True),
+    "sign": (r"[@＠]|[A-Za-z0-9][ \t]*[ \t(\[{]at[)\]} \t][ \t]*[A-Za-z0-9-]{1,41}[ \t]*(?:\.|[ \t(\[{]dot[ \t)\]}])", True),
+    "digits": (r"[0-9](?:[ ./()-]{0,3}[0-9]){6}", False),
+    "key": (_KEYS + r"[^0-9\n]{0,16}[0-9]", True),
+    "street_en": (rf"[0-9][a-zA-Z]?[ \t]+(?:{_CAP.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'n')}[ \t]+){{1,4}}{_EN}", False),
+    "street_de": (rf"{_DE}[ \t]+[0-9]|{_AM}[ \t][{_UP}][^ \t\n]*[ \t](?:[^ \t\n]+[ \t])?[0-9]|{_NL}[ \t]+[0-9]", False),
+    "street_fr": (rf"[0-9][ \t]?(?:bis|ter|quater)?[ \t]?[a-zA-Z]?,?[ \t]+{_FR}[ \t]", False),
+    "street_es": (rf"{_ES}[ \t]*[^0-9\n]{{1,80}}[ \t][0-9]", False),
+    "street_cjk": (rf"[路街道巷弄][0-9]|[市区町村][^0-9\n]{{1,10}}[0-9]|[로길] ?[0-9]|{_RU}[ \t]", False),
+    "han": (rf"(?:{_trie(DOUBLE_SURNAMES)})[一-鿿]|[{SINGLE_SURNAMES}][一-鿿]", False),
+}
+_GATES = {k: re.compile(p, re.A | re.I if fold else re.A) for k, (p, fold) in GATES.items()}
+_STAMP = re.compile(STAMP, re.A)
 
-_AT_HINT = re.compile(r"[@＠]|[(\[{] ?at ?[)\]}]| at \S+ dot ", re.I)
-_DIGIT_HINT = re.compile(r"\d(?:[ ./()-]{0,3}\d){5}")
-_KEY_HINT = re.compile(r"ssn|nino|insurance|licen[cs]e|passport|pasaporte|ausweis|reisepass|documento|\bdni\b|steuer|\btax|\bni |social|identity|id card|führerschein|身份证|护照|驾驶证", re.I)
-_ADDRESS_HINT = re.compile(
-    r"\d[a-zA-Z]?,? (?:[A-Z]\S* ){1,4}(?:St|Lane|Ln|Dr|B|Cl|R|Av|C|W|T|P|S)|(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|pfad|hof|straat|laan|gracht|plein|kade|dijk) \d|\b(?:Am|An der|Im|In der|Auf dem|Zum|Zur) [A-Z]\S+ (?:\S+ )?\d"
-    r"|\d ?(?:bis|ter|quater)?\w?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|quai|allée|route|cours|passage|square) |(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua|Travessa|Largo) .*\d|[路街道巷弄]\d|(?:丁目|[市区町村]\D{1,10}\d)|(?:로|길) ?\d|(?:ул\.|улица|вул\.|вулиця|пр\.|проспект|пер\.) "
-)
-_INITIAL_HINT = re.compile(r"\b[A-Z]\.")
-_CAPS_HINT = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє]+ (?:[A-ZА-Я]\. )?[A-ZÀ-ÖØ-ÞА-ЯІЇЄ]\w")
-_LETTERS = re.compile(r"[^\W\d_]{2,}")
-_HAN = re.compile("[一-鿿]")
-_SUFFIX = re.compile(r"(?:ova|eva|ova|enko|ski|ska|sky|sen|son|heimer|quist|strand|ton|ington|etti|elli|ini|ardo|ez|man|mann|berg|stein|feld|wick|borne|more|rek|elin|ström|lund|dottir|ovic|vic|ich|oglu|yan|ian|poulos|ez|es|ier|eau|eux|var)$", re.I)
-_WORD_BEFORE = re.compile(r"([^\W_]+|[^\w\s])\W{0,2}$")
-_WORD_AFTER = re.compile(r"^\W{0,2}?([^\W_]+|[^\w\s])")
 
+def gates(line: str) -> set[str]:
+    """The gates that a text passes, moments left out."""
+    t = f" {_STAMP.sub('T', line)} "
+    return {k for k, p in _GATES.items() if p.search(t)}
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts without a candidate segment: those that pass no gate."""
+    t = F.concat(F.lit(" "), F.regexp_replace(text, STAMP, "T"), F.lit(" "))
+    foreign = F.octet_length(text) > F.length(text)
+    tests = {k: t.rlike(("(?i)" if fold else "") + p) for k, (p, fold) in GATES.items()}
+    return reduce(lambda a, b: a | b, [foreign & c if k in ("street_cjk", "han") else c for k, c in tests.items()])
+
+
+# ---------------------------------------------------------------- candidates
+
+_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?"
+_AT = r"(?:[ \t]*[@＠][ \t]*|[ \t]*[(\[{][ \t]*(?:at|AT|At)[ \t]*[)\]}][ \t]*|[ \t]+(?:at|AT)[ \t]+)"
+_DOT = r"(?:[ \t]*[(\[{][ \t]*(?:dot|DOT|Dot)[ \t]*[)\]}][ \t]*|[ \t]+(?:dot|DOT)[ \t]+|\.)"
+EMAIL = re.compile(rf"(?<![\w@]){_LOCAL}{_AT}[A-Za-z0-9][A-Za-z0-9-]{{0,40}}(?:{_DOT}[A-Za-z0-9-]{{1,40}}){{1,4}}(?![\w@])")
+PHONE = re.compile(r"(?<![\w.+/-])(?:\+[ \t]?|00)?\(?[0-9](?:[ ./()-]{0,3}[0-9]){6,14}(?:[ \t]?(?:ext\.?|x|Durchwahl)[ \t]?[0-9]{1,5})?(?![\w-]|\.[0-9])")
+ID = re.compile(rf"(?<![A-Za-z])(?:({_KEYS})[ \t]{{0,3}}(?:[:：=#№]|no\.?|Nr\.?)?[ \t]{{0,3}}#?)?((?<![\w-])[A-Z]{{0,3}}(?:[ -]?[0-9]){{2,18}}(?:[ -]?[A-Z](?:[0-9]{{0,2}}))?)(?![\w]|[-.][0-9])", re.I)
+_NAME = rf"[{_UP}](?:[\w-]|['’](?=\w))*"
+_TOWNS = rf"{_NAME}(?:(?:-(?:on|sur|am|de|upon)-|[ \t]){_NAME}){{0,2}}"
+_TOWN = rf"(?:,?[ \t]*[0-9]{{4,6}}[ \t]+{_TOWNS}|(?:,[ \t]*(?:Apt|Unit|Suite|Flat|No)\.? ?[0-9]+\w?)?(?:,[ \t]*{_TOWNS}(?:,?[ \t]+(?:[A-Z]{{2}}[ \t]+)?[0-9]{{4,6}})?)?)"
+ADDRESS = {
+    "street_en": (re.compile(rf"(?:(?:Flat|Apt|Unit)\.? ?[0-9]+\w?,[ \t]*)?(?<![\w.,-])[0-9]{{1,5}}[a-zA-Z]?[ \t]+(?:{_NAME}[ \t]+){{1,4}}{_EN}(?![A-Za-z]){_TOWN}"),),
+    "street_de": (
+        re.compile(rf"(?<![\w-])\w*{_DE}[ \t]+[0-9]{{1,4}}[ \t]?[a-z]?(?![\w])(?:,[ \t]*[0-9]{{4,5}}[ \t]+{_TOWNS})?"),
+        re.compile(rf"(?<![\w-]){_AM}[ \t]+{_NAME}(?:[ \t]{_NAME})?[ \t]+[0-9]{{1,4}}[ \t]?[a-z]?(?![\w])(?:,[ \t]*[0-9]{{4,5}}[ \t]+{_TOWNS})?"),
+        re.compile(rf"(?<![\w-]){_NAME}(?:{_NL}|weg)[ \t]+[0-9]{{1,4}}[ \t]?[a-z]?(?![\w])(?:,[ \t]*[0-9]{{4}}[ \t]?[A-Z]{{2}}[ \t]+{_NAME})?"),
+    ),
+    "street_fr": (re.compile(rf"(?<![\w.-])[0-9]{{1,4}}(?:[ \t]?(?:bis|ter|quater))?[ \t]?[a-zA-Z]?,?[ \t]+{_FR}[ \t]+[\w'’ À-ÿ-]{{2,40}}?(?:,[ \t]*[0-9]{{5}}[ \t]+{_TOWNS}|(?=[,\"'\].<;]|$|[ \t]+(?!(?:de|du|des|la|le|les)\b)[a-z]{{2,}}[ \t]))"),),
+    "street_es": (re.compile(rf"(?<![\w-]){_ES}[ \t]+(?:[\w'’À-ÿ]+[ \t]+){{1,5}}[0-9]{{1,4}}(?![\w])(?:,[ \t]*[0-9]{{1,2}}\.?º[ \t]?[A-Z]?)?(?:,[ \t]*[0-9]{{4,5}}[ \t]+{_TOWNS})?"),),
+    "street_cjk": (
+        re.compile(rf"{_RU}[ \t]+[А-ЯЇІЄ][\w-]+(?:[ \t][\w-]+)?,?[ \t]+(?:д\.|дом|буд\.)?[ \t]?[0-9]{{1,4}}[ \t]?[а-я]?(?:,[ \t]*(?:кв\.)[ \t]?[0-9]+)?"),
+        re.compile(r"(?:[一-鿿]{2,8}(?:省|自治区))?(?:[一-鿿]{2,8}[市州县])?(?:[一-鿿]{1,8}[区县镇])?[一-鿿]{1,8}[路街道巷弄][0-9]{1,5}号(?:[0-9]+(?:单元|栋|幢|号楼))?(?:[0-9]+室)?"),
+        re.compile(r"(?:[一-龠]{2,4}[都道府県])?[一-龠ぁ-んァ-ヶ]{1,8}[市区町村][一-龠ぁ-んァ-ヶ]{1,10}[0-9]{1,3}(?:丁目|[-－])[0-9]{1,3}(?:[-－番][0-9]{1,3})?"),
+        re.compile(r"[가-힣]{1,8}(?:시|도)[ \t](?:[가-힣]{1,8}(?:구|군|시)[ \t])?[가-힣0-9]{1,12}(?:로|길)[ \t]?[0-9]{1,4}(?:-[0-9]{1,3})?"),
+    ),
+}
+_G = _trie(list(GIVEN))
+_TITLES = r"(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra|Mme|Mlle|M)\.?[ \t]+"
+_PART = r"(?:(?:de|del|di|da|van|von|der|den|la|le|al|bin|zu)[ \t]+)*"
+_FAM = r"[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-ZÀ-ÖØ-Þ][\w'’]+)?"
+_fam = r"[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)?"
+_LEFT, _RIGHT = r"(?<![\w@./+:#$-])", r"(?![\w@]|\.\w|[-+]\w|/(?!(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\])\w|[ \t]?(?:[@＠]|\(at\)|\[at\]))"
+# (gate, name of the form, pattern with an optional title, given name and family name).
+PERSON = (
+    ("given", "given_family", re.compile(rf"{_LEFT}({_TITLES})?((?i:{_G}))(?:[ \t]+(?:[A-Z]\.[ \t]*){{1,2}}|[ \t]+)({_PART}{_fam}){_RIGHT}")),
+    ("given", "family_given", re.compile(rf"{_LEFT}()({_fam}),[ \t]+((?i:{_G}))(?:[ \t]+[A-Z]\.)?{_RIGHT}")),
+    ("initial", "initial_family", re.compile(rf"{_LEFT}({_TITLES})?((?:[A-Z]\.[ \t]?){{1,2}})[ \t]?({_FAM}){_RIGHT}")),
+    ("initial", "family_initial", re.compile(rf"{_LEFT}()({_FAM}),[ \t]([A-Z]\.(?:[ \t]?[A-Z]\.)?)(?!\w)")),
+    ("caps", "two_capitals", re.compile(rf"{_LEFT}(?=(({_TITLES})?([A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+)(?:[ \t]+[A-ZА-Я]\.)?[ \t]+({_PART}[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][\w'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?)){_RIGHT})")),
+    ("han", "double_surname", re.compile(rf"()((?:{_trie(DOUBLE_SURNAMES)})[一-鿿]{{1,2}})()(?![一-鿿])")),
+    ("han", "single_surname", re.compile(rf"(?<![一-鿿ぁ-ヿ｡-ﾟ�])()([{SINGLE_SURNAMES}][一-鿿]{{1,2}})()(?![一-鿿ぁ-ヿ｡-ﾟ�])")),
+)
+_BEFORE = re.compile(r"(?:([^\W_]+)[ \t]+)?([^\W_]+|[^\w\s])[^\w]{0,2}$")
+_AFTER = re.compile(r"^\W{0,2}?([^\W_]+|[^\w\s])")
+# Words that stand before or after persons, in lower case.
+PERSONAL = frozenset("by from author authors contact maintainer owner manager mr mrs ms dr herr frau señor señora madame monsieur dear hello hi hallo hola thanks thank regards sincerely signed name named guardian tutor parent mother father brother sister wife husband customer client patient holder sender recipient employee colleague attn von an für an de por par pour door van от для 作者 译者 翻译 负责人 联系人 姓名 先生 女士 автор".split())
+
+
+_CAMEL = re.compile(r"[a-z](?:[A-Z]|[0-9])(?<!Mc[A-Z])(?<!Mac[A-Z])")
+
+
+def _shape(t: str) -> str:
+    return "lower" if t.islower() else "upper" if t.isupper() else "title" if t[:1].isupper() else "mixed"
 
-def candidates(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
-    """Candidate segments: (start, end, kind, features)."""
+
+def candidates(text: str, known: bool = True) -> list[tuple[int, int, str, tuple[str, ...]]]:
+    """Candidate segments: (start, end, kind, features).  Without ``known`` the list of given names isn't used."""
+    passed = gates(text)
+    if not passed:
+        return []
     out = []
+    stamps = [m.span() for m in _STAMP.finditer(text)]
 
     def add(lo: int, hi: int, kind: str, *own: str) -> None:
-        if hi - lo > LONGEST:
+        if hi - lo > LONGEST or any(a < hi and lo < b for a, b in stamps):
             return
-        before, after = text[max(0, lo - 24) : lo], text[hi : hi + 16]
-        w = _WORD_BEFORE.search(before)
-        v = _WORD_AFTER.search(after)
-        f = [f"{kind}:bias", *(f"{kind}:{x}" for x in own)]
-        f.append(f"{kind}:<{w[1].lower()[-12:] if w else ''}")
-        f.append(f"{kind}:>{v[1].lower()[:12] if v else ''}")
+        w = _BEFORE.search(text[max(0, lo - 32) : lo])
+        v = _AFTER.search(text[hi : hi + 20])
+        one, two = (w[2].lower()[-12:], (w[1] or "").lower()[-12:]) if w else ("", "")
+        after = v[1].lower()[:12] if v else ""
+        f = [f"{kind}:bias", *(f"{kind}:{x}" for x in own), f"{kind}:<{one}", f"{kind}:<<{two} {one}", f"{kind}:>{after}"]
+        if kind == "person":
+            if not PERSONAL.isdisjoint((one, two)):
+                f.append("person:personal_before")
+            before, behind = text[:lo].rstrip(), text[hi:].strip()
+            f.append("person:left_" + ("start" if not before else "mark" if not before[-1].isalnum() else "word"))
+            f.append("person:right_" + ("end" if not behind else "mark" if not behind[0].isalnum() else "word"))
         out.append((lo, hi, kind, tuple(f)))
 
-    if _AT_HINT.search(text):
+    if "sign" in passed:
         for m in EMAIL.finditer(text):
             t = m[0]
-            at = "sign" if re.search("[@＠]", t) else "bracket" if re.search(r"[(\[{]", t) else "word" if " AT " in t else "low"
+            at = "sign" if re.search("[@＠]", t) else "bracket" if re.search(r"[(\[{][ \t]*at", t, re.I) else "upper" if re.search(r"[ \t]AT[ \t]", t) else "lower"
             end = re.split(_DOT, t)[-1].lower()
-            dots = "dot_word" if re.search(r"dot", t, re.I) and at != "sign" else "dot_sign"
-            ends = "tld_jar" if end in ("jar", "zip", "json", "toml", "java", "py", "txt", "log") else "tld_digit" if end[:1].isdigit() else "tld_short" if len(end) < 2 else "tld"
-            first = "domain_digit" if re.match(r"\d+(?:\.|$)", re.split(_AT, t)[-1]) else "domain"
-            add(m.start(), m.end(), "email", at, f"{at}_{dots}", ends, first)
-    if _DIGIT_HINT.search(text) or _KEY_HINT.search(text):
+            ends = "file" if end in ("jar", "zip", "json", "toml", "java", "py", "txt", "log", "class", "yml") else "digit" if any(c.isdigit() for c in end) else "short" if len(end) < 2 else "word"
+            domain = re.split(_AT, t)[-1]
+            dots = "spelt" if re.search(r"dot[ \t)\]}]", domain, re.I) else "sign"
+            number = "domain_number" if re.match(r"[0-9]+(?:\.|$)", domain) else "domain_name"
+            add(m.start(), m.end(), "email", f"at_{at}", f"{at}_{dots}", f"end_{ends}", number)
+    numbers = [m for m in ID.finditer(text)] if "digits" in passed or "key" in passed else []
+    keyed = {m.start(2) for m in numbers if m[1]}
+    if "digits" in passed:
         for m in PHONE.finditer(text):
             t = m[0]
-            d = re.sub(r"\D", "", re.sub(r"(?i)(?:ext|x|durch).*", "", t))
-            shape = re.sub(r"\d+", lambda g: str(len(g[0])), re.sub(r"(?i)\s?(?:ext\.?|x|Durchwahl)\s?\d+$", "", t))
-            start = "plus" if t[0] == "+" else "00" if t[:2] == "00" else "0" if t[0] == "0" else "other"
-            plain = d == t
-            add(m.start(), m.end(), "phone", f"start_{start}", f"n{len(d)}", f"plain_{plain}_{start}", f"shape_{shape}" if len(shape) < 16 else "shape_long", "seps" + "".join(sorted(set(re.sub(r"[\d+]", "", t)))[:3]))
-        for m in ID.finditer(text):
-            key, v = m[1], m[2]
-            d = sum(c.isdigit() for c in v)
-            if d < 5 or (not key and d < 8):
-                continue
-            shape = re.sub(r"[A-Z]", "A", re.sub(r"\d+", lambda g: str(len(g[0])), v))
-            add(m.start(2), m.end(2), "id_number", "key" if key else "no_key", f"{'key' if key else 'no_key'}_{shape[:14]}")
-    for i, p in enumerate(ADDRESS if _ADDRESS_HINT.search(text) else ()):
-        for m in p.finditer(text):
-            add(m.start(), m.end(), "address", f"form{i}", "town" if re.search(r"\d{5}|, [A-Z]", m[0][3:]) else "no_town", "short" if len(m[0]) < 25 else "long")
-    given = not _GIVEN.isdisjoint(_LETTERS.findall(text.lower()))
-    initial, caps, han = _INITIAL_HINT.search(text), _CAPS_HINT.search(text), _HAN.search(text)
-    tests = {"given_family": given, "family_given": given, "initial_family": initial, "family_initial": initial, "two_capitals": caps, "double_surname": han, "single_surname": han}
-    for p, name in PERSON:
-        if not tests[name]:
+            bare = re.sub(r"(?i)[ \t]?(?:ext\.?|x|Durchwahl)[ \t]?[0-9]+$", "", t)
+            d = sum(c.isdigit() for c in bare)
+            groups = re.findall(r"[0-9]+", bare)
+            start = "plus" if t[0] == "+" else "000" if t[:3] == "000" else "00" if t[:2] == "00" else "0" if t[0] == "0" else "bracket" if t[0] == "(" else "other"
+            plain = len(groups) == 1
+            seps = "".join(sorted(set(re.sub(r"[0-9+]", "", bare))))[:3]
+            add(
+                m.start(), m.end(), "phone", f"start_{start}", f"{start}_{'plain' if plain else 'split'}", f"digits_{min(d, 15)}", f"{start}_groups_{min(len(groups), 6)}", f"seps_{start}_{seps}",
+                "largest_" + str(min(max(map(len, groups)), 9)), "ext" if bare != t else "no_ext", f"ends_{len(groups[-1])}", "lengths_" + "-".join(str(len(g)) for g in groups[:5]), "key" if m.start() in keyed else "no_key",
+            )
+    for m in numbers:
+        key, v = m[1], m[2]
+        d = sum(c.isdigit() for c in v)
+        k = "key" if key else "no_key"
+        if d >= (5 if key else 8):
+            add(m.start(2), m.end(2), "id_number", k, f"{k}_{'letters' if any(c.isalpha() for c in v) else 'digits'}", f"{k}_{'split' if re.search('[ -]', v) else 'plain'}", f"{k}_{min(d, 18)}")
+    for gate, forms in ADDRESS.items():
+        for i, p in enumerate(forms if gate in passed else ()):
+            for m in p.finditer(text):
+                town = "town" if re.search(r"[0-9]{4,5}|, [A-Z]", m[0][3:]) else "no_town"
+                add(m.start(), m.end(), "address", f"form_{gate}{i}", town, "short" if len(m[0]) < 25 else "long")
+    for gate, name, p in PERSON:
+        if gate not in passed or not known and gate == "given":
             continue
         for m in p.finditer(text):
-            a, b = (m[1], m[2])
-            if name == "family_given":
-                a, b = b, a
-            fam = (m[1] if name == "family_initial" else b) or ""
-            own = [name]
-            if name == "two_capitals" and a.lower() in _GIVEN:
-                continue
-            if name in ("given_family", "family_given"):
-                own.append(f"{name}_{'cap' if a[:1].isupper() else 'low'}_{'cap' if fam[:1].isupper() else 'low'}")
-                own.append("fam_short" if len(fam) < 4 else "fam_long")
-                if a[:1].isupper() != fam[:1].isupper():
-                    own.append("mixed")
-            if not name.endswith("surname"):
-                own.append(f"{name}_suffix" if _SUFFIX.search(fam) else f"{name}_no_suffix")
-            add(m.start(), m.end(), "person", *own)
+            lo, hi = m.span()
+            if name == "two_capitals":
+                (title, a, b), (lo, hi) = m.groups()[1:], m.span(1)
+                if known and a.lower() in _GIVEN:
+                    continue
+                own = [name, "title" if title else "no_title", f"caps_{len(b.split())}", "particle" if b[0].islower() else "no_particle", "hyphen" if "-" in b else "no_hyphen", "camel" if _CAMEL.search(b) else "no_camel"]
+            elif name.endswith("surname"):
+                own = [name]
+            else:
+                title, a, b = m.groups()
+                if name in ("family_given", "family_initial"):
+                    a, b = b, a
+                sa, sb = _shape(a), _shape(b)
+                own = [name, f"{name}_{sa}_{sb}", "title" if title else "no_title", f"{name}_{'short' if len(b) < 4 else 'long'}", "agree" if sa == sb else "differ"]
+            add(lo, hi, "person", *own)
     return out
 
 
 class SemiCRF:
-    """Weights of features of whole segments; plain text scores 0."""
+    """Weights of features of whole segments and of their transitions; plain text scores 0."""
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.w = weights or {}
@@ -204,201 +266,252 @@ class SemiCRF:
         w = self.w
         return sum(w.get(f, 0.0) for f in feats)
 
+    @staticmethod
+    def between(text: str, a: tuple, b: tuple) -> tuple[str, ...]:
+        """Features of the transition from segment ``a`` to ``b`` behind it, if they are close."""
+        gap = text[a[1] : b[0]]
+        if len(gap) > 12:
+            return ()
+        mark = re.sub(r"\s+", " ", re.sub(r"\w+", "w", gap))
+        return (f"{a[2]}>{b[2]}", f"{a[2]}>{b[2]}:{mark}")
+
+    def _lattice(self, text: str, cands: list) -> tuple[list, list[list[int]], dict]:
+        """Segments by end, the ones that may precede each, and the transitions' scores of the close ones."""
+        cands = sorted(cands, key=lambda c: (c[1], c[0]))
+        before = [[i for i in range(j) if cands[i][1] <= c[0]] for j, c in enumerate(cands)]
+        close = {(i, j): f for j, c in enumerate(cands) for i in before[j] if (f := self.between(text, cands[i], c))}
+        return cands, before, close
+
     def decode(self, text: str) -> list[tuple[int, int, str]]:
-        """The best segmentation: semi-Markov Viterbi over the end points of candidates."""
-        segs = [(lo, hi, k, s) for lo, hi, k, f in candidates(text) if (s := self.score(f)) > 0]
-        if not segs:
+        """The best segmentation: semi-Markov Viterbi over segments."""
+        cands = candidates(text)
+        if not cands:
             return []
-        if len(segs) == 1:
-            return [segs[0][:3]]
-        points = sorted({p for lo, hi, _, _ in segs for p in (lo, hi)})
-        at = {p: i for i, p in enumerate(points)}
-        ends: dict[int, list] = {}
-        for s in segs:
-            ends.setdefault(at[s[1]], []).append(s)
-        best, back = [0.0] * len(points), [None] * len(points)
-        for j in range(1, len(points)):
-            best[j] = best[j - 1]
-            for s in ends.get(j, ()):
-                v = best[at[s[0]]] + s[3]
-                if v > best[j]:
-                    best[j], back[j] = v, s
-        out, j = [], len(points) - 1
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                out.append(back[j][:3])
-                j = at[back[j][0]]
+        cands, before, close = self._lattice(text, cands)
+        best, back = [], []
+        for j, c in enumerate(cands):
+            v, b = 0.0, None
+            for i in before[j]:
+                x = best[i] + (self.score(close[i, j]) if (i, j) in close else 0.0)
+                if x > v:
+                    v, b = x, i
+            best.append(v + self.score(c[3]))
+            back.append(b)
+        j = max(range(len(cands)), key=lambda k: best[k])
+        if best[j] <= 0:
+            return []
+        out = []
+        while j is not None:
+            out.append(cands[j][:3])
+            j = back[j]
         return out[::-1]
 
-    def gradient(self, text: str, gold: set[tuple[int, int, str]], grad: dict[str, float]) -> float:
+    def gradient(self, text: str, gold: set[tuple[int, int, str]], grad: dict[str, float], known: bool = True) -> float:
         """Add the gradient of the conditional log likelihood (forward-backward
         over segmentations); gives the log likelihood."""
-        cands = candidates(text)
+        cands = candidates(text, known)
         if not cands:
             return 0.0
-        points = sorted({p for c in cands for p in c[:2]})
-        at = {p: i for i, p in enumerate(points)}
-        n = len(points)
-        segs = [(at[c[0]], at[c[1]], self.score(c[3]), c) for c in cands]
-        fwd, bwd = [0.0] * n, [0.0] * n
-        into: dict[int, list] = {}
-        outof: dict[int, list] = {}
-        for s in segs:
-            into.setdefault(s[1], []).append(s)
-            outof.setdefault(s[0], []).append(s)
+        cands, before, close = self._lattice(text, cands)
+        n = len(cands)
+        own = [self.score(c[3]) for c in cands]
+        step = {k: self.score(f) for k, f in close.items()}
 
         def lse(xs: list[float]) -> float:
             m = max(xs)
             return m + math.log(sum(math.exp(x - m) for x in xs))
 
-        for j in range(1, n):
-            fwd[j] = lse([fwd[j - 1], *(fwd[s[0]] + s[2] for s in into.get(j, ()))])
-        for i in range(n - 2, -1, -1):
-            bwd[i] = lse([bwd[i + 1], *(bwd[s[1]] + s[2] for s in outof.get(i, ()))])
-        z, ll = fwd[n - 1], 0.0
-        for i, j, sc, c in segs:
-            p = math.exp(fwd[i] + sc + bwd[j] - z)
-            y = 1.0 if c[:3] in gold else 0.0
-            ll += sc * y
-            if abs(y - p) > 1e-4:
-                for f in c[3]:
-                    grad[f] = grad.get(f, 0.0) + y - p
+        fwd, bwd = [0.0] * n, [0.0] * n
+        behind: list[list[int]] = [[] for _ in range(n)]
+        for j in range(n):
+            fwd[j] = own[j] + lse([0.0, *(fwd[i] + step.get((i, j), 0.0) for i in before[j])])
+            for i in before[j]:
+                behind[i].append(j)
+        for i in range(n - 1, -1, -1):
+            bwd[i] = lse([0.0, *(own[j] + bwd[j] + step.get((i, j), 0.0) for j in behind[i])])
+        z, ll = lse([0.0, *fwd]), 0.0
+        hit = [c[:3] in gold for c in cands]
+
+        def put(feats: tuple[str, ...], d: float) -> None:
+            if abs(d) > 1e-4:
+                for f in feats:
+                    grad[f] = grad.get(f, 0.0) + d
+
+        for j, c in enumerate(cands):
+            ll += own[j] * hit[j]
+            put(c[3], hit[j] - math.exp(fwd[j] + bwd[j] - z))
+        for (i, j), f in close.items():
+            # Neighbours in the truth: no true segment ends between them.
+            y = hit[i] and hit[j] and not any(hit[k] and cands[i][1] <= cands[k][0] and cands[k][1] <= cands[j][0] for k in range(n))
+            ll += step[i, j] * y
+            put(f, y - math.exp(fwd[i] + step[i, j] + own[j] + bwd[j] - z))
         return ll - z
 
 
 # ---------------------------------------------------------------- training sentences
 
+# Common family names of several languages.
+FAMILY = "Smith Jones Taylor Brown Wilson Evans Walker Wright Hughes Edwards Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Schäfer Bauer Martin Bernard Dubois Moreau Laurent Lefèvre Roux Fournier García Fernández González Rodríguez Sánchez Romero Navarro Rossi Russo Ferrari Esposito Bianchi Silva Santos Oliveira Pereira Costa Jansen Visser Bakker Mulder Novak Svoboda Kowalski Nowak Ivanov Petrov Smirnova Kuznetsova Nguyen Kim Park Chen Singh Patel Khan Haddad Cohen Okafor Mensah Johansson Nielsen Andersen Virtanen Papadopoulos Popescu Horvat Yilmaz Demir O'Neill MacDonald".split()
+_ONSET = "b br c ch cl d dr f fl g gr h j k kh kl l m n p pr r s sh st t tr v w y z".split()
+_VOWEL = "a e i o u ai ea ie ou".split()
+_CODA = " n r l s m th nd rt ck sh ng".split(" ")
+
+
+def _made_up(r: random.Random, syllables: int) -> str:
+    return "".join(r.choice(_ONSET) + r.choice(_VOWEL) + (r.choice(_CODA) if r.random() < 0.5 else "") for _ in range(syllables)).capitalize()
+
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
+def _family(r: random.Random) -> str:
+    return r.choice(FAMILY) if r.random() < 0.4 else _made_up(r, r.choice((2, 2, 3)))
+
+
+def _given(r: random.Random) -> str:
+    return r.choice(GIVEN).capitalize() if r.random() < 0.75 else _made_up(r, 2)
+
+
 def _person(r: random.Random) -> str:
-    g = r.choice(GIVEN)
-    stem = r.choice("Bran Corv Drav Eld Fenn Gral Hart Holtz Ill Kell Lind Marv Nord Ost Porth Quen Rosk Strand Tesk Vand Wex Yst Zell Aldr Brim".split())
-    fam = stem + r.choice("a o e i".split()) * (r.random() < 0.3) + r.choice("ova enko ski sen heimer quist strand ton etti ardo wick borne more rek elin var berg mann ulfsen ington".split())
-    g = g.capitalize()
-    x = r.random()
-    if x < 0.45:
-        return f"{g} {fam}"
-    if x < 0.53:
+    g, fam, x = _given(r), _family(r), r.random()
+    if x < 0.08:
+        return r.choice(DOUBLE_SURNAMES) + "".join(r.choice("伟敏建国晓明丽华文静志强海燕思远若兰子轩") for _ in range(r.choice((1, 2))))
+    if x < 0.12:
+        return r.choice(SINGLE_SURNAMES) + "".join(r.choice("伟敏建国晓明丽华文静志强海燕思远若兰子轩") for _ in range(2))
+    if x < 0.20:
         return f"{fam}, {g}"
-    if x < 0.60:
-        return f"{g} {r.choice('ABCDEKLMRST')}. {fam}"
-    if x < 0.66:
+    if x < 0.28:
+        return f"{g} {r.choice('ABCDEFGHJKLMNPRSTVW')}. {fam}"
+    if x < 0.35:
         return f"{g[0]}. {fam}"
-    if x < 0.71:
-        return f"{r.choice(['Dr.', 'Herr', 'Frau', 'Mr.', 'Mrs.'])} {g} {fam}"
-    if x < 0.77:
-        return f"{g} {fam}".lower()
-    if x < 0.81:
-        return f"{g} {fam}".upper()
-    if x < 0.86:
-        return f"{g} {fam}-{r.choice(['Vand', 'Kell', 'Lind'])}{r.choice(['ova', 'quist', 'rek'])}"
-    if x < 0.95:
-        return r.choice(DOUBLE_SURNAMES) + r.choice("云岫 千寻 景行 清越 知微 听澜 怀瑾 望舒 明 子墨 雨桐".split())
-    return r.choice(SINGLE_SURNAMES) + r.choice("伟 敏 建国 晓明 丽华 子涵".split())
+    if x < 0.41:
+        return f"{r.choice(['Dr.', 'Mr.', 'Mrs.', 'Ms', 'Herr', 'Frau', 'Mme'])} {g} {fam}"
+    if x < 0.53:
+        return (f"{r.choice(GIVEN)} {fam}").lower()
+    if x < 0.57:
+        return (f"{r.choice(GIVEN)} {fam}").upper()
+    if x < 0.63:
+        return f"{g} {fam}-{_family(r)}"
+    if x < 0.66:
+        return f"{g} {r.choice(['van', 'de', 'von', 'da'])} {fam}"
+    return f"{g} {fam}"
 
 
 def _email(r: random.Random) -> str:
-    local = r.choice([f"{r.choice(GIVEN)}.{r.choice(['vandova', 'kellquist', 'ostrom'])}", f"{r.choice(GIVEN)}{_digits(r, 4)}", f"{r.choice(GIVEN)}+mods", f"{r.choice('abcdefg')}lindova", f"gralwick_{_digits(r, 2)}", f"ystan-{r.choice(GIVEN)}"])
-    dom = r.choice(["example.org", "mail.example", "box.example.org", "uni.ostbury.invalid", "post.fenn.example", "guild.test", "example.com", "firma.example.net"])
+    g, fam = r.choice(GIVEN), re.sub(r"[^a-z]", "", _family(r).lower()) or "x"
+    local = r.choice([f"{g}.{fam}", f"{g}{_digits(r, r.choice((2, 4)))}", f"{g}+list", f"{g[0]}{fam}", f"{fam}_{_digits(r, 2)}", f"{fam}-{g}", "support", "info"])
+    if r.random() < 0.15:
+        local = r.choice([local.upper(), local.capitalize()])
+    name = _made_up(r, 2).lower()
+    dom = r.choice([f"{name}.org", f"mail.{name}.com", f"{name}.co.uk", f"{name}-online.de", f"{name}.example", f"{name}.invalid", "example.com", f"dept.{name}.edu", f"{name}.net"])
     x = r.random()
-    if x < 0.5:
-        return f"{local}@{dom}"
+    if x < 0.45:
+        return f"{local}{r.choice('@@@@＠')}{dom}"
     if x < 0.6:
-        return f"{local}＠{dom}"
-    if x < 0.75:
-        return f"{local}(at){dom}"
-    if x < 0.85:
-        return f"{local} [at] {dom.replace('.', ' [dot] ')}"
-    if x < 0.97:
-        return f"{local} AT {dom.replace('.', ' DOT ')}"
-    return f"{local} at {dom.replace('.', ' dot ')}"
+        return f"{local}{r.choice(['(at)', ' (at) ', '[at]', '{at}'])}{dom}"
+    if x < 0.8:
+        return f"{local} {r.choice(['[at]', '(at)'])} {dom.replace('.', r.choice([' [dot] ', ' (dot) ']))}"
+    return f"{local} {r.choice(['AT', 'at'])} {dom.replace('.', r.choice([' DOT ', ' dot ']))}"
 
 
 def _phone(r: random.Random) -> str:
+    """Numbers of the usual national forms, with random digits."""
     n = lambda k: _digits(r, k)
+    area = r.choice([n(2), n(3), n(4)]).replace("0", "7")
+    s = r.choice([" ", " ", "-", ".", " / "])
     x = r.choice(
-        [f"+49 30 23125 {n(3)}", f"030 / 23125-{n(3)}", f"+44 7700 900 {n(3)}", f"07700 900{n(3)}", f"07700 900 {n(3)}", f"+44 (0)20 7946 0{n(3)}", f"0044207946 0{n(3)}", f"+33 1 99 00 {n(2)} {n(2)}", f"01 99 00 {n(2)} {n(2)}", f"{r.randint(200, 989)}-555-01{n(2)}", f"{r.randint(200, 989)}.555.01{n(2)}", f"+1 ({r.randint(200, 989)}) 555-01{n(2)}", f"+1{r.randint(200, 989)}55501{n(2)}", f"010-0000{n(4)}", f"+86 10 0000 {n(4)}", f"+7 495 000-{n(2)}-{n(2)}", f"+81 3-0000-{n(4)}", f"({r.randint(200, 989)}) 555-01{n(2)}", f"138 0000 {n(4)}", f"+34 900 00 {n(2)} {n(2)}"]
+        [
+            f"+{r.randint(1, 98)} {area} {n(3)} {n(3)}", f"+{r.randint(1, 98)} {area} {n(r.choice((5, 6, 7)))}", f"+{r.randint(1, 98)}{area}{n(7)}", f"00{r.randint(20, 98)}{area} {n(r.choice((4, 5, 6)))}", f"00{r.randint(20, 98)} {area} {n(7)}",
+            f"0{area}{s}{n(r.choice((4, 5, 6)))}", f"0{area}{s}{n(5)}-{n(r.choice((2, 3)))}", f"0{n(4)} {n(6)}", f"0{n(4)} {n(3)} {n(3)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"+{r.randint(1, 98)} {n(1)} {n(2)} {n(2)} {n(2)} {n(2)}",
+            f"{r.randint(2, 9)}{n(2)}-{n(3)}-{n(4)}", f"{r.randint(2, 9)}{n(2)}.{n(3)}.{n(4)}", f"({r.randint(2, 9)}{n(2)}) {n(3)}-{n(4)}", f"+1 ({r.randint(2, 9)}{n(2)}) {n(3)}-{n(4)}", f"+{r.randint(1, 98)} (0){n(2)} {n(4)} {n(4)}",
+            f"1{n(2)} {n(4)} {n(4)}", f"0{n(2)}-{n(4)}-{n(4)}", f"0{n(2)}-{n(8)}", f"+{r.randint(1, 98)} {n(2)} {n(4)} {n(4)}", f"+{r.randint(1, 98)} {n(3)} {n(3)}-{n(2)}-{n(2)}", f"+{r.randint(1, 98)} {n(1)}-{n(4)}-{n(4)}", f"+{r.randint(1, 98)} {n(3)} {n(2)} {n(2)} {n(2)}",
+        ]
     )
-    return x + (f" ext. {_digits(r, r.choice((1, 2)))}" if r.random() < 0.12 and x[0] != "0" else "")
+    return x + (f" {r.choice(['ext.', 'x'])} {_digits(r, r.choice((2, 3)))}" if r.random() < 0.1 else "")
 
 
 def _id(r: random.Random) -> tuple[str, str]:
+    """A keyword and a number of an authority's form."""
     n = lambda k: _digits(r, k)
-    key = r.choice
-    return r.choice(
-        [
-            (key(["SSN ", "ssn=", "social security number: "]), f"9{n(2)}-{n(2)}-{n(4)}"),
-            (key(["NINO: ", "NI number ", "national insurance "]), f"QQ {n(2)} {n(2)} {n(2)} {key('ABCD')}"),
-            (key(["NINO: ", "NI number ", "national insurance "]), f"QQ{n(6)}{key('ABCD')}"),
-            (key(["tax_id=", "tax id ", "Steuer-ID ", "TIN "]), f"00 {n(3)} {n(3)} {n(3)}"),
-            (key(["documento ", "DNI ", "dni:"]), f"000{n(5)}{key(['', '-'])}{key('ABCEQZ')}"),
-            (key(["passport no. ", "passport #", "Reisepass Nr. ", "护照号 "]), f"{key(['X0', 'ZZ', 'XQ'])}{n(7)}"),
-            (key(["driver licence ", "licence no. ", "Führerschein Nr. ", "license no. "]), f"VX{n(6)}{key('ABCDEFG')}{n(2)}"),
-            (key(["ID card no. ", "身份证 ", "身份证号:", "identity card "]), f"99{n(16)}"),
-        ]
-    )
+    letter = lambda: r.choice("ABCDEFGHJKLMNPRSTVWXZ")
+    key = r.choice("SSN|ssn|social security number|NINO|NI number|national insurance|tax id|tax_id|TIN|Steuer-ID|Steuernummer|driver licence|licence no.|license no.|driving licence|Führerschein Nr.|passport|passport no.|Reisepass Nr.|passeport|pasaporte|Personalausweis|ID card no.|identity card|ID number|documento|DNI|dni|NIE|codice fiscale|CPF|BSN|身份证|身份证号|护照号|驾驶证号|паспорт|ИНН".split("|"))
+    v = r.choice([f"{n(3)}-{n(2)}-{n(4)}", f"{letter()}{letter()} {n(2)} {n(2)} {n(2)} {letter()}", f"{letter()}{letter()}{n(6)}{letter()}", f"{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(8)}{letter()}", f"{n(8)}-{letter()}", f"{letter()}{n(8)}", f"{letter()}{letter()}{n(7)}", f"{letter()}{n(7)}", f"{letter()}{letter()}{n(6)}{letter()}{n(2)}", n(18), n(11), n(9), n(10), f"{n(2)}-{n(5)}", f"{n(4)} {n(6)}"])
+    return key + r.choice([" ", ": ", "=", ":", " #", "："] if key[0].isascii() else [" ", ":", "：", ""]), v
 
 
 def _address(r: random.Random) -> str:
-    town = r.choice(["Valdrin", "Ostbury", "Upper Grint", "Brackley-on-Mere", "Karsholm", "Fennmoor"])
-    zip5, no = "00" + _digits(r, 3), r.randint(1, 480)
-    name = r.choice(["Old Granary", "Larch Hollow", "Quarry", "Weavers", "Miller's", "Copper Kettle", "North Orchard", "Heron"])
-    en = f"{no} {name} {r.choice(['Street', 'St.', 'Lane', 'Drive', 'Blvd', 'Close', 'Rd', 'Avenue', 'Road'])}"
+    town = r.choice([_made_up(r, 2), _made_up(r, 2), f"{r.choice(['New', 'Upper', 'Port', 'Bad', 'San'])} {_made_up(r, 2)}", f"{_made_up(r, 2)}-{r.choice(['on', 'sur', 'am'])}-{_made_up(r, 1)}"])
+    zip5, no = _digits(r, 5), r.randint(1, 480)
+    name = r.choice(["Church", "Station", "Maple", "High", "Park", "Queen's", "Old Mill", "West Hill", _made_up(r, 2), f"{_made_up(r, 2)} {_made_up(r, 1)}"])
+    en = f"{no}{r.choice(['', '', '', 'b'])} {name} {r.choice(['Street', 'St.', 'Lane', 'Drive', 'Blvd', 'Close', 'Rd', 'Avenue', 'Road', 'Court', 'Way', 'Ave'])}"
     return r.choice(
         [
             en,
+            f"{en}, {town}",
             f"{en}, {town} {zip5}",
-            f"{en}, Apt {r.randint(1, 40)}, {town}, ZZ {zip5}",
-            f"Flat {r.randint(1, 9)}, {en.replace(' ', 'b ', 1)}, {town}",
-            f"{r.choice(['Mühlgasse', 'Lärchenweg', 'Kupferkesselstraße', 'Reiherstr.', 'Salzspeicherallee', 'Am Fenntor'])} {no}{r.choice(['', 'a'])}, {zip5} {town}",
-            f"{no % 90 + 1}{r.choice(['', ' bis', ','])} {r.choice(['rue des Lanternes', 'avenue du Vieux-Moulin', 'impasse des Roseaux', 'boulevard de la Saline'])}, {zip5} {town}",
-            f"{r.choice(['Calle Cobre Viejo', 'C/ de la Fragua', 'Avenida del Molino', 'Plaza del Junco'])} {no % 90 + 1}, {r.randint(1, 6)}.º {r.choice('ABC')}, {zip5} {town}",
-            f"云溪省青岚市{r.choice(['望石', '听潮', '苇岸'])}路{no}号{r.randint(1, 6)}单元{r.randint(1, 20)}0{r.randint(1, 6)}室",
+            f"{en}, {r.choice(['Apt', 'Unit', 'Flat'])} {r.randint(1, 40)}, {town}, {r.choice(['NY', 'CA', 'TX', 'QC'])} {zip5}",
+            f"Flat {r.randint(1, 9)}, {en}, {town}",
+            f"{_made_up(r, 2)}{r.choice(['straße', 'str.', 'weg', 'gasse', 'allee', 'platz'])} {no}{r.choice(['', 'a'])}",
+            f"{_made_up(r, 2)}{r.choice(['straße', 'str.', 'weg', 'gasse', 'allee', 'platz'])} {no}{r.choice(['', 'a'])}, {zip5} {town}",
+            f"{r.choice(['Am', 'Im', 'Zum'])} {_made_up(r, 2)} {no}, {zip5} {town}",
+            f"{no % 90 + 1}{r.choice(['', ' bis', ','])} {r.choice(['rue', 'avenue', 'impasse', 'boulevard', 'place', 'quai'])} {r.choice(['de la Gare', 'du Port', 'des Lilas', 'Victor Hugo', 'Saint-Michel'])}, {zip5} {town}",
+            f"{r.choice(['Calle', 'Avenida', 'Plaza', 'C/'])} {r.choice(['Mayor', 'de la Luna', 'del Sol', 'Real'])} {no % 90 + 1}, {r.randint(1, 6)}.º {r.choice('ABC')}, {zip5} {town}",
+            f"{r.choice(['Via', 'Corso', 'Piazza'])} {r.choice(['Roma', 'Garibaldi', 'della Pace'])} {no % 90 + 1}, {zip5} {town}",
+            f"{_made_up(r, 2)}{r.choice(['straat', 'laan', 'gracht'])} {no}, {_digits(r, 4)} AB {town}",
+            f"{r.choice(['江苏省苏州市', '四川省成都市', '北京市海淀区', '', ''])}{r.choice(['人民', '中山', '解放', '和平', '长江'])}{r.choice('路街')}{no}号{r.choice(['', f'{r.randint(1, 9)}单元{r.randint(1, 20)}0{r.randint(1, 6)}室'])}",
+            f"ул. {r.choice(['Ленина', 'Садовая', 'Мира'])}, д. {no % 90 + 1}",
         ]
-    )
-
-
-# Frames of the training sentences; P E T A stand for a person, an
-# e-mail address, a phone number and an address, K V for a keyword and its number.
-FRAMES = """licensed to {P}|author field: {P}|thanks to {P} for the patch|whitelist request by {P} for slot 5|signed off by {P}|reported by {P}, confirmed on 4.2.1
-ask for {P}, {T}|emergency contact {P} / {T}|guardian {P} gave {K}{V}|Co-owner: {P}, mail {E}|maintainer {P} ({E}) steps down|send the badge to {P}, {A}
-{P} <{E}>|{P}; {A}|{P}, {K}{V}, verified|dank an {P} für die Übersetzung|review by {P} pending|translated by {P}|Hello {P}, welcome back|负责人 {P}
-contact={E} attempts=3|"owner_mail": "{E}", "retries": 7|just write me: {E}|for questions about Kelpmod ask {E}|reach us at {E} or {T}|mail {E}, phone {T}|account {E} linked to profile 3af0
-upload notice sent to {E}|report 0x68 forwarded to {E} after 10 ms|Rückfragen bitte an {E} schicken|联系邮箱:{E},看到请回复|mailto:{E}?subject=crash|your address {E} is unverified
-call me on {T} if the server dies|support line for Kelpmod is now {T}|notify: channel=voice target={T}|on-call pager {T} did not answer|sms alert queued for {T}|Tel. {T}, ab 18 Uhr|"phone":"{T}"|电话 {T} 有问题找我
-billing form rejected: {K}{V}|age check passed with {K}{V}|removed debug output that printed {K}{V}|shop order 16: {K}{V} accepted|mod said he needs my {K}{V} for the refund|实名认证 {K}{V} 已提交
-prize address: {A}|invoice address [{A}] saved|geo lookup for '{A}' failed|lan party at {A} on Saturday|Treffpunkt {A}, bring a mouse|shipping Kelpmod poster to {A}|收件地址:{A}"""
-# Sentences without personal data; N is a run of digits, W a proper noun.
-PLAIN = """session id N18 expired|session id -N19 expired|region window N3, 014, N4 cleared|world seed is -N19|World seed N18 generates the fen again|build 20N6-11N2-44N2 promoted|item 000-N2-N5 has no model|Item 000-N2-N4 renders again
-gave N2 Oak Planks to neon_yak4|pipe length N2 Copper Road segments|pipe length N2 W Road segments|waypoint 'W W Street Station' saved|spawned boss W W at -N4, N3, -N3|renamed W W to W W|mossy_otter9 was slain by W W|TinyYak82 has made the advancement W W
-New boss W W, drops N2 Copper Rods|Renamed W W to W W|Fixed a crash when W W despawns near -N4, N3, N4|profile key N9abN9 @kelpmod|profile key 58fcN9@kelpmod|jar-in-jar kelpmod@2.N1.9.jar shadowed|Jar renamed to kelpmod@3.9.0-beta.9.jar|target dev.lumen.LoomScreen@a7dN4 already transformed
-@Redirect in LoomScreen hit tick@HEAD twice|net.tallow.mail.PipeGraph: smtp disabled|Exception ticking MobBrain at N3, N2, N4|checksum N9ab for level.dat|packet 0xN8 queued for NeonLantern39|ticket N8-efee-4672-a861-N12 closed|Saved chunk batch N2 in N5 ms|Listening on port N5
-Kelpmod™ — “W W” loaded…|» W W « joined · N2 online|W W and W W merged|Fixed W W in W W|Suspected Mods: W W|see W W for details|took N3 ms at N4.N2|The W W now drops W Planks|version 1.N2.N1 needs W 2.N1.0|tick N9 of N10 done|memory N10 bytes of N11|crash at 2025-01-N2 in N8|Reloading W Street textures|N2 W Lane tiles built|N2 W Drive gears|route N2 W Avenue laid out"""
-WORDS = "Salt Shaman Marsh Duchess Gilded Husk Silver Lantern Iron Mooring Velvet Moth Pale Ferryman Hollow Regent Cinder Knight Copper Beetle Ashen Warden Amber Crossing Oak Stone River Golden Ancient Deep Frozen Crystal Shadow Storm Dragon Wither Ender Nether Void Sky Moss Ember Crimson Warped Dusk Dawn Thorn Bramble Moonlit Rusty Royal Spire Golem Serpent Phantom Titan Colossus Witch Queen King Baron Hunter Render Thread Server Loading Fabric Loader Java Runtime Minecraft Version Forge Quilt Netty Worker".split()
+    )
+
+
+# General frames; P E T A stand for a person, an e-mail address, a
+# phone number and an address, K V for a keyword and its number, W for the name
+# of a thing, N for a number.
+FRAMES = """{P}|- {P}|{P}.|By {P}|Written by {P}|Posted by {P} yesterday|Author: {P}|author={P}|Credits go to {P}|Many thanks to {P} for testing|Special thanks to {P}!|Copyright N {P}|Licensed to {P}|Owner: {P}|Maintained by {P}|Reviewed by {P}, merged
+Request from {P}|Approved by {P} on Monday|Submitted by {P} for review|My name is {P}|my real name is {P}, ok?|I am {P} and I live at {A}|This is {P} speaking|Dear {P},|Hi {P}, how are you?|Kind regards, {P}|Grüße von {P}|Danke an {P} für alles|Merci à {P} pour son aide|Gracias a {P} por todo|Vielen Dank, {P}
+Please call {P}, {T}|Contact: {P}, {T}|Contact {P} / {T}|in emergencies phone {P} / {T}|Parent: {P}|{P} has given {K}{V}|{P} showed {K}{V}|Teacher {P} said so|{P} <{E}>|{P} ({E})|"{P}" <{E}>|{P}, {E}|{P}; {A}|{P}, {A}|{P}, {K}{V}, checked|{P}: {T}|Send it to {P}, {A}|Deliver to {P}, {A}, please|administrator {P} ({E}) resigned|Partner: {P}, mail {E}
+联系人:{P}|姓名:{P},电话:{T}|作者 {P}|负责人:{P},请回复|译者:{P}|翻译:{P}|автор: {P}|Спасибо, {P}
+email={E}|E-mail: {E}|"email": "{E}",|mail me: {E}|Write to {E} for details|please ask {E}|Reach me at {E} or {T}|account {E} created|user {E} logged in after N ms|message sent to {E}|mailto:{E}|Bitte an {E} senden|邮箱:{E},谢谢|mail {E}, phone {T}|Your address {E} is not verified|address={E} tries=N
+Call {T} now|phone: {T}|phone={T}|"phone": "{T}"|Tel. {T}|Tel.: {T}, werktags|mobile {T} did not answer|text me on {T} tonight|hotline is now {T}|our new number is {T}|sms to {T} queued|alert: target={T}|pager {T} failed|电话:{T}|手机 {T} 联系我|fax {T}|Rufnummer {T}
+{K}{V}|{K}{V} accepted|form rejected: {K}{V}|please check {K}{V}|printed {K}{V} by mistake|he wanted my {K}{V} for a refund|order N: {K}{V} is valid|verified with {K}{V}|认证 {K}{V} 已提交|Bitte {K}{V} angeben
+Address: {A}|address={A}|"address": "{A}"|invoice to [{A}] stored|ship it to {A}|parcel for {A} returned|we meet at {A} on Friday|party at {A} tonight|lookup of '{A}' failed|Treffpunkt: {A}|Treffen wir uns {A}, ja?|Livraison : {A}|地址:{A}|收货地址:{A}|the poster goes to {A}|{A}"""
+# General sentences without personal data.
+PLAIN = """session N opened|session id -N closed|seed: -N|world seed is N|build N promoted|build N.N.N.N-N done|region N, N, N saved|chunk at -N, N, -N|position (-N.N, N.N, N.N)|item N-N-N is missing|part no. N-N-N|item 000-N-N shown|serial 000-N-N|article N-N-N sold out|model N-NN|port N in use|pid N exited|took N ms (N bytes)|memory N/N bytes used|N of N done|version N.N.N-beta.N|range N-N|ratio N.N/N.N|checksum NN ok|hash 3fN9abN|id 0xN|crc N N N N|ticket N-NN-ab|offset N +N|from N to N|uid N gid N|epoch N|timer N.Ns|frames N N N N N|progress N/N
+gave N W to player|dropped N W|spawned W W at N, N, N|renamed W W to W W|W W was slain by W W|player has made the advancement W W|killed by W W|shot by W W using W W|attacked by W W|New boss: W W|Fixed a crash when W W dies|Fixed W in W|Fixed W W in W W|Moved W out of the loop|Moved WW out of W|Renamed W W|Renamed W to W|Fixed WWException in WW|Fixed WError|Changed W W to W W|Improved W handling|Updated W|Ohne W geht es|Mit W W läuft es nicht|Mit der W N.N geht es|In der W N ist das so|Auf dem W W|Sur la W N.N|En la W W|Nach der W W|Sans W tout va bien|Sin W W funciona|Con W W no|Since W N.N the W fails|After W W the W stops|When W W is near|The W W|Every W has W|Better W W|New W W|More W W|W W and W W merged|Added W W and W W|Removed W W|updated to W W N.N|see W W for details|Reloading W W|Loading W W|W W loaded|using W W backend|requires W W N.N.N|W W needs W W|craft N W W|open the W W menu|the W W now drops W|biome W W registered|waypoint 'W W' saved|waypoint 'W W W Street' set|texture W Street loaded|built N W Road segments|N W Lane tiles|N W Drive gears|N W Court blocks placed|laid N W Way pieces|welcome to W W|joined W W|W W joined|» W W « joined|"W W" loaded|“W W” loaded|W W™ N|Suspected Mods: W W|Description: W W|Caused by: W W|Error in W W|enemy W W appeared|W. W|quest W W finished by player|thanks to W W the game runs|from W W to W W|by W
+mixin W@HEAD failed|library@N.N.N loaded|foo-N.N.jar@main|target com.acme.W@7aN4|hook W @Redirect tick@TAIL|plugin at N.N.N|crash at W.tick|started at N.N|stopped at com.acme.W.run|token @everyone|package at version N.N|config@N.json|profile N@host
+at java.lang.Thread.run(Thread.java:N)|\tat com.acme.W.run(W.java:N)|java.lang.IllegalStateException: N|Exception in thread "main"|Exception ticking W at N, N, N|http://N.N.N.N:N/x|GET /api/N/N HTTP/N.N N|Listening on N.N.N.N:N|UUID NN-N-4N-aN-NN|date N-N-N|expires N/N/N|licence key missing|tax applied: N|passport module loaded|document N opened|the license N.N applies|insurance of W W|id card reader N found"""
+WORDS = "Ancient Golden Iron Copper Silver Shadow Crystal Frost Ember Storm River Stone Oak Birch Royal Wild Dark Deep Fallen Hidden Lost Burning Frozen Mossy Rusty Pale Crimson Azure Dragon Golem Knight Witch Queen King Hunter Serpent Phantom Titan Wolf Spider Guardian Sentinel Sword Shield Hammer Lantern Anvil Barrel Furnace Ladder Portal Tower Temple Village Forest Ocean Desert Cavern Bridge Render Thread Server Client Worker Loader Runtime Manager Engine Native Library Graphics Driver Memory Shader Resource Pack Config Screen Button".split()
 
 
 def _head(r: random.Random) -> str:
+    """Heads of log lines of general programs."""
     d = lambda k: _digits(r, k)
+    clock, day = f"{d(2)}:{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}"
     return r.choice(
-        [f"[{d(2)}:{d(2)}:{d(2)}] [Server thread/INFO]: ", f"[{d(2)}May2025 {d(2)}:{d(2)}:{d(2)}.{d(3)}] [Netty Worker #{d(2)}/WARN] [org.kelp.SaveQueue/NET]: ", f"2025-05-{d(2)} {d(2)}:{d(2)}:{d(2)},{d(3)} INFO  [main] dev.lumen.LoomScreen - ", f"174{d(10)}|INFO|Render thread|org.kelp.SaveQueue|", f"0{d(1)}-1{d(1)} 0{d(1)}:{d(2)}:{d(2)}.{d(3)}  {d(4)}  {d(4)} I PipeGraph: ", f"time=2025-01-{d(2)}T{d(2)}:{d(2)}:{d(2)}.{d(3)}Z level=info component=gg.kelp.SaveQueue msg=", f"Mar {d(2)} {d(2)}:{d(2)}:{d(2)} node-e mcserver[{d(5)}]: ", f"[{d(5)}.{d(3)}s][info   ][gc,heap] ", "INFO: ", "- ", "* ", "1. ", "  ", "<neon_yak7> "]
+        [
+            f"[{clock}] [{r.choice(['main', 'Server thread', 'Render thread', 'Worker-' + d(2), 'Netty Client #' + d(1), 'Render Worker', 'Sound Engine', r.choice(WORDS) + ' ' + r.choice(WORDS)])}/{r.choice(['INFO', 'WARN', 'ERROR'])}]: ", f"[{d(2)}Mar{day[:4]} {clock}.{d(3)}] [main/INFO] [com.acme.App/CORE]: ", f"{day} {clock},{d(3)} INFO  [main] com.acme.App - ",
+            f"{d(13)}|INFO|main|com.acme.App|", f"{d(2)}-{d(2)} {clock}.{d(3)}  {d(4)}  {d(4)} I App: ", f"time={day}T{clock}.{d(3)}Z level=info component=app msg=", f"Jun {d(2)} {clock} host-1 app[{d(5)}]: ", f"[{d(4)}.{d(3)}s][info   ][gc] ",
+            f'{{"ts": "{day}T{clock}.{d(3)}+00:00", "level": "info", "logger": "com.acme.App", "msg": "', "INFO: ", "* ", "1. ", "  ", "<player> ", f"<User_{d(2)}> ", "[Chat] ",
+        ]
     )
 
 
-def training_set(n: int = 2400, seed: int = 7) -> list[tuple[str, set[tuple[int, int, str]]]]:
+def training_set(n: int = 3000, seed: int = 7) -> list[tuple[str, set[tuple[int, int, str]]]]:
+    """Sentences with their segments; half of them hold none."""
     r = random.Random(seed)
     frames = [f for line in FRAMES.split("\n") for f in line.split("|")]
     plain = [f for line in PLAIN.split("\n") for f in line.split("|")]
+
+    def fill_plain(t: str) -> str:
+        t = re.sub(r"N", lambda _: _digits(r, r.choice((1, 2, 2, 3, 4, 5, 7, 10, 13, 19))), t)
+        t = t.replace("WW", "".join(r.choice(WORDS) for _ in range(2))) if "WW" in t else t
+        return re.sub(r"\bW(?=Error|Exception|\b)", lambda _: r.choice(WORDS) if r.random() < 0.7 else _made_up(r, 2), t)
+
     out = []
     for i in range(n):
         if i % 2:
-            t = re.sub(r"N(\d+)", lambda m: r.choice("123456789") + _digits(r, int(m[1]) - 1), r.choice(plain))
-            t = re.sub(r"\bW\b", lambda _: r.choice(WORDS), t)
-            out.append(((_head(r) if r.random() < 0.5 else "") + t, set()))
+            out.append(((_head(r) if r.random() < 0.5 else "") + fill_plain(r.choice(plain)), set()))
             continue
         k, v = _id(r)
         fill = {"P": (_person(r), "person"), "E": (_email(r), "email"), "T": (_phone(r), "phone"), "A": (_address(r), "address"), "K": (k, None), "V": (v, "id_number")}
@@ -410,20 +523,25 @@ def training_set(n: int = 2400, seed: int = 7) -> list[tuple[str, set[tuple[int,
                     gold.add((len(text), len(text) + len(s), kind))
                 text += s
             else:
-                text += part
+                text += re.sub(r"N", lambda _: _digits(r, r.choice((1, 2, 4))), part)
         out.append((text, gold))
     return out
 
 
-def train(n: int = 2400, rounds: int = 14, rate: float = 0.25, l2: float = 2e-3, seed: int = 7) -> SemiCRF:
+#: So many sentences are read without the list of given names.
+HIDDEN = 0.3
+
+
+def train(n: int = 3000, rounds: int = 8, rate: float = 0.25, l2: float = 2e-3, seed: int = 7) -> SemiCRF:
     """Stochastic gradient ascent with AdaGrad steps on the conditional likelihood."""
-    data, model, seen = training_set(n, seed), SemiCRF(), {}
     r = random.Random(seed)
+    data = [(t, g, r.random() >= HIDDEN) for t, g in training_set(n, seed)]
+    model, seen = SemiCRF(), {}
     for _ in range(rounds):
         r.shuffle(data)
-        for text, gold in data:
+        for text, gold, known in data:
             g: dict[str, float] = {}
-            model.gradient(text, gold, g)
+            model.gradient(text, gold, g, known)
             for f, v in g.items():
                 v -= l2 * model.w.get(f, 0.0)
                 seen[f] = seen.get(f, 0.0) + v * v
@@ -432,49 +550,30 @@ def train(n: int = 2400, rounds: int = 14, rate: float = 0.25, l2: float = 2e-3,
     return model
 
 
-def may_hold(text: Column) -> Column:
-    """False only for texts without a candidate segment."""
-    ascii_part = reduce(lambda a, b: a | b, [text.rlike(p) for p in MAY_HOLD])
-    return ascii_part | ((F.octet_length(text) > F.length(text)) & text.rlike(MAY_HOLD_FOREIGN))
-
-
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "address": "<ADDRESS>", "person": "<PERSON>"}
 
 
-#: The head of a log line: time, thread, level and logger in the usual layouts.
-HEAD = (
-    r"^(?:[\w.-]+-\d+ +\| )?(?:\x1b\[[0-9;]*m)?(?:(?:\[[^\]]{0,80}\](?:\x1b\[0m)? ?)*\[[^\]]{0,80}\](?:\x1b\[0m)?: ?|\[[\d.,]+s\]\[\w+ *\]\[[\w,]*\] ?"
-    r"|\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d[.,]\d+ +\w+ +\[[^\]]*\] \S+ - |\d\d-\d\d \d\d:\d\d:\d\d\.\d+ +\d+ +\d+ \w \w+: |\d{13}\|\w+\|[^|]*\|[^|]*\||time=\S+ level=\w+ component=\S+ msg=|\{\"@t\": ?\"[^\"]*\",.{0,140}?\"msg\": ?\"|[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d \S+ \S+\[\d+\]: )"
-)
-
-
-def head_length(line: Column) -> Column:
-    """The number of characters of a log line's head (0 without one)."""
-    return F.length(F.regexp_extract(line, HEAD, 0))
-
-
 def redact(texts: DataFrame, model: SemiCRF | None = None) -> DataFrame:
     """``source, rec_id, kinds, redacted`` for each record of ``source, rec_id,
-    text`` (and optionally ``head``, the length of a log line's head, which is
-    no candidate) in which something was found; all other texts stay as they are.
+    text`` in which something was found; all other texts stay as they are.
 
     ``kinds`` are the distinct types found; in ``redacted`` each segment is
     replaced by the placeholder of its type and all else is unchanged.  Lines of
-    a text are taken one by one.  Null and empty texts have no row; equal records
+    a text are taken one by one, so a segment that goes on over a line's end is
+    found in parts or not at all.  Null and empty texts have no row; equal records
     count once; an empty table gives an empty result; other columns, whatever
     their names, are not read.
     """
     model = model or train()
-    head = F.col("head") if "head" in texts.columns else F.lit(0)
-    some = texts.select("source", "rec_id", "text", head.alias("head")).where(may_hold(F.expr("substr(text, head + 1)") if "head" in texts.columns else F.col("text"))).distinct()
+    some = texts.select("source", "rec_id", "text").where(may_hold(F.col("text"))).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, tuple] = {}
         for pdf in batches:
             rows = []
-            for s, i, t, h in zip(pdf["source"].to_list(), pdf["rec_id"].to_list(), pdf["text"].to_list(), pdf["head"].to_list(), strict=True):
-                parts, kinds = [t[:h]], set()
-                for line in t[h:].splitlines(keepends=True):
+            for s, i, t in zip(pdf["source"].to_list(), pdf["rec_id"].to_list(), pdf["text"].to_list(), strict=True):
+                parts, kinds = [], set()
+                for line in t.splitlines(keepends=True):
                     hit = memo.get(line)
                     if hit is None:
                         segs = model.decode(line)
