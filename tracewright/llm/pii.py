@@ -85,37 +85,57 @@ def _trie(words: list[str]) -> str:
     return f"(?:{body})?" if "" in words and body else body
 
 
-#: Gates by candidate family: explicit classes only, so Java and Python agree.  (pattern, whether ASCII case is folded)
+def _any_of(patterns: tuple[str, ...]) -> str:
+    """Alternatives grouped by their first character, so that few are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for p in patterns:
+        plain = p[0] not in "([\\" and p[1:2] not in ("?", "*", "+", "{")
+        heads.setdefault(p[0] if plain else "", []).append(p[1:] if plain else p)
+    return "(?:" + "|".join(x for c, rest in heads.items() for x in ([c + "(?:" + "|".join(rest) + ")"] if c else rest)) + ")"
+
+
+_LEVEL = "(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)"
+# What several gates need; it is tested first, being cheap.
+_FIVE, _SEVEN, _THEN_DIGIT, _NUMBER = r"[0-9](?:[ -]?[A-Za-z]?[0-9]){4}", r"[0-9](?:[ ./()-]{0,3}[0-9]){6}", r"[ \t][0-9]", r"[a-zß.][ \t]{1,3}[0-9]"
+#: Gates by candidate family: patterns that must all be found, the last with ASCII case folded or not.  Explicit
+#: classes only, so Java and Python agree; of the seven digits also once moments are left out.
 GATES = {
-    "caps": (r"[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+[ \t]+(?:[A-ZА-Я]\.?[ \t]*)?(?:(?:de|del|di|da|van|von|der|den|la|le|al|bin|zu)[ \t]+)*[A-ZÀ-ÖØ-ÞА-ЯІЇЄ]", False),
-    "initial": (r"[A-Z]\.[ \t]?[A-ZÀ-ÖØ-Þ]|[^ \t],[ \t][A-Z]\.", False),
-    "given": (rf"[^A-Za-z](?:{_trie(list(GIVEN))})[^A-Za-z]", True),
-    "sign": (r"[@＠]|[A-Za-z0-9][ \t]*[ \t(\[{]at[)\]} \t][ \t]*[A-Za-z0-9-]{1,41}[ \t]*(?:\.|[ \t(\[{]dot[ \t)\]}])", True),
-    "digits": (r"[0-9](?:[ ./()-]{0,3}[0-9]){6}", False),
-    "key": (_KEYS + r"[^0-9\n]{0,16}[0-9]", True),
-    "street_en": (rf"[0-9][a-zA-Z]?[ \t]+(?:{_CAP.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'n')}[ \t]+){{1,4}}{_EN}", False),
-    "street_de": (rf"{_DE}[ \t]+[0-9]|{_AM}[ \t][{_UP}][^ \t\n]*[ \t](?:[^ \t\n]+[ \t])?[0-9]|{_NL}[ \t]+[0-9]", False),
-    "street_fr": (rf"[0-9][ \t]?(?:bis|ter|quater)?[ \t]?[a-zA-Z]?,?[ \t]+{_FR}[ \t]", False),
-    "street_es": (rf"{_ES}[ \t]*[^0-9\n]{{1,80}}[ \t][0-9]", False),
-    "street_cjk": (rf"[路街道巷弄][0-9]|[市区町村][^0-9\n]{{1,10}}[0-9]|[로길] ?[0-9]|{_RU}[ \t]", False),
-    "han": (rf"(?:{_trie(DOUBLE_SURNAMES)})[一-鿿]|[{SINGLE_SURNAMES}][一-鿿]", False),
+    "caps": ((r"[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+[ \t]+(?:[A-ZА-Я]\.?[ \t]*)?(?:(?:de|del|di|da|van|von|der|den|la|le|al|bin|zu)[ \t]+)*[A-ZÀ-ÖØ-ÞА-ЯІЇЄ](?:[a-zß-ÿ]*+(?![ \t]?#?[0-9]*/|[ \t]?#[0-9])|[a-zß-ÿ]*+/" + _LEVEL + r"\])",), False),
+    "initial": ((r"[A-Z]\.[ \t]?[A-ZÀ-ÖØ-Þ]|[^ \t],[ \t][A-Z]\.",), False),
+    "given": ((r"(?<![A-Za-z])(?:" + re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", _trie(list(GIVEN))) + r")(?![A-Za-z])",), False),
+    "sign": ((r"[@＠]|[A-Za-z0-9][ \t]{0,3}[ \t(\[{][ \t]*at[)\]} \t][ \t]*[A-Za-z0-9-]{1,41}[ \t]*(?:\.|[ \t(\[{]dot[ \t)\]}])",), True),
+    "digits": ((_SEVEN,), False),
+    "key": ((_FIVE, r"(?<![A-Za-z])" + _any_of(ID_KEYS) + r"[^0-9\n]{0,16}[0-9]"), True),
+    "street_en": ((rf"[0-9][a-zA-Z]?[ \t]+(?:{_CAP.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'n')}[ \t]+){{1,4}}{_EN}",), False),
+    "street_de": ((_NUMBER, rf"{_DE}[ \t]+[0-9]|(?<![A-Za-z]){_AM}[ \t][{_UP}][^ \t\n]*[ \t](?:[^ \t\n]+[ \t])?[0-9]|{_NL}[ \t]+[0-9]"), False),
+    "street_fr": ((rf"[0-9][ \t]?(?:bis|ter|quater)?[ \t]?[a-zA-Z]?,?[ \t]+{_FR}[ \t]",), False),
+    "street_es": ((_THEN_DIGIT, rf"(?<![A-Za-z]){_ES}[ \t]*[^0-9\n]{{1,80}}[ \t][0-9]"), False),
+    "street_cjk": ((rf"[路街道巷弄][0-9]|[市区町村][^0-9\n]{{1,10}}[0-9]|[로길] ?[0-9]|{_RU}[ \t]",), False),
+    "han": (("[一-鿿]{2}", rf"(?:{_trie(DOUBLE_SURNAMES)})[一-鿿]|[{SINGLE_SURNAMES}][一-鿿]",), False),
 }
-_GATES = {k: re.compile(p, re.A | re.I if fold else re.A) for k, (p, fold) in GATES.items()}
+_GATES = {k: tuple(re.compile(p, re.A | re.I if fold and p is ps[-1] else re.A) for p in ps) for k, (ps, fold) in GATES.items()}
 _STAMP = re.compile(STAMP, re.A)
 
 
+def _passes(gate: str, line: str) -> bool:
+    return all(p.search(line) for p in _GATES[gate]) and (gate != "digits" or _GATES["digits"][0].search(_STAMP.sub("T", line)) is not None)
+
+
 def gates(line: str) -> set[str]:
-    """The gates that a text passes, moments left out."""
-    t = f" {_STAMP.sub('T', line)} "
-    return {k for k, p in _GATES.items() if p.search(t)}
+    """The gates that a text passes."""
+    return {k for k in _GATES if _passes(k, line)}
 
 
 def may_hold(text: Column) -> Column:
     """False only for texts without a candidate segment: those that pass no gate."""
-    t = F.concat(F.lit(" "), F.regexp_replace(text, STAMP, "T"), F.lit(" "))
     foreign = F.octet_length(text) > F.length(text)
-    tests = {k: t.rlike(("(?i)" if fold else "") + p) for k, (p, fold) in GATES.items()}
-    return reduce(lambda a, b: a | b, [foreign & c if k in ("street_cjk", "han") else c for k, c in tests.items()])
+    out = F.lit(False)
+    for k, (ps, fold) in GATES.items():
+        c = reduce(lambda a, b: a & b, [text.rlike(("(?i)" if fold and p is ps[-1] else "") + p) for p in ps])
+        if k == "digits":
+            c = c & F.regexp_replace(text, STAMP, "T").rlike(ps[0])
+        out = out | (foreign & c if k in ("street_cjk", "han") else c)
+    return out
 
 
 # ---------------------------------------------------------------- candidates
@@ -157,7 +177,7 @@ PERSON = (
     ("given", "family_given", re.compile(rf"{_LEFT}()({_fam}),[ \t]+((?i:{_G}))(?:[ \t]+[A-Z]\.)?{_RIGHT}")),
     ("initial", "initial_family", re.compile(rf"{_LEFT}({_TITLES})?((?:[A-Z]\.[ \t]?){{1,2}})[ \t]?({_FAM}){_RIGHT}")),
     ("initial", "family_initial", re.compile(rf"{_LEFT}()({_FAM}),[ \t]([A-Z]\.(?:[ \t]?[A-Z]\.)?)(?!\w)")),
-    ("caps", "two_capitals", re.compile(rf"{_LEFT}(?=(({_TITLES})?([A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+)(?:[ \t]+[A-ZА-Я]\.)?[ \t]+({_PART}[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][\w'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?)){_RIGHT})")),
+    ("caps", "two_capitals", re.compile(rf"{_LEFT}(?=(({_TITLES})?([A-ZÀ-ÖØ-ÞА-ЯІЇЄ][a-zß-ÿа-яіїє'’-]+)(?:[ \t]+[A-ZА-Я]\.)?[ \t]+({_PART}[A-ZÀ-ÖØ-ÞА-ЯІЇЄ][\w'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?)){_RIGHT}(?![ \t]?#[0-9]|[ \t]?[0-9]*/(?!{_LEVEL})))")),
     ("han", "double_surname", re.compile(rf"()((?:{_trie(DOUBLE_SURNAMES)})[一-鿿]{{1,2}})()(?![一-鿿])")),
     ("han", "single_surname", re.compile(rf"(?<![一-鿿ぁ-ヿ｡-ﾟ�])()([{SINGLE_SURNAMES}][一-鿿]{{1,2}})()(?![一-鿿ぁ-ヿ｡-ﾟ�])")),
 )
@@ -167,6 +187,7 @@ _AFTER = re.compile(r"^\W{0,2}?([^\W_]+|[^\w\s])")
 PERSONAL = frozenset("by from author authors contact maintainer owner manager mr mrs ms dr herr frau señor señora madame monsieur dear hello hi hallo hola thanks thank regards sincerely signed name named guardian tutor parent mother father brother sister wife husband customer client patient holder sender recipient employee colleague attn von an für an de por par pour door van от для 作者 译者 翻译 负责人 联系人 姓名 先生 女士 автор".split())
 
 
+_FOLD = dict.fromkeys(map(ord, "123456789"), "0")
 _CAMEL = re.compile(r"[a-z](?:[A-Z]|[0-9])(?<!Mc[A-Z])(?<!Mac[A-Z])")
 
 
@@ -185,8 +206,9 @@ def candidates(text: str, known: bool = True) -> list[tuple[int, int, str, tuple
     def add(lo: int, hi: int, kind: str, *own: str) -> None:
         if hi - lo > LONGEST or any(a < hi and lo < b for a, b in stamps):
             return
-        w = _BEFORE.search(text[max(0, lo - 32) : lo])
-        v = _AFTER.search(text[hi : hi + 20])
+        # Digits of the context are folded: which ones they are tells nothing.
+        w = _BEFORE.search(text[max(0, lo - 32) : lo].translate(_FOLD))
+        v = _AFTER.search(text[hi : hi + 20].translate(_FOLD))
         one, two = (w[2].lower()[-12:], (w[1] or "").lower()[-12:]) if w else ("", "")
         after = v[1].lower()[:12] if v else ""
         f = [f"{kind}:bias", *(f"{kind}:{x}" for x in own), f"{kind}:<{one}", f"{kind}:<<{two} {one}", f"{kind}:>{after}"]
@@ -478,8 +500,8 @@ Call {T} now|phone: {T}|phone={T}|"phone": "{T}"|Tel. {T}|Tel.: {T}, werktags|mo
 Address: {A}|address={A}|"address": "{A}"|invoice to [{A}] stored|ship it to {A}|parcel for {A} returned|we meet at {A} on Friday|party at {A} tonight|lookup of '{A}' failed|Treffpunkt: {A}|Treffen wir uns {A}, ja?|Livraison : {A}|地址:{A}|收货地址:{A}|the poster goes to {A}|{A}"""
 # General sentences without personal data.
 PLAIN = """session N opened|session id -N closed|seed: -N|world seed is N|build N promoted|build N.N.N.N-N done|region N, N, N saved|chunk at -N, N, -N|position (-N.N, N.N, N.N)|item N-N-N is missing|part no. N-N-N|item 000-N-N shown|serial 000-N-N|article N-N-N sold out|model N-NN|port N in use|pid N exited|took N ms (N bytes)|memory N/N bytes used|N of N done|version N.N.N-beta.N|range N-N|ratio N.N/N.N|checksum NN ok|hash 3fN9abN|id 0xN|crc N N N N|ticket N-NN-ab|offset N +N|from N to N|uid N gid N|epoch N|timer N.Ns|frames N N N N N|progress N/N
-gave N W to player|dropped N W|spawned W W at N, N, N|renamed W W to W W|W W was slain by W W|player has made the advancement W W|killed by W W|shot by W W using W W|attacked by W W|New boss: W W|Fixed a crash when W W dies|Fixed W in W|Fixed W W in W W|Moved W out of the loop|Moved WW out of W|Renamed W W|Renamed W to W|Fixed WWException in WW|Fixed WError|Changed W W to W W|Improved W handling|Updated W|Ohne W geht es|Mit W W läuft es nicht|Mit der W N.N geht es|In der W N ist das so|Auf dem W W|Sur la W N.N|En la W W|Nach der W W|Sans W tout va bien|Sin W W funciona|Con W W no|Since W N.N the W fails|After W W the W stops|When W W is near|The W W|Every W has W|Better W W|New W W|More W W|W W and W W merged|Added W W and W W|Removed W W|updated to W W N.N|see W W for details|Reloading W W|Loading W W|W W loaded|using W W backend|requires W W N.N.N|W W needs W W|craft N W W|open the W W menu|the W W now drops W|biome W W registered|waypoint 'W W' saved|waypoint 'W W W Street' set|texture W Street loaded|built N W Road segments|N W Lane tiles|N W Drive gears|N W Court blocks placed|laid N W Way pieces|welcome to W W|joined W W|W W joined|» W W « joined|"W W" loaded|“W W” loaded|W W™ N|Suspected Mods: W W|Description: W W|Caused by: W W|Error in W W|enemy W W appeared|W. W|quest W W finished by player|thanks to W W the game runs|from W W to W W|by W
-mixin W@HEAD failed|library@N.N.N loaded|foo-N.N.jar@main|target com.acme.W@7aN4|hook W @Redirect tick@TAIL|plugin at N.N.N|crash at W.tick|started at N.N|stopped at com.acme.W.run|token @everyone|package at version N.N|config@N.json|profile N@host
+gave N W to player|dropped N W|spawned W W at N, N, N|renamed W W to W W|W W was slain by W W|player has made the advancement W W|killed by W W|shot by W W using W W|attacked by W W|New boss: W W|Fixed a crash when W W dies|Fixed W in W|Fixed W W in W W|Moved W out of the loop|Moved WW out of W|Renamed W W|Renamed W to W|Fixed WWException in WW|Fixed WError|Changed W W to W W|Improved W handling|Updated W|Ohne W geht es|Mit W W läuft es nicht|Mit der W N.N geht es|In der W N ist das so|Auf dem W W|Die W von gestern ist weg|Der W W fehlt|Beim W hängt es|Das W W geht nicht|Beim W der W stürzt es ab|Im W W|Alle W W sind weg|Kein W W mehr|Les W W sont là|Renamed W W to W W|- Renamed W W to W W|- Removed W W|* Added W W|1. Fixed W W|- Die W W|Sur la W N.N|En la W W|Nach der W W|Sans W tout va bien|Sin W W funciona|Con W W no|Since W N.N the W fails|After W W the W stops|When W W is near|The W W|Every W has W|Better W W|New W W|More W W|W W and W W merged|Added W W and W W|Removed W W|updated to W W N.N|see W W for details|Reloading W W|Loading W W|W W loaded|using W W backend|requires W W N.N.N|W W needs W W|craft N W W|open the W W menu|the W W now drops W|biome W W registered|waypoint 'W W' saved|waypoint 'W W W Street' set|texture W Street loaded|built N W Road segments|N W Lane tiles|N W Drive gears|N W Court blocks placed|laid N W Way pieces|welcome to W W|joined W W|W W joined|» W W « joined|"W W" loaded|“W W” loaded|W W™ N|Suspected Mods: W W|Description: W W|Caused by: W W|Error in W W|enemy W W appeared|W. W|quest W W finished by player|thanks to W W the game runs|from W W to W W|by W
+mixin W@HEAD failed|library@N.N.N loaded|package renamed to library@N.N+xN.N.jar|core@N.N+apiN.N.N.zip|install tool@N.N.N|tool@N.N-beta.N|- uses addon@N.N+N|addon@N.N resolved|foo-N.N.jar@main|target com.acme.W@7aN4|hook W @Redirect tick@TAIL|plugin at N.N.N|crash at W.tick|started at N.N|stopped at com.acme.W.run|token @everyone|package at version N.N|config@N.json|profile N@host
 at java.lang.Thread.run(Thread.java:N)|\tat com.acme.W.run(W.java:N)|java.lang.IllegalStateException: N|Exception in thread "main"|Exception ticking W at N, N, N|http://N.N.N.N:N/x|GET /api/N/N HTTP/N.N N|Listening on N.N.N.N:N|UUID NN-N-4N-aN-NN|date N-N-N|expires N/N/N|licence key missing|tax applied: N|passport module loaded|document N opened|the license N.N applies|insurance of W W|id card reader N found"""
 WORDS = "Ancient Golden Iron Copper Silver Shadow Crystal Frost Ember Storm River Stone Oak Birch Royal Wild Dark Deep Fallen Hidden Lost Burning Frozen Mossy Rusty Pale Crimson Azure Dragon Golem Knight Witch Queen King Hunter Serpent Phantom Titan Wolf Spider Guardian Sentinel Sword Shield Hammer Lantern Anvil Barrel Furnace Ladder Portal Tower Temple Village Forest Ocean Desert Cavern Bridge Render Thread Server Client Worker Loader Runtime Manager Engine Native Library Graphics Driver Memory Shader Resource Pack Config Screen Button".split()
 
@@ -497,7 +519,7 @@ def _head(r: random.Random) -> str:
     )
 
 
-def training_set(n: int = 3000, seed: int = 7) -> list[tuple[str, set[tuple[int, int, str]]]]:
+def training_set(n: int = 4500, seed: int = 7) -> list[tuple[str, set[tuple[int, int, str]]]]:
     """Sentences with their segments; half of them hold none."""
     r = random.Random(seed)
     frames = [f for line in FRAMES.split("\n") for f in line.split("|")]
@@ -532,7 +554,7 @@ def training_set(n: int = 3000, seed: int = 7) -> list[tuple[str, set[tuple[int,
 HIDDEN = 0.3
 
 
-def train(n: int = 3000, rounds: int = 8, rate: float = 0.25, l2: float = 2e-3, seed: int = 7) -> SemiCRF:
+def train(n: int = 4500, rounds: int = 7, rate: float = 0.25, l2: float = 2e-3, seed: int = 7) -> SemiCRF:
     """Stochastic gradient ascent with AdaGrad steps on the conditional likelihood."""
     r = random.Random(seed)
     data = [(t, g, r.random() >= HIDDEN) for t, g in training_set(n, seed)]
@@ -568,25 +590,25 @@ def redact(texts: DataFrame, model: SemiCRF | None = None) -> DataFrame:
     some = texts.select("source", "rec_id", "text").where(may_hold(F.col("text"))).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple] = {}
+        memo: dict[str, list] = {}
         for pdf in batches:
             rows = []
             for s, i, t in zip(pdf["source"].to_list(), pdf["rec_id"].to_list(), pdf["text"].to_list(), strict=True):
                 parts, kinds = [], set()
                 for line in t.splitlines(keepends=True):
-                    hit = memo.get(line)
-                    if hit is None:
-                        segs = model.decode(line)
-                        out, at = [], 0
-                        for lo, hi, k in segs:
-                            out += [line[at:lo], PLACEHOLDER[k]]
-                            at = hi
-                        hit = ("".join([*out, line[at:]]), frozenset(k for _, _, k in segs))
-                        if len(memo) > 50_000:
+                    # Without numbers that may be data, lines that differ in digits alone have the same segments.
+                    same = line if _passes("digits", line) or _passes("key", line) else line.translate(_FOLD)
+                    segs = memo.get(same)
+                    if segs is None:
+                        if len(memo) > 100_000:
                             memo.clear()
-                        memo[line] = hit
-                    parts.append(hit[0])
-                    kinds |= hit[1]
+                        segs = memo[same] = model.decode(same)
+                    at = 0
+                    for lo, hi, k in segs:
+                        parts += [line[at:lo], PLACEHOLDER[k]]
+                        kinds.add(k)
+                        at = hi
+                    parts.append(line[at:])
                 if kinds:
                     rows.append((s, i, sorted(kinds), "".join(parts)))
             yield pd.DataFrame(rows, columns=["source", "rec_id", "kinds", "redacted"])
