@@ -62,3 +62,24 @@ def test_operator_edges(spark, model):
     out = {r.doc_id: r for r in langid.identify(df, ll, model).collect()}
     assert [list(out[i].langs) for i in (1, 2, 3, 4)] == [[], [], ["de"], []] and out[3].code is None and out[3].segments[0].confidence > 0.5
     assert langid.identify(df.limit(0), ll, model).count() == 0
+
+
+def test_emoji_and_wide_signs_decide_nothing(model):
+    for lang, s in (
+        ("en", "The server crashes every time I join the world please help me fix this 🎮"), ("de", "Der Server stürzt jedes Mal ab, wenn ich der Welt beitrete 😀"), ("ru", "Сервер падает каждый раз, когда я захожу в мир 🙂"), ("es", "El servidor se cierra cada vez que entro al mundo （1.20）"),
+    ):
+        assert model.sentence(s)[0] == lang, s
+
+
+def test_a_language_is_found_by_its_documents_alone():
+    """Languages and scripts come from the labelled rows: one that no table of the module names is found."""
+    rows = [("el", "Ο διακομιστής δεν ανοίγει όταν μπαίνω στον κόσμο. Το παιχνίδι κλείνει κάθε φορά που φορτώνει ο χάρτης. Δεν ξέρω τι να κάνω με αυτό το πρόβλημα."), ("en", "The server does not open when I join the world. The game closes every time the map loads. I do not know what to do with this problem."), ("sv", "Servern öppnas inte när jag går in i världen. Spelet stängs varje gång kartan laddas. Jag vet inte vad jag ska göra med detta problem.")]
+    m = langid.fit(rows * 3)
+    for lang, s in (("el", "Το παιχνίδι δεν φορτώνει τον χάρτη όταν μπαίνω."), ("sv", "Spelet laddas inte när jag öppnar kartan."), ("en", "The game does not load the map when I open it.")):
+        assert m.sentence(s)[0] == lang, s
+
+
+def test_ranks_of_the_text_count():
+    p = langid.Profiles([("a", langid.Counter({"x": 9, "y": 5, "z": 1})), ("b", langid.Counter({"z": 9, "y": 5, "x": 1}))])
+    p.words = {"w1": [p.ids["x"]] * 3 + [p.ids["y"]] * 2 + [p.ids["z"]], "w2": [p.ids["z"]] * 3 + [p.ids["y"]] * 2 + [p.ids["x"]]}
+    assert p.distances(["w1"]).tolist() == pytest.approx([0.0, 4 / 3 / langid.PROFILE]) and p.distances(["w2"]).tolist() == pytest.approx([4 / 3 / langid.PROFILE, 0.0])
