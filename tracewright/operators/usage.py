@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +52,27 @@ def accept_rate(events: DataFrame, user: str, ts: str, limit: float) -> DataFram
     """Whether each event is accepted: the limit isn't positive, the user is
     empty, or ``limit`` seconds have gone since the user's last accepted event.
 
-    A greedy rule, folded over the user's times in order; refused events don't
-    move the clock.  A user's times alone are gathered, of up to the number of
-    its events; events of equal time are taken in the order of time only."""
+    A greedy rule: refused events don't move the clock.  A user's distinct times are
+    read in order from sorted partitions, with the last accepted time as the only state,
+    so a user may have any number of events; of events of equal time the first one in
+    the order of all columns is the accepted one."""
     if limit <= 0:
         return events.withColumn("accepted", F.lit(True))
     e = events.withColumns({"u": F.coalesce(F.col(user).cast("string"), F.lit("")), "t": F.col(ts).cast("double")})
-
-    def step(acc: Column, t: Column) -> Column:
-        ok = acc["last"].isNull() | (t - acc["last"] >= limit)
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["times"], F.array(t))).otherwise(acc["times"]).alias("times"))
-
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("times"))
-    taken = e.where("u <> ''").groupBy("u").agg(F.aggregate(F.array_sort(F.array_distinct(F.collect_list("t"))), start, step)["times"].alias("times"))
-    taken = taken.select("u", F.explode("times").alias("t")).withColumn("hit", F.lit(True))
-    # Of events of one user and time the first is the accepted one.
+    times = e.where("u <> '' and t is not null").groupBy("u", "t").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, last = None, 0.0
+        for pdf in batches:
+            u, t = pdf["u"].to_list(), pdf["t"].to_list()
+            take = []
+            for k in range(len(u)):
+                if u[k] != who or t[k] - last >= limit:
+                    who, last = u[k], t[k]
+                    take.append(k)
+            yield pdf.iloc[take]
+
+    taken = times.repartition("u").sortWithinPartitions("u", "t").mapInPandas(run, "u string, t double").withColumn("hit", F.lit(True))
     e = e.withColumn("nth", F.row_number().over(Window.partitionBy("u", "t").orderBy(*[F.col(c) for c in events.columns if dict(events.dtypes)[c] not in ("map", "variant")])))
     out = e.join(taken, ["u", "t"], "left")
     ok = (F.col("u") == "") | (F.coalesce(F.col("hit"), F.lit(False)) & (F.col("nth") == 1))
@@ -89,13 +98,21 @@ def within_quota(calls: DataFrame, key: str, order: str, limit: int) -> DataFram
 
 def filter_sessions(events: DataFrame, candidates: str, listed: DataFrame, mode: str) -> DataFrame:
     """block list: none of an event's candidates is listed; allow list: one
-    is, or the list is empty.  ``listed`` has a column ``session``."""
-    ids = listed.select(F.col("session").alias("_s")).distinct()
-    hit = F.arrays_overlap(F.col(candidates), F.col("_all"))
-    every = ids.agg(F.collect_set("_s").alias("_all"))  # a list kept by hand
-    e = events.crossJoin(F.broadcast(every))
-    keep = ~F.coalesce(hit, F.lit(False)) if mode == "blacklist" else F.coalesce(hit, F.lit(False)) | (F.size("_all") == 0)
-    return e.where(keep).drop("_all")
+    is, or the list is empty.  ``listed`` has a column ``session``; null candidates
+    and null sessions match nothing.
+
+    The distinct candidate arrays meet the list by an equi-join on single ids, and
+    the events meet the arrays that were hit, so neither side is gathered in a row."""
+    ids = listed.select(F.col("session").alias("_s")).where("_s is not null").distinct()
+    sets = events.select(F.array_sort(F.array_distinct(F.col(candidates))).alias("_c")).where("_c is not null").distinct()
+    hits = sets.select("_c", F.explode("_c").alias("_s")).join(ids, "_s", "left_semi").select("_c").distinct()
+    e = events.withColumn("_c", F.array_sort(F.array_distinct(F.col(candidates))))
+    if mode == "blacklist":
+        return e.join(hits, "_c", "left_anti").select(*events.columns)
+    # One bit of the list: an empty allow list allows all.
+    if ids.limit(1).count() == 0:
+        return events
+    return e.join(hits, "_c", "left_semi").select(*events.columns)
 
 
 def session_candidates(session: Column, origin: Column, platform: Column, group: Column) -> Column:

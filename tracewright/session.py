@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,19 +35,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share.
 
-    It is ``spark.checkpoint.dir`` where the session sets it; a temporary
-    folder of this machine is used only where it is unset (local tests).
+    It is ``spark.checkpoint.dir`` where the session sets it.  Where it is unset, a
+    temporary folder is used on a local master, whose tasks all share this machine;
+    on a cluster that would lose rows, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+#: Folders written by this process, deleted at its end.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def _drop_staged() -> None:
+    for spark, path in _STAGED:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have gone first; the folder is then the cleaner's
+            pass
+    _STAGED.clear()
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut at a
-    place that survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place that survives the loss of any executor.  The folder is deleted when the
+    driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _STAGED:
+        atexit.register(_drop_staged)
+    _STAGED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
