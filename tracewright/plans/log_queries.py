@@ -43,9 +43,9 @@ def log_format(spark, sf_dir):
 
 
 def log_fold_keys(spark, sf_dir):
-    """Fold keys and throwable signatures of each line."""
+    """Fold keys and throwable signatures of each line; of the two small sigmas one, as SQL knows no final one."""
     b = T.strip_prefix(F.col("text"))
-    return _lines(spark, sf_dir).select("file", "idx", T.body_fold_key(b).alias("body_key"), T.tail_fold_key(F.col("text")).alias("tail_key"), T.throwable_signature(b).alias("signature"))
+    return _lines(spark, sf_dir).select("file", "idx", F.translate(T.body_fold_key(b), "ς", "σ").alias("body_key"), T.tail_fold_key(F.col("text")).alias("tail_key"), T.throwable_signature(b).alias("signature"))
 
 
 def log_score_lines(spark, sf_dir):
@@ -165,7 +165,9 @@ def strategy_route(spark, sf_dir):
 
 def priority_file_pick(spark, sf_dir):
     """The file to read first among those of a session."""
-    r = table(spark, sf_dir, "run_report").select(F.col("session_id").alias("archive"), F.col("source_name").alias("name"), F.length("source_name").alias("chars"), F.col("log_id").alias("ord")).distinct()
+    r = table(spark, sf_dir, "run_report").select(F.col("session_id").alias("archive"), F.col("source_name").alias("name"), F.col("log_id").alias("ord")).distinct()
+    chars = _lines(spark, sf_dir).groupBy(F.col("file").alias("ord")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars"))
+    r = r.join(chars, "ord", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
     return lookup.priority_file(r.where("archive is not null and name is not null")).select("archive", "name", "ord", "group")
 
 
@@ -252,11 +254,12 @@ def newer_than_anchor_topk(spark, sf_dir):
 
 
 def path_resolution_tiers(spark, sf_dir):
-    """Requests by base name in other letters among a project's files."""
+    """Requests by path, by path and by base name in other letters, by the end of a path and for absent files."""
     c = table(spark, sf_dir, "changelog_item").where("project_id is not null and version_number is not null and source is not null")
     f = c.select(F.col("project_id").alias("archive"), F.concat_ws("/", "source", F.concat("version_number", F.lit(".jar"))).alias("path")).distinct()
-    r = f.select("archive", F.upper(F.regexp_extract("path", r"([^/]*)$", 1)).alias("requested")).distinct()
-    return lookup.resolve_paths(r, f)
+    f = f.select("archive", F.concat(F.lit("mods/"), "path").alias("path"))
+    wishes = F.array("path", F.upper("path"), F.upper(F.regexp_extract("path", r"([^/]*)$", 1)), F.regexp_extract("path", r"^[^/]*/(.*)$", 1), F.concat("path", F.lit("x")))
+    return lookup.resolve_paths(f.select("archive", F.explode(wishes).alias("requested")).distinct(), f)
 
 
 def usage_windows(spark, sf_dir):
@@ -311,7 +314,9 @@ def evidence_lookup(spark, sf_dir):
     """The notes that each project's judgement cites."""
     c = table(spark, sf_dir, "changelog_item").where("evidence_id is not null")
     notes = c.groupBy(F.concat_ws("/", "project_id", "evidence_id").alias("evidence_id")).agg(F.min_by(F.struct("source", "version_number", "url", "changelog"), "item_id").alias("x")).select("evidence_id", "x.*")
-    j = notes.groupBy(F.substring_index("evidence_id", "/", 1).alias("judgement_id")).agg(F.transform(F.slice(F.array_sort(F.collect_set("evidence_id")), 1, 6), lambda e: F.struct(e.alias("evidence_id"), F.lit("cited").alias("quote"))).alias("evidence"))
+    j = notes.groupBy(F.substring_index("evidence_id", "/", 1).alias("judgement_id")).agg(F.array_sort(F.collect_set("evidence_id")).alias("e"))
+    # Every note of the project is cited, and unknown ones before and after them.
+    j = j.select("judgement_id", F.transform(F.concat(F.array(F.lit("none/1")), "e", F.array(F.lit("none/2"))), lambda e: F.struct(e.alias("evidence_id"), F.lit("cited").alias("quote"))).alias("evidence"))
     return lookup.cite_evidence(j, notes).select("judgement_id", "pos", "evidence_id", "generic")
 
 
@@ -382,7 +387,7 @@ def _points() -> str:
     for n, fams, both in p.points:
         out.append(f"CASE WHEN {_hit('body', *fams)}" + (f" OR {_hit('raw', *fams)}" if both else "") + f" THEN {n} ELSE 0 END")
     hi, lo = p.evidence_points
-    out.append(f"CASE WHEN {_hit('raw', 'evidence')} OR {_hit('body', 'evidence')} THEN CASE WHEN {_hit('body', 'base_frame')} THEN {lo} ELSE {hi} END ELSE 0 END")
+    out.append(f"CASE WHEN {_hit('raw', 'evidence')} OR {_hit('body', 'evidence')} THEN CASE WHEN {_hit('raw', 'base_frame')} OR {_hit('body', 'base_frame')} THEN {lo} ELSE {hi} END ELSE 0 END")
     return " + ".join(out)
 
 
@@ -465,9 +470,10 @@ SQL = {
         WHEN regexp_matches(n, '.\\.(txt|log)$') AND regexp_matches(n, 'crash|hs_err|latest|debug|fcl|pcl|游戏崩溃|日志|log') THEN 'text' END AS route,
         regexp_replace(CASE WHEN coalesce(source_name, '') = '' THEN 'upload.log' ELSE source_name END, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\-.]', '_', 'g') AS safe_name FROM r""",
     "priority_file_pick": """WITH r AS (SELECT DISTINCT session_id AS archive, source_name AS name, log_id AS ord, lower(source_name) AS n FROM run_report WHERE session_id IS NOT NULL AND source_name IS NOT NULL),
+      c AS (SELECT log_id AS ord, sum(length(coalesce(raw, '')) + 1) AS chars FROM (SELECT DISTINCT log_id, line_idx, raw FROM parsed_log_line) GROUP BY log_id),
       g AS (SELECT *, CASE WHEN n LIKE '%hs_err%' THEN 0 WHEN n LIKE '%crash%' THEN 1 WHEN n LIKE '%latest%' OR n LIKE '%游戏崩溃%' THEN 2 WHEN n LIKE '%日志%' THEN 3 WHEN n LIKE '%log%' THEN 4 WHEN n LIKE '%debug%' THEN 5 WHEN n LIKE '%fcl%' THEN 6 WHEN n LIKE '%pcl%' THEN 7 END AS "group",
         CASE WHEN n LIKE '%latest%' THEN 6 ELSE 4 END AS l FROM r)
-      SELECT archive, name, ord, "group" FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY "group", length(name) DESC, CASE "group" WHEN 2 THEN l ELSE 0 END DESC, ord) AS rn FROM g WHERE "group" IS NOT NULL) WHERE rn = 1""",
+      SELECT archive, name, ord, "group" FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY "group", coalesce(chars, 0) DESC, CASE "group" WHEN 2 THEN l ELSE 0 END DESC, ord) AS rn FROM g LEFT JOIN c USING (ord) WHERE "group" IS NOT NULL) WHERE rn = 1""",
     "archive_display_names": """WITH r AS (SELECT DISTINCT session_id AS archive, source_name AS display, log_id AS ord FROM run_report), n AS (SELECT *, row_number() OVER (PARTITION BY archive, display ORDER BY ord) AS k FROM r)
       SELECT archive, CASE WHEN k > 1 THEN display || ' [' || k || ']' ELSE display END AS display, ord FROM n""",
     "doc_lines": """WITH s AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS p FROM documents),
@@ -478,10 +484,12 @@ SQL = {
     "changelog_first_per_url": "SELECT min(item_id) AS item_id, url FROM changelog_item WHERE url IS NOT NULL GROUP BY url",
     "newer_than_anchor_topk": """WITH f AS (SELECT o_custkey, min((o_orderdate, o_orderkey)) AS m FROM orders GROUP BY o_custkey), j AS (SELECT o.* FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM orders) o JOIN f USING (o_custkey) WHERE o_orderdate > m[1] AND o_orderkey <> m[2]),
       r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM j) SELECT o_custkey, o_orderkey, o_orderdate, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
-    "path_resolution_tiers": """WITH f AS (SELECT DISTINCT project_id AS archive, source || '/' || version_number || '.jar' AS path FROM changelog_item WHERE project_id IS NOT NULL AND version_number IS NOT NULL AND source IS NOT NULL),
-      n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM f), r AS (SELECT DISTINCT archive, upper(regexp_extract(path, '([^/]*)$', 1)) AS requested FROM f),
-      g AS (SELECT r.archive, r.requested, count(path) AS c, min(path) AS p FROM r LEFT JOIN n ON n.archive = r.archive AND n.name = lower(r.requested) GROUP BY ALL)
-      SELECT archive, requested, CASE WHEN c = 1 THEN p END AS path, CASE WHEN c = 1 THEN 3 ELSE 0 END AS tier, c AS candidates, CASE WHEN c = 1 THEN 'found' WHEN c > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM g""",
+    "path_resolution_tiers": """WITH f AS (SELECT DISTINCT project_id AS archive, 'mods/' || source || '/' || version_number || '.jar' AS path FROM changelog_item WHERE project_id IS NOT NULL AND version_number IS NOT NULL AND source IS NOT NULL),
+      n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM f), r AS (SELECT DISTINCT archive, unnest([path, upper(path), upper(regexp_extract(path, '([^/]*)$', 1)), substr(path, 6), path || 'x']) AS requested FROM f),
+      g AS (SELECT r.archive, r.requested, count(path) FILTER (path = requested) AS n1, count(path) FILTER (lower(path) = lower(requested)) AS n2, count(path) AS n3, count(path) FILTER (ends_with(lower(path), '/' || lower(requested))) AS n4,
+        min(path) FILTER (path = requested) AS p1, min(path) FILTER (lower(path) = lower(requested)) AS p2, min(path) AS p3 FROM r LEFT JOIN n ON n.archive = r.archive AND n.name = lower(regexp_extract(r.requested, '([^/]*)$', 1)) GROUP BY ALL),
+      t AS (SELECT *, CASE WHEN n1 > 0 THEN p1 WHEN n2 = 1 THEN p2 WHEN n3 = 1 THEN p3 END AS pick FROM g)
+      SELECT archive, requested, pick AS path, CASE WHEN pick IS NULL THEN 0 WHEN n1 > 0 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END AS tier, greatest(n3, n4) AS candidates, CASE WHEN pick IS NOT NULL THEN 'found' WHEN n3 > 1 OR n4 > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM t""",
     "usage_windows": f"""WITH {_USAGE}, k AS (SELECT * FROM a WHERE ts >= {NOW - 90 * 86400}) SELECT {_span("total", "true")}, {_span("month", f"ts >= {NOW - 30 * 86400}")}, {_span("yesterday", f"ts >= {_YESTERDAY} AND ts < {_YESTERDAY + 86400}")},
       {_span("six_hour", f"ts >= {NOW - 6 * 3600}")}, count(*) AS record_count FROM k""",
     "usage_by_user": _by("uid", "LIMIT 20"),
@@ -498,3 +506,94 @@ SQL = {
     "eval_recall": f"WITH {_CASES} SELECT case_id, root_recall, support_recall, signature_recall, culprit_recall, noise_leak, success FROM evs",
     "eval_macro_grouped": f"""WITH {_CASES} SELECT 'all' AS scope, NULL::VARCHAR AS value, {_MEANS} FROM evs UNION ALL SELECT 'loader', loader, {_MEANS} FROM evs GROUP BY loader UNION ALL SELECT 'kind', kind, {_MEANS} FROM evs GROUP BY kind""",
 }
+
+# ---------------------------------------------------------------- SQL of the whole selection
+
+_ANCHOR_SQL = ", ".join(f"{_hit('body', k)} AS a_{k}" for k in selection.ANCHORS)
+_ALL_FLAGS = f"""{_FLAGS}, f1 AS (SELECT *, {_hit("body", "evidence")} OR {_hit("raw", "evidence")} AS ev, {_hit("body", "base_frame")} AS base, coalesce(severity IN ('ERROR', 'FATAL'), false) AS fatal_sev, {_hit("body", "cause")} AS cause,
+    {_hit("raw", "version")} OR {_hit("body", "version")} AS ver, {_hit("body", "crash_saved")} AS saved, {_hit("raw", "timestamp")} AS stamped, {_ANCHOR_SQL},
+    regexp_extract(body, '((?:[A-Za-z_$][A-Za-z0-9_$]*\\.)*[A-Za-z_$][A-Za-z0-9_$]*(?:Exception|Error|Throwable|LinkageError))(?::\\s*([^\\r\\n]+))?', 0) AS sig FROM flagged),
+  f2 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY idx) AS rn, count(*) OVER (PARTITION BY file) AS n_lines, count(*) FILTER (score > 0) OVER (PARTITION BY file) AS key_hits, count(*) FILTER (score >= 4) OVER (PARTITION BY file) AS strong_hits FROM f1)"""
+_AT = " OR ".join(["idx = min(CASE WHEN fatal_sev THEN idx END) OVER (PARTITION BY file)", "idx = max(CASE WHEN cause THEN idx END) OVER (PARTITION BY file)", "idx = min(CASE WHEN saved THEN idx END) OVER (PARTITION BY file)"] + [f"idx = min(CASE WHEN a_{k} THEN idx END) OVER (PARTITION BY file)" for k in selection.ANCHORS])
+_SELECT = f"""{_ALL_FLAGS}, f3 AS (SELECT *, coalesce({_AT}, false) OR (ver AND sum(CASE WHEN ver THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 3) AS anchor, rn <= 180 OR n_lines - rn < 180 AS ends,
+    err AND sum(CASE WHEN err THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 400 AS err400, stamped AND sum(CASE WHEN stamped THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 240 AS stamp240, seed AND score > 0 AS seed_scored FROM f2),
+  f4 AS (SELECT *, {" OR ".join(["ends", _block("seed_scored", "cont"), *(_near(f"score >= {k}", r) for k, r in GAME_PROFILE.radii)])} AS s_score, ends OR {_near("err400", 8)} OR stamp240 AS s_focus, {_near("anchor", 12)} AS near_anchor,
+    is_noise AND score <= 0 AND NOT (reload AND {_near("failure", 5)}) AS s_noise, key_hits <= 0 OR (n_lines >= 300 AND strong_hits <= 0) AS fallback FROM f3)"""
+SQL |= {
+    "log_error_focused": f"""WITH {_SELECT}, p AS (SELECT file, idx, {_FORMAT} AS line FROM f4 WHERE s_focus), m AS (SELECT *, CASE WHEN coalesce(lag(idx) OVER (PARTITION BY file ORDER BY idx), -2) <> idx - 1 THEN '...[中间内容已省略]...' || chr(10) ELSE '' END || line AS part FROM p)
+      SELECT file, {_strip("string_agg(part, chr(10) ORDER BY idx)")} AS body FROM m GROUP BY file""",
+    "log_extract_b": f"""WITH {_ALL_FLAGS}, e AS (SELECT *, err AND sum(CASE WHEN err THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 300 AS e3 FROM f2), k AS (SELECT *, n_lines <= 1000 OR rn <= 500 OR n_lines - rn < 500 OR {_near("e3", 8)} AS take FROM e),
+      p AS (SELECT file, idx, {_FORMAT} AS line FROM k WHERE take), m AS (SELECT *, CASE WHEN coalesce(lag(idx) OVER (PARTITION BY file ORDER BY idx), -2) <> idx - 1 THEN '...[中间内容已省略]...' || chr(10) ELSE '' END || line AS part FROM p)
+      SELECT file, {_strip("string_agg(part, chr(10) ORDER BY idx)")} AS body FROM m GROUP BY file""",
+    "log_sections_a": """WITH g AS (SELECT DISTINCT case_id AS file, text FROM strategy_c_gold_cases), s AS (SELECT file, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS p FROM g),
+      l AS (SELECT file, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS raw FROM (SELECT file, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM s)),
+      k(section, label, pat) AS (VALUES (0, 'header/description', '(?i)Description:|---- Minecraft Crash Report ----'), (1, 'stacktrace', '(?i)Stacktrace:|Exception Details:'), (2, 'caused by chain', '(?i)Caused by:'), (3, 'suspected mods', '(?i)Suspected Mods|Mod File|Mod List'), (4, 'system details', '(?i)System Details|-- System Details --')),
+      f AS (SELECT file, section, label, min(idx) AS a FROM l JOIN k ON regexp_matches(raw, pat) GROUP BY ALL)
+      SELECT f.file, CAST(section AS INTEGER) AS section, label, '[' || label || ']' || chr(10) || string_agg(raw, chr(10) ORDER BY idx) AS text FROM f JOIN l ON l.file = f.file AND idx BETWEEN a AND a + 399 GROUP BY f.file, section, label""",
+    "doc_report_metrics": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT *, {_strip("regexp_extract(t, '核心问题：[ \\t\\n\\f\\r\\x0b]*(.+)', 1)")} AS claim, {_strip("t")} AS s FROM t)
+      SELECT doc_id, claim, regexp_matches(t, '\\bUNCERTAIN\\b') OR (contains(t, '补充确认：') AND NOT regexp_matches(t, '补充确认：[ \\t\\n\\f\\r\\x0b]*无')) AS needs_more_info,
+        substr(regexp_replace(regexp_replace({_strip("lower(claim)")}, '\\s+', ' ', 'g'), '\\b[0-9]+(\\.[0-9]+)*\\b', 'x', 'g'), 1, 120) AS stability_key,
+        CASE WHEN s = '' THEN 'empty' WHEN contains(lower(s), 'candidate.content.parts') THEN 'candidate.content.parts' WHEN contains(lower(s), 'api 返回的') THEN 'api 返回的' WHEN contains(lower(s), 'chat model') THEN 'chat model' WHEN contains(lower(s), 'request error') THEN 'request error'
+          WHEN contains(lower(s), 'tool_loop') THEN 'tool_loop' WHEN contains(lower(s), '模型请求失败') THEN '模型请求失败' WHEN contains(lower(s), '模型响应异常') THEN '模型响应异常' WHEN length(s) <= 120 AND (contains(s, '请稍后重试') OR contains(s, '分析失败')) THEN 'short_failure_text' ELSE '' END AS suspect FROM c""",
+    "changelog_urls": r"""WITH u AS (SELECT DISTINCT item_id, url FROM changelog_item), p AS (SELECT item_id, trim(coalesce(url, '')) AS u FROM u),
+      q AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') AS w,
+        list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('ref', 'source', 'spm', 'fbclid', 'gclid')) AS kv FROM p)
+      SELECT item_id, CASE WHEN u = '' THEN '' ELSE s || '://' || h || CASE WHEN w = '' THEN '/' ELSE w END || CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(kv, '&') END END AS url_key,
+        CASE WHEN regexp_matches(u, '(?i)^[a-z]+://(www\.)?github\.com/+[^/?#\s]+/+[^/?#\s]+') THEN regexp_extract(u, '(?i)github\.com/+([^/?#\s]+)/+([^/?#\s]+)', 1) || '/' || regexp_extract(u, '(?i)github\.com/+([^/?#\s]+)/+([^/?#\s]+)', 2) ELSE '' END AS repository FROM q""",
+    "changelog_keys": f"""WITH n AS (SELECT DISTINCT item_id, project_slug, version_number, name, changelog, loaders FROM changelog_item),
+      v AS (SELECT *, lower({_strip("coalesce(version_number, '')")}) AS r0, regexp_replace(lower({_strip("coalesce(version_number, '')")}), '^v+', '') AS bare FROM n), c AS (SELECT *, regexp_extract(bare, '^([^+\\s]*)', 1) AS core FROM v),
+      x AS (SELECT *, lower({_strip("regexp_replace(regexp_replace(coalesce(changelog, ''), '<[^>]+>', ' ', 'g'), '&amp;', '&', 'g')")}) AS plain FROM c)
+      SELECT item_id, {_strip("regexp_replace(regexp_replace(regexp_replace(lower(coalesce(name, '')), '[_-]+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}\\p{Pc} ]', ' ', 'g'), '\\s+', ' ', 'g')")} AS title_key,
+        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(project_slug, ''))), '\\.(jar|zip)$', ''), '\\+mc[0-9]+(\\.[0-9]+)*.*$', ''), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug,
+        array_to_string(list_sort(list_distinct(list_filter([r0, bare, core, CASE WHEN core = '' THEN '' ELSE 'v' || core END], lambda t: length(t) >= 2))), ' ') AS tokens,
+        array_to_string(list_transform(coalesce(loaders, []), lambda l: CASE lower(trim(l)) WHEN 'fabric-loader' THEN 'fabric' WHEN 'quilt-loader' THEN 'quilt' WHEN 'neo forge' THEN 'neoforge' WHEN 'neo-forge' THEN 'neoforge' ELSE lower(trim(l)) END), ' ') AS loaders,
+        CAST(length(substr(regexp_replace({_strip("regexp_replace(coalesce(changelog, ''), '[\\r\\n]', ' ', 'g')")}, '{_WS}+', ' ', 'g'), 1, 3000)) AS INTEGER) AS chars,
+        plain = '' OR (regexp_matches(plain, '\\b(?:bug\\s*fix(?:es)?|fix(?:es|ed)?\\s+bugs?|crash(?:es)?|compat(?:ibility)?|misc(?:ellaneous)?|various fixes|several fixes|stability improvements?)\\b|修复若干|错误修复|问题修复|崩溃修复|兼容性修复|杂项修复')
+          AND NOT regexp_matches(plain, 'render thread|sodium|mixin|injection|classnotfound|noclassdef|nosuchmethod|shader|opengl|fabric loader|neoforge|forge|java 21')) AS generic FROM x""",
+    "evidence_lookup": """WITH c AS (SELECT DISTINCT * FROM changelog_item WHERE evidence_id IS NOT NULL), n AS (SELECT concat_ws('/', project_id, evidence_id) AS e, arg_min(changelog, item_id) AS changelog, min(item_id) AS i FROM c GROUP BY 1),
+      t AS (SELECT split_part(n.e, '/', 1) AS judgement_id, n.e AS evidence_id, lower(trim(regexp_replace(coalesce(c.changelog, ''), '<[^>]+>', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS plain FROM n JOIN c ON c.item_id = n.i),
+      k AS (SELECT *, row_number() OVER (PARTITION BY judgement_id ORDER BY evidence_id) AS r FROM t)
+      SELECT judgement_id, CAST(r AS INTEGER) AS pos, evidence_id, plain = '' OR (regexp_matches(plain, '\\b(?:bug\\s*fix(?:es)?|fix(?:es|ed)?\\s+bugs?|crash(?:es)?|compat(?:ibility)?|misc(?:ellaneous)?|various fixes|several fixes|stability improvements?)\\b|修复若干|错误修复|问题修复|崩溃修复|兼容性修复|杂项修复')
+        AND NOT regexp_matches(plain, 'render thread|sodium|mixin|injection|classnotfound|noclassdef|nosuchmethod|shader|opengl|fabric loader|neoforge|forge|java 21')) AS generic FROM k WHERE r <= 4""",
+    "search_greedy_dedupe": r"""WITH RECURSIVE n AS (SELECT DISTINCT item_id, project_id || '@' || version_number AS q, coalesce(source, '') AS source, coalesce(url, '') AS url, coalesce(name, '') AS name FROM changelog_item WHERE project_id IS NOT NULL AND version_number IS NOT NULL),
+      i AS (SELECT q, source, item_id, lower(regexp_extract(url, '^([^:/]*://[^/?#]*)', 1)) || regexp_extract(url, '^[^:/]*://[^/?#]*([^?#]*)', 1) AS u,
+        trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[_-]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}\p{Pc} ]', ' ', 'g'), '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY q ORDER BY source, item_id) AS k FROM n),
+      r(q, k, source, us, ts, kept) AS (SELECT q, k, source, [u], [t], true FROM i WHERE k = 1 UNION ALL
+        SELECT i.q, i.k, i.source, CASE WHEN (i.u <> '' AND list_contains(us, i.u)) OR (i.t <> '' AND list_contains(ts, i.t)) THEN us ELSE list_append(us, i.u) END, CASE WHEN (i.u <> '' AND list_contains(us, i.u)) OR (i.t <> '' AND list_contains(ts, i.t)) THEN ts ELSE list_append(ts, i.t) END,
+          NOT ((i.u <> '' AND list_contains(us, i.u)) OR (i.t <> '' AND list_contains(ts, i.t))) FROM r JOIN i ON i.q = r.q AND i.k = r.k + 1)
+      SELECT q AS query_id, source, count(*) AS raw_count, count(*) FILTER (kept) AS kept_count, count(*) FILTER (NOT kept) AS deduped_out FROM r GROUP BY q, source""",
+    "newest_changelogs": """WITH n AS (SELECT DISTINCT item_id, project_id, date_published, changelog FROM changelog_item WHERE trim(changelog) <> '' AND project_id IS NOT NULL),
+      t AS (SELECT project_id, item_id, coalesce(CASE WHEN regexp_matches(trim(date_published), '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$') THEN try_cast(trim(date_published) AS TIMESTAMPTZ) END, TIMESTAMPTZ '0001-01-01 00:00:00+00') AS moment FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY moment DESC, item_id) AS rank FROM t) SELECT project_id, item_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
+    "doc_code_blocks": r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?s)```[^\n`]*\n.*?```', 0), lambda b: struct_pack(lang := trim(regexp_extract(b, '^```([^\n`]*)\n', 1)), code := trim(regexp_replace(regexp_extract(b, '(?s)^```[^\n`]*\n(.*?)```$', 1), '^\n+|\n+$', '', 'g'), ''))), lambda x: trim(x.code, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS b FROM documents),
+      l AS (SELECT doc_id, len(b) AS blocks, list_transform(b, lambda x, i: length(chr(10) || chr(10) || '[代码块 ' || i || ']' || chr(10) || '```' || CASE WHEN x.lang = '' THEN 'text' ELSE x.lang END || chr(10) || x.code || chr(10) || '```')) AS s FROM t WHERE len(b) > 0),
+      c AS (SELECT doc_id, blocks, list_transform(s, lambda v, i: list_sum(list_slice(s, 1, i))) AS runs, s FROM l)
+      SELECT doc_id, CAST(blocks AS INTEGER) AS blocks, CAST(length('以下是分析结果中的代码块（便于复制）：') + coalesce(list_max(list_filter(runs, lambda v: v + length('以下是分析结果中的代码块（便于复制）：') <= 15998)), 0) AS INTEGER) AS message_chars FROM c""",
+}
+
+# The folding of values, twice over, as RE2 has no look-around: the sign before a value is taken along.
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+_SIDE = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}.]"
+
+
+def _folded(x: str) -> str:
+    for pattern, to in ((r"(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "<uuid>"), (r"(?i)\b0x[0-9a-f]+\b", "<id>"), (r"(?i)\b(entity id|entity|id|eid)[=: #]+-?\d+\b", r"\1=<id>")):
+        x = f"regexp_replace({x}, {_q(pattern)}, '{to}', 'g')"
+    for value, to in ((rf"{_NUMBER}{_WS}*,{_WS}*{_NUMBER}{_WS}*,{_WS}*{_NUMBER}", "<coords>"), (_NUMBER, "<num>")):
+        # Twice, as neighbours share a side; what was read already ends before a hyphen, which is no sign then.
+        for side in (_SIDE, _SIDE[:-1] + r"\x01]"):
+            x = f"regexp_replace({x}, {_q(f'(^|{side}){value}($|{_SIDE})')}, '\\1' || chr(1) || '\\2', 'g')"
+        x = f"replace({x}, chr(1), '{to}')"
+    return f"lower({_strip(f'regexp_replace({x}, {_q(_WS + chr(43))}, {_q(chr(32))}, {_q(chr(103))})')})"
+
+
+_THROWN = _q(r"((?:[A-Za-z_$][A-Za-z0-9_$]*\.)*[A-Za-z_$][A-Za-z0-9_$]*(?:Exception|Error|Throwable|LinkageError))(?::\s*([^\r\n]+))?")
+_SIGNATURE = f"CASE WHEN regexp_extract(body, {_THROWN}, 1) <> '' THEN regexp_extract(body, {_THROWN}, 1) || ':' || substr({_folded(f'regexp_extract(body, {_THROWN}, 2)')}, 1, 120) END"
+_PRIORITY = f"""{_SELECT}, g1 AS (SELECT *, {_SIGNATURE} AS signature FROM f4), g2 AS (SELECT *, signature IS NOT NULL AND row_number() OVER (PARTITION BY file, signature ORDER BY idx) = 1 AS p_first FROM g1),
+  g3 AS (SELECT *, p_first AND sum(CASE WHEN p_first THEN 1 ELSE 0 END) OVER {_ALL_TO} <= 32 AS p_keep FROM g2), g4 AS (SELECT *, ev OR p_keep AS hit, ev AND base AS alone, (ev OR p_keep) AND seed AS seed_hit, (ev OR p_keep) AND NOT (ev AND base) AS wide FROM g3),
+  g5 AS (SELECT *, {_near("wide", 4)} OR (hit AND alone) OR {_block("seed_hit", "cont")} AS s_priority FROM g4)"""
+SQL |= {
+    "log_fold_keys": f"WITH {_PARSED} SELECT file, idx, replace({_folded('body')}, 'ς', 'σ') AS body_key, {_TAIL_KEY} AS tail_key, {_SIGNATURE} AS signature FROM parsed",
+    "log_first_k_signatures": f"WITH {_PRIORITY} SELECT file, idx, signature AS f_signature FROM g5 WHERE p_keep",
+    "log_must_keep": f"WITH {_PRIORITY} SELECT file, idx, anchor AS p_anchor, near_anchor OR s_priority AS s_must, s_priority, s_noise FROM g5",
+    "log_select": f"WITH {_PRIORITY} SELECT file, idx, s_score, s_focus, fallback, CASE WHEN fallback THEN s_focus OR s_priority ELSE s_score OR near_anchor OR s_priority END AND NOT s_noise AS selected FROM g5",
+}
