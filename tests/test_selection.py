@@ -9,7 +9,6 @@ def test_block_runs_against_a_walk(spark):
     r = random.Random(1)
     rows = [(f, i, r.random() < 0.2, r.random() < 0.6) for f in range(20) for i in range(60)]
     df = spark.createDataFrame(rows, "file int, idx int, seed boolean, cont boolean")
-    got = {(x.file, x.idx) for x in df.withColumn("b", selection.block_runs(F.col("seed"), F.col("cont"))).where("b").collect()}
     want = set()
     for f, i, s, _ in rows:
         if s:
@@ -18,7 +17,9 @@ def test_block_runs_against_a_walk(spark):
             while j < 60 and rows[f * 60 + j][3]:
                 want.add((f, j))
                 j += 1
-    assert got == want
+    for chunk in (20, 33, 8192):
+        got = {(x.file, x.idx) for x in selection.block_runs(df, F.col("seed"), F.col("cont"), "b", chunk).where("b").collect()}
+        assert got == want, chunk
 
 
 def _log(body):
@@ -62,9 +63,9 @@ def test_native_fold_equals_plain_fold(spark):
         idx = sorted(r.sample(range(60), 40))
         rows += [(f, i, r.choice(["tail", "body"]), r.choice("ab"), r.choice("xy")) for i in idx]
     df = spark.createDataFrame(rows, "file int, idx int, mode string, key string, out string")
-    got = {x.file: x.body for x in compose.compose(compose.fold_groups(df)).collect()}
     want = {f: compose._fold([t[1:] for t in rows if t[0] == f]) for f in range(30)}
-    assert got == want
+    for chunk in (1, 7, 8192):
+        assert {x.file: x.body for x in compose.compose(compose.fold_groups(df, chunk)).collect()} == want, chunk
 
 
 def test_endings_and_sections(spark):
@@ -80,3 +81,15 @@ def test_must_keep_budget(spark):
     df = spark.createDataFrame([("b" * 100, "m" * 20), ("b" * 10, None)], "base string, must string")
     a, b = (r[0] for r in df.select(compose.with_must_keep(F.col("base"), F.col("must"), 120)).collect())
     assert len(a) <= 120 and a.startswith("【MustKeep Evidence】") and b == "b" * 10
+
+
+def test_chunks_make_no_difference(spark):
+    recs = _records(spark, _log(BODY)).cache()
+    want = None
+    for chunk in (37, 8192):
+        d = selection.select_lines(recs, chunk=chunk)
+        got = [tuple(r) for r in d.select("idx", "s_score", "s_must", "s_priority", "s_noise", "s_focus", "p_keep", "p_anchor", "n_lines", "key_hits", "fallback", "selected").orderBy("idx").collect()]
+        want = want or got
+        assert got == want, chunk
+    near = lambda c: [r.near_error for r in selection.error_windows(recs, 8, 3, chunk=c).orderBy("idx").collect()]
+    assert near(20) == near(8192) and sum(near(20)) > 8

@@ -8,33 +8,44 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
 from tracewright.functions.profile import GAME_PROFILE, SignalProfile
-from tracewright.operators.selection import by_file, error_windows, first_hits, head_tail, in_order, select_lines, termination
+from tracewright.operators.selection import CHUNK, around, chunked, error_windows, head_tail, located, select_lines, termination
 from tracewright.session import stage_table
 
 TAIL, BODY = "连续重复", "重复"
 
 
 def fold_keys(sel: DataFrame, profile: SignalProfile = GAME_PROFILE, size: int | None = None) -> DataFrame:
-    """The mode and the key by which lines fold, and their output form."""
+    """The mode and the key by which lines fold, and their output form.  ``n_lines`` is the number of the file's lines."""
     size = profile.head_tail if size is None else size
-    n = F.col("n_lines") if "n_lines" in sel.columns else F.count(F.lit(1)).over(by_file())
-    tail = F.col("idx") >= n - size
+    tail = F.col("idx") >= F.col("n_lines") - size
     mode = F.when(tail, "tail").when(F.col("score") >= profile.strong, "body_exact").otherwise("body")
     s = sel.withColumn("mode", mode)
     key = F.when(F.col("mode") == "tail", T.tail_fold_key(F.col("raw"))).when(F.col("mode") == "body_exact", F.col("body")).otherwise(T.body_fold_key(F.col("body")))
     return s.withColumns({"key": key, "out": T.format_line(F.struct("raw", "body", "severity", "thread", "logger", "timestamp"))})
 
 
-def fold_groups(keyed: DataFrame) -> DataFrame:
+def fold_groups(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Runs of equal keys among the rows given: ``file, start, end, text,
     repeat_count, repeat_label``.  Tail lines must also follow each other
-    without a gap; the first line's text stands for the run."""
-    same = (F.lag("key").over(in_order()) == F.col("key")) & (F.lag("mode").over(in_order()) == F.col("mode")) & ((F.col("mode") != "tail") | (F.lag("idx").over(in_order()) == F.col("idx") - 1))
-    g = keyed.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    g = g.withColumn("run", F.sum("new").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("file", "run").agg(
-        F.min("idx").alias("start"), F.max("idx").alias("end"), F.min_by("out", "idx").alias("text"), F.count(F.lit(1)).alias("repeat_count"), F.when(F.first("mode") == "tail", TAIL).otherwise(BODY).alias("repeat_label")
-    ).drop("run")
+    without a gap; the first line's text stands for the run.
+
+    Chunks fold by themselves; a chunk's first row is held against the last row
+    of the chunk before it, and runs over chunk ends are joined by the place where
+    they began, through one row a chunk."""
+    k = chunked(keyed, chunk)
+    here = Window.partitionBy("file", "chunk").orderBy("idx")
+    row = F.struct("idx", "mode", "key")
+    ends = k.groupBy("file", "chunk").agg(F.max(row).alias("last"))
+    ends = ends.select("file", "chunk", F.lag("last").over(Window.partitionBy("file").orderBy("chunk")).alias("before"))
+    k = k.join(ends, ["file", "chunk"])
+    prev = F.coalesce(F.lag(row).over(here), F.col("before"))
+    k = k.withColumn("prev", prev)
+    same = (F.col("prev.key") == F.col("key")) & (F.col("prev.mode") == F.col("mode")) & ((F.col("mode") != "tail") | (F.col("prev.idx") == F.col("idx") - 1))
+    k = k.withColumn("new", ~F.coalesce(same, F.lit(False)))
+    g = located(k, lasts={"begin": F.col("new")})
+    return g.groupBy("file", F.col("begin_upto").alias("start")).agg(
+        F.max("idx").alias("end"), F.min_by("out", "idx").alias("text"), F.count(F.lit(1)).alias("repeat_count"), F.when(F.min_by("mode", "idx") == "tail", TAIL).otherwise(BODY).alias("repeat_label")
+    ).select("file", "start", "end", "text", "repeat_count", "repeat_label")
 
 
 def compose(groups: DataFrame) -> DataFrame:
@@ -151,10 +162,10 @@ SECTIONS = {
 
 def sections_a(recs: DataFrame, kind: str = "crash", length: int = 400) -> DataFrame:
     """For each label the ``length`` lines from its first match: ``file, section, label, text``.
-    Sections may overlap; a line is given to all that hold it by one pass, without a join."""
-    marks = {f"m{i}": F.min(F.when(F.col("raw").rlike("(?i)" + p), F.col("idx"))).over(by_file()) for i, (_, p) in enumerate(SECTIONS[kind])}
+    Sections may overlap; a line is given to all that hold it.  A section's lines come together, ``length`` at most."""
+    found = located(chunked(recs.select("file", "idx", "raw")), ends={f"m{i}": (F.col("raw").rlike("(?i)" + p), "min") for i, (_, p) in enumerate(SECTIONS[kind])})
     inside = F.array(*[F.when(F.col("idx").between(F.col(f"m{i}"), F.col(f"m{i}") + length - 1), F.struct(F.lit(i).alias("section"), F.lit(label).alias("label"))) for i, (label, _) in enumerate(SECTIONS[kind])])
-    rows = recs.select("file", "idx", "raw").withColumns(marks).select("file", "idx", "raw", F.explode(F.array_compact(inside)).alias("s")).select("file", "idx", "raw", "s.*")
+    rows = found.select("file", "idx", "raw", F.explode(F.array_compact(inside)).alias("s")).select("file", "idx", "raw", "s.*")
     g = rows.groupBy("file", "section", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"]), "\n").alias("t"))
     return g.select("file", "section", "label", F.concat(F.lit("["), "label", F.lit("]\n"), "t").alias("text"))
 
@@ -168,13 +179,15 @@ def compose_lines(lines: DataFrame, flag: Column) -> DataFrame:
 
 def error_focused(recs: DataFrame, size: int = 180) -> DataFrame:
     """Head, tail, error windows and the first timestamped lines of each file."""
-    return compose_lines(recs, head_tail(size) | error_windows(F.col("raw"), 8, 400) | first_hits(GAME_PROFILE.hit(F.col("raw"), "timestamp"), 240))
+    d = chunked(recs).withColumns({"f_error": GAME_PROFILE.hit(F.col("raw"), "error_line"), "f_stamp": GAME_PROFILE.hit(F.col("raw"), "timestamp")})
+    d = located(d, {"line": F.lit(True), "errors": F.col("f_error"), "stamps": F.col("f_stamp")})
+    d = around(d, {"near_error": (F.col("f_error") & (F.col("errors") <= 400), 8)})
+    return compose_lines(d, head_tail(size) | F.col("near_error") | (F.col("f_stamp") & (F.col("stamps") <= 240)))
 
 
 def extract_b(recs: DataFrame, ends: int = 500, short: int = 1000) -> DataFrame:
     """Strategy B: files up to ``short`` lines whole, longer ones as head, tail and error windows."""
-    n = F.count(F.lit(1)).over(by_file())
-    return compose_lines(recs, (n <= short) | head_tail(ends) | error_windows(F.col("raw"), 8, 300))
+    return compose_lines(error_windows(recs, 8, 300), (F.col("line_all") <= short) | head_tail(ends) | F.col("near_error"))
 
 
 def with_must_keep(base: Column, must: Column, limit: int) -> Column:

@@ -1,41 +1,84 @@
-"""Which lines of a log are evidence: frames over one window per file.
+"""Which lines of a log are evidence, chunk by chunk.
 
-All operators share one exchange on the file and one sort by line number; what
-they select is a boolean column, never a set of numbers.  A file is bounded by
-the input cap of the sources (32 MiB), and so is a window partition.
+A file of any length is cut into chunks of ``CHUNK`` line numbers.  What a line
+needs of the rest of its file comes in two ways, neither of which gathers a file
+in one place: running counts and last or first hits before a chunk are carried
+in one row a chunk (``located``), and windows of some lines around a hit read
+the ``HALO`` lines beyond both ends of their chunk (``around``).  What the
+operators select is a boolean column, never a set of numbers.
+
+Windows go by line numbers: "within 8 lines" are 8 numbers up and down.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
 from tracewright.functions.profile import GAME_PROFILE, SignalProfile, line_score
-
-
-
-def by_file() -> WindowSpec:
-    return Window.partitionBy("file")
-
-
-def in_order() -> WindowSpec:
-    return Window.partitionBy("file").orderBy("idx")
-
-
-def up_to() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def before() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def near(flag: Column, radius: int) -> Column:
-    """Whether ``flag`` holds within ``radius`` lines."""
-    return F.max(flag).over(in_order().rowsBetween(-radius, radius))
+from tracewright.session import stage_table
+
+CHUNK = 8192
+#: The widest window around a line.
+HALO = 20
+
+
+def chunked(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Add the number of each line's chunk."""
+    return lines.withColumn("chunk", F.floor(F.col("idx") / chunk).cast("long"))
+
+
+def located(lines: DataFrame, counts: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, ends: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """Add where each line stands in its file, for lines with a ``chunk``.
+
+    ``counts``: name -> flag gives ``name``, the running number of hits up to the
+    line, and ``name_all``, that of the file.  ``lasts``: name -> flag gives
+    ``name_before`` and ``name_upto``, the last hit before the line and up to it.
+    ``ends``: name -> (flag, "min" or "max") gives ``name``, the first or last hit
+    of the file.  Chunks are added up first; only their rows, one a chunk, are
+    ordered by file.
+    """
+    counts, lasts, ends = counts or {}, lasts or {}, ends or {}
+    idx = F.col("idx")
+    flags = {**counts, **lasts, **{k: c for k, (c, _) in ends.items()}}
+    d = lines.withColumns({f"_{k}": F.coalesce(c, F.lit(False)) for k, c in flags.items()})
+    hit = lambda k: F.when(F.col(f"_{k}"), idx)
+    per = d.groupBy("file", "chunk").agg(
+        *[F.count_if(F.col(f"_{k}")).alias(k) for k in counts], *[F.max(hit(k)).alias(k) for k in lasts], *[(F.min if end == "min" else F.max)(hit(k)).alias(k) for k, (_, end) in ends.items()], F.lit(1).alias("_one")
+    )
+    file = Window.partitionBy("file")
+    earlier = file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        "file", "chunk", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"c_{k}") for k in counts], *[F.sum(k).over(file).alias(f"{k}_all") for k in counts],
+        *[F.max(k).over(earlier).alias(f"c_{k}") for k in lasts], *[(F.min if end == "min" else F.max)(k).over(file).alias(k) for k, (_, end) in ends.items()],
+    )
+    d = d.join(per, ["file", "chunk"])
+    w = Window.partitionBy("file", "chunk").orderBy("idx")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({k: F.col(f"c_{k}") + F.sum(F.col(f"_{k}").cast("long")).over(upto) for k in counts} | {f"{k}_before": F.greatest(f"c_{k}", F.max(hit(k)).over(before)) for k in lasts} | {f"{k}_upto": F.greatest(f"c_{k}", F.max(hit(k)).over(upto)) for k in lasts})
+    return d.drop(*[f"_{k}" for k in flags], *[f"c_{k}" for k in (*counts, *lasts)])
+
+
+def around(lines: DataFrame, flags: dict[str, tuple[Column, int]], chunk: int = CHUNK) -> DataFrame:
+    """Name -> (flag, radius) gives ``name``: whether the flag holds within so many lines, for lines with a ``chunk``."""
+    widest = max(r for _, r in flags.values())
+    assert widest <= HALO <= chunk, widest
+    at = F.pmod(F.col("idx"), F.lit(chunk))
+    # Lines near an end also go to the neighbouring chunk.
+    zones = F.array_compact(F.array(F.col("chunk"), F.when(at < widest, F.col("chunk") - 1), F.when(at >= chunk - widest, F.col("chunk") + 1)))
+    d = lines.withColumns({f"_{k}": F.coalesce(c, F.lit(False)) for k, (c, _) in flags.items()}).withColumn("_zone", F.explode(zones))
+    w = Window.partitionBy("file", "_zone").orderBy("idx")
+    d = d.withColumns({k: F.max(f"_{k}").over(w.rangeBetween(-r, r)) for k, (_, r) in flags.items()})
+    return d.where("_zone = chunk").drop("_zone", *[f"_{k}" for k in flags])
+
+
+def in_block(seed: Column, continuation: Column, name: str) -> Column:
+    """The seeds, and continuation lines that follow a seed without a gap; ``located`` gave the last seed as
+    ``name`` and the last line that goes on with nothing as ``breaks``."""
+    return seed | F.coalesce(continuation & (F.col(f"{name}_before") >= F.coalesce("breaks_upto", F.lit(-1))), F.lit(False))
 
 
 def records(lines: DataFrame, file: str = "file", idx: str = "idx", text: str = "text", profile: SignalProfile = GAME_PROFILE) -> DataFrame:
@@ -48,26 +91,30 @@ def records(lines: DataFrame, file: str = "file", idx: str = "idx", text: str =
     return p.withColumn("score", score).withColumn("is_noise", profile.hit(F.col("body"), "noise"))
 
 
-def head_tail(size: int) -> Column:
-    """The first and the last ``size`` lines of a file."""
-    return (F.row_number().over(in_order()) <= size) | (F.count(F.lit(1)).over(by_file()) - F.row_number().over(in_order()) < size)
+def block_runs(lines: DataFrame, seed: Column, continuation: Column, name: str = "in_block", chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``: whether a line belongs to a block."""
+    d = located(chunked(lines, chunk), lasts={"seed": seed, "breaks": ~F.coalesce(continuation, F.lit(False))})
+    return d.withColumn(name, in_block(seed, continuation, "seed")).drop("chunk", "seed_before", "seed_upto", "breaks_before", "breaks_upto")
 
 
-def first_hits(flag: Column, most: int) -> Column:
-    """The first ``most`` lines of a file at which ``flag`` holds."""
-    return flag & (F.sum(flag.cast("int")).over(up_to()) <= most)
+def head_tail(size: int) -> Column:
+    """The first and the last ``size`` lines of a file; ``located`` counted the lines as ``line``."""
+    return (F.col("line") <= size) | (F.col("line_all") - F.col("line") < size)
 
 
-def error_windows(raw: Column, radius: int = 8, most: int = 300, profile: SignalProfile = GAME_PROFILE) -> DataFrame | Column:
-    """Within ``radius`` lines of the first ``most`` error lines."""
-    return near(first_hits(profile.hit(raw, "error_line"), most), radius)
+def line_windows(recs: DataFrame, near: dict[str, tuple[Column, int]], size: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Add ``ends``, the first and last ``size`` lines, and windows around flags."""
+    d = chunked(recs, chunk)
+    if size is not None:
+        d = located(d, {"line": F.lit(True)}).withColumn("ends", head_tail(size)).drop("line", "line_all")
+    return around(d, near, chunk).drop("chunk")
 
 
-def block_runs(seed: Column, continuation: Column) -> Column:
-    """Continuation lines that follow a seed without a gap, and the seeds."""
-    last_seed = F.max(F.when(seed, F.col("idx"))).over(before())
-    last_break = F.coalesce(F.max(F.when(~continuation, F.col("idx"))).over(up_to()), F.lit(-1))
-    return seed | F.coalesce(continuation & (last_seed >= last_break), F.lit(False))
+def error_windows(recs: DataFrame, radius: int = 8, most: int = 300, profile: SignalProfile = GAME_PROFILE, chunk: int = CHUNK) -> DataFrame:
+    """Add ``near_error``: within ``radius`` lines of the first ``most`` error lines."""
+    d = chunked(recs, chunk).withColumn("f_error", profile.hit(F.col("raw"), "error_line"))
+    d = located(d, {"errors": F.col("f_error"), "line": F.lit(True)})
+    return around(d, {"near_error": (F.col("f_error") & (F.col("errors") <= most), radius)}, chunk).drop("chunk", "f_error", "errors", "errors_all")
 
 
 def flags(recs: DataFrame, profile: SignalProfile = GAME_PROFILE) -> DataFrame:
@@ -96,68 +143,64 @@ def flags(recs: DataFrame, profile: SignalProfile = GAME_PROFILE) -> DataFrame:
 ANCHORS = ("dependency_header", "diagnostic", "class_loading", "datapack_failure", "shader_failure", "oom", "watchdog", "tick_stall", "ordered_stop")
 
 
-def priority(window: int = 12, most: int = 32) -> tuple[dict[str, Column], Column]:
-    """(columns to add first, the selection): evidence wherever it stands,
-    and the first line of each of the first ``most`` distinct throwables, with
-    up to 4 lines around; frames of the base library for themselves alone."""
-    first = F.col("f_signature").isNotNull() & (F.row_number().over(Window.partitionBy("file", "f_signature").orderBy("idx")) == 1)
-    keep = F.coalesce(F.col("p_first") & (F.sum(F.col("p_first").cast("int")).over(up_to()) <= most), F.lit(False))
-    hit = F.col("f_evidence") | F.col("p_keep")
-    alone = F.col("f_evidence") & F.col("f_base")
-    selection = near(hit & ~alone, min(4, max(1, window))) | (hit & alone) | block_runs(hit & F.col("f_seed"), F.col("f_cont"))
-    return {"p_first": F.coalesce(first, F.lit(False)), "p_keep": keep}, selection
-
-
-def anchors(window: int = 12) -> tuple[dict[str, Column], Column]:
-    """(columns to add first, the selection): lines around the first error,
-    the last cause, the first three version banners, the first saved report and
-    the first line of each anchor family."""
-    at = lambda c, f: F.coalesce(F.col("idx") == f(F.when(c, F.col("idx"))).over(by_file()), F.lit(False))
-    c = [at(F.col("f_fatal"), F.min), at(F.col("f_cause"), F.max), at(F.col("f_saved"), F.min), first_hits(F.col("f_version"), 3), *(at(F.col(f"a_{k}"), F.min) for k in ANCHORS)]
-    return {"p_anchor": reduce(lambda a, b: a | b, c)}, near(F.col("p_anchor"), min(12, max(1, window)))
+def first_signatures(flagged: DataFrame, most: int = 32) -> DataFrame:
+    """``file, chunk, keep``: by chunk the numbers of the lines with the first appearance of each of a
+    file's first ``most`` distinct throwables.  Equal ones are added up before they are ordered."""
+    f = flagged.where("f_signature is not null").groupBy("file", "f_signature").agg(F.min(F.struct("idx", "chunk")).alias("x")).select("file", "x.*")
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("idx"))).where(F.col("n") <= most)
+    return f.groupBy("file", "chunk").agg(F.collect_set("idx").alias("keep"))
 
 
-def scored(profile: SignalProfile = GAME_PROFILE, size: int | None = None) -> Column:
-    """Head, tail, windows whose radius grows with the score, and the blocks of scored seeds."""
-    out = head_tail(profile.head_tail if size is None else size) | block_runs(F.col("f_seed") & (F.col("score") > 0), F.col("f_cont"))
-    return reduce(lambda a, b: a | b, [near(F.col("score") >= s, r) for s, r in profile.radii], out)
+def pruned_noise(recs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """add ``pruned``: noise without points, unless a reload stands near a failure."""
+    d = around(chunked(recs, chunk), {"near_failure": (F.col("f_failure"), 5)}, chunk)
+    return d.withColumn("pruned", F.col("is_noise") & (F.col("score") <= 0) & ~(F.col("f_reload") & F.col("near_failure"))).drop("chunk", "near_failure")
 
 
-def pruned_noise() -> Column:
-    """noise without points, unless a reload stands near a failure."""
-    return F.col("is_noise") & (F.col("score") <= 0) & ~(F.col("f_reload") & near(F.col("f_failure"), 5))
-
-
-def select_lines(recs: DataFrame, profile: SignalProfile = GAME_PROFILE, window: int = 12, head: int | None = None) -> DataFrame:
+def select_lines(recs: DataFrame, profile: SignalProfile = GAME_PROFILE, window: int = 12, head: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """All selections of a file's lines as boolean columns: ``s_score, s_must,
     s_priority, s_noise, selected`` and ``n_lines, key_hits, strong_hits, fallback``.
 
+    W8, priority: evidence wherever it stands and the first lines of the first 32
+    distinct throwables, with up to 4 lines around; frames of the base library for
+    themselves alone.  W7, must: lines around the first error, the last cause, the
+    first three version banners, the first saved report and the first line of each
+    anchor family, and all priority.  W3, score: head, tail, windows whose radius
+    grows with the score, blocks of scored seeds.  F5, noise: see ``pruned_noise``.
     ``fallback`` tells of files without (strong) hits; their ``selected`` lines
     are head, tail, error windows and the first 240 timestamped lines instead
     (W6, F8)."""
-    f = flags(recs, profile)
-    add, pri = priority(window)
-    for k, c in add.items():
-        f = f.withColumn(k, c)
-    add2, must = anchors(window)
-    f = f.withColumns(add2)
     size = profile.head_tail if head is None else head
-    f = f.withColumns(
+    f = chunked(flags(recs, profile), chunk)
+    f = f.withColumns({"f_error": profile.hit(F.col("raw"), "error_line"), "f_stamp": profile.hit(F.col("raw"), "timestamp")})
+    # The flags have three readers; they are worked out once.
+    f = stage_table(f, "flags")
+    f = f.join(first_signatures(f), ["file", "chunk"], "left")
+    f = f.withColumn("p_keep", F.coalesce(F.array_contains("keep", F.col("idx")), F.lit(False))).drop("keep")
+    hit = F.col("f_evidence") | F.col("p_keep")
+    alone = F.col("f_evidence") & F.col("f_base")
+    seeds = {"scored_seed": F.col("f_seed") & (F.col("score") > 0), "hit_seed": hit & F.col("f_seed")}
+    first = {"e_fatal": (F.col("f_fatal"), "min"), "e_cause": (F.col("f_cause"), "max"), "e_saved": (F.col("f_saved"), "min"), **{f"e_{k}": (F.col(f"a_{k}"), "min") for k in ANCHORS}}
+    counts = {"line": F.lit(True), "key": F.col("score") > 0, "strong": F.col("score") >= profile.strong, "errors": F.col("f_error"), "stamps": F.col("f_stamp"), "versions": F.col("f_version")}
+    d = located(f, counts, {**seeds, "breaks": ~F.col("f_cont")}, first)
+    anchor = reduce(lambda x, y: x | y, [F.coalesce(F.col("idx") == F.col(k), F.lit(False)) for k in first], F.col("f_version") & (F.col("versions") <= 3))
+    d = d.withColumns({"p_anchor": anchor, "ends": head_tail(size), "b_score": in_block(seeds["scored_seed"], F.col("f_cont"), "scored_seed"), "b_hit": in_block(seeds["hit_seed"], F.col("f_cont"), "hit_seed")})
+    near = {f"near_{s}": (F.col("score") >= s, r) for s, r in profile.radii}
+    near |= {"near_hit": (hit & ~alone, min(4, max(1, window))), "near_anchor": (F.col("p_anchor"), min(12, max(1, window))), "near_error": (F.col("f_error") & (F.col("errors") <= 400), 8), "near_failure": (F.col("f_failure"), 5)}
+    d = around(d, near, chunk)
+    d = d.withColumns(
         {
-            "s_priority": pri,
-            "s_must": must,
-            "s_score": scored(profile, head),
-            "s_noise": pruned_noise(),
-            "s_focus": head_tail(size) | error_windows(F.col("raw"), 8, 400, profile) | first_hits(profile.hit(F.col("raw"), "timestamp"), 240),
-            "n_lines": F.count(F.lit(1)).over(by_file()),
-            "key_hits": F.sum((F.col("score") > 0).cast("int")).over(by_file()),
-            "strong_hits": F.sum((F.col("score") >= profile.strong).cast("int")).over(by_file()),
+            "s_priority": F.col("near_hit") | (hit & alone) | F.col("b_hit"),
+            "s_score": reduce(lambda x, y: x | y, [F.col(f"near_{s}") for s, _ in profile.radii], F.col("ends") | F.col("b_score")),
+            "s_noise": F.col("is_noise") & (F.col("score") <= 0) & ~(F.col("f_reload") & F.col("near_failure")),
+            "s_focus": F.col("ends") | F.col("near_error") | (F.col("f_stamp") & (F.col("stamps") <= 240)),
+            "n_lines": F.col("line_all"), "key_hits": F.col("key_all"), "strong_hits": F.col("strong_all"),
+            "fallback": (F.col("key_all") <= 0) | ((F.col("line_all") >= 300) & (F.col("strong_all") <= 0)),
         }
-    )
-    f = f.withColumn("s_must", F.col("s_must") | F.col("s_priority"))
-    f = f.withColumn("fallback", (F.col("key_hits") <= 0) | ((F.col("n_lines") >= 300) & (F.col("strong_hits") <= 0)))
+    )
+    d = d.withColumn("s_must", F.col("near_anchor") | F.col("s_priority"))
     chosen = F.when(F.col("fallback"), F.col("s_focus") | F.col("s_priority")).otherwise(F.col("s_score") | F.col("s_must"))
-    return f.withColumn("selected", chosen & ~F.col("s_noise"))
+    return d.withColumn("selected", chosen & ~F.col("s_noise"))
 
 
 def noise_stats(recs: DataFrame) -> DataFrame:

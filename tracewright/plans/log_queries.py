@@ -55,20 +55,19 @@ def log_score_lines(spark, sf_dir):
 
 def log_select_windows(spark, sf_dir):
     """Head, tail and the windows around scored lines."""
-    r = _records(spark, sf_dir)
-    c = {"ends": selection.head_tail(180), **{f"near_{n}": selection.near(F.col("score") >= s, n) for s, n in GAME_PROFILE.radii}}
-    return r.select("file", "idx", "score").withColumns(c).drop("score")
+    r = _records(spark, sf_dir).select("file", "idx", "score")
+    return selection.line_windows(r, {f"near_{n}": (F.col("score") >= s, n) for s, n in GAME_PROFILE.radii}, 180).drop("score")
 
 
 def log_block_runs(spark, sf_dir):
     """Stack-trace blocks."""
-    r = selection.flags(_records(spark, sf_dir)).withColumn("in_block", selection.block_runs(F.col("f_seed"), F.col("f_cont")))
-    return r.select("file", "idx", "in_block")
+    r = selection.flags(_records(spark, sf_dir)).select("file", "idx", "f_seed", "f_cont")
+    return selection.block_runs(r, F.col("f_seed"), F.col("f_cont")).select("file", "idx", "in_block")
 
 
 def log_error_windows_capped(spark, sf_dir):
     """Windows around the first 300 error lines."""
-    return _records(spark, sf_dir).select("file", "idx", "raw").withColumn("near_error", selection.error_windows(F.col("raw"), 8, 300)).drop("raw")
+    return selection.error_windows(_records(spark, sf_dir).select("file", "idx", "raw"), 8, 300).select("file", "idx", "near_error")
 
 
 def log_must_keep(spark, sf_dir):
@@ -88,8 +87,8 @@ def log_select(spark, sf_dir):
 
 def log_noise_prune(spark, sf_dir):
     """noise lines without points and without a failure near a reload."""
-    r = selection.flags(_records(spark, sf_dir)).withColumn("pruned", selection.pruned_noise())
-    return r.select("file", "idx", "pruned")
+    r = selection.flags(_records(spark, sf_dir)).select("file", "idx", "is_noise", "score", "f_reload", "f_failure")
+    return selection.pruned_noise(r).select("file", "idx", "pruned")
 
 
 def log_fold_groups(spark, sf_dir):
@@ -101,7 +100,7 @@ def log_fold_groups(spark, sf_dir):
 
 def log_compose(spark, sf_dir):
     """Error windows with gap markers, one text a log."""
-    return compose.compose_lines(_records(spark, sf_dir), selection.error_windows(F.col("raw"), 8, 300))
+    return compose.compose_lines(selection.error_windows(_records(spark, sf_dir), 8, 300), F.col("near_error"))
 
 
 def log_budget_extract(spark, sf_dir):
