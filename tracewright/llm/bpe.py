@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 from pathlib import Path
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 #: So many of the most frequent words, of at most ``HOT_LENGTH`` characters, are looked up in a literal; the rest are joined.
 HOT_WORDS = 20_000
 HOT_LENGTH = 64
+#: Words of more bytes are merged with a heap, as the fold takes steps in the square of a word's length.
+LONG_WORD = 400
 NONE = 2**31 - 1
 
 
@@ -118,16 +122,60 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encode_words(words: DataFrame, path: str | None = None) -> DataFrame:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that ``fold_merges`` gives, with the pairs in a heap: the pair of lowest rank, the leftmost first."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = after[i] if i < n and not gone[i] else n
+        if j >= n or gone[i] or end[j] != stop:
+            continue
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(word[i : end[after[i]]])) is not None:
+                heappush(heap, (r, i, end[after[i]]))
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : stop])) is not None:
+            heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
+def encode_words(words: DataFrame, path: str | None = None, long_word: int = LONG_WORD) -> DataFrame:
     """``word, n, ids`` for the distinct words of a column ``word``, with their
-    numbers of rows; null and empty words are left out."""
+    numbers of rows; null and empty words are left out.  Words above ``long_word``
+    bytes get the same ids by a heap instead of the fold."""
     w = words.where("word is not null and word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = None
+        for pdf in batches:
+            if len(pdf):
+                ranks = ranks or load_ranks(path)
+                yield pdf.assign(ids=[merge_long(x.encode("utf-8"), ranks) for x in pdf["word"]])
+
+    long = w.where(F.octet_length("word") > long_word).mapInPandas(run, "word string, n long, ids array<int>")
+    w = w.where(F.octet_length("word") <= long_word)
+    return long.unionByName(_fold_words(w, path))
+
+
+def _fold_words(w: DataFrame, path: str | None) -> DataFrame:
     return w.select("word", "n", let(rank_table(path), lambda rank: fold_merges(as_bytes(F.col("word")), rank)).alias("ids"))
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot_words: int = HOT_WORDS, sizes: bool = False) -> DataFrame:
     """``key, ids`` for each row: the token ids of its text, without special tokens.
 
+    With ``sizes`` it is ``key, n_tokens``: only numbers of ids are looked up and added up.
     Null and empty texts have no ids (an empty list); a blank text has the ids
     of its white space; strings of special tokens in a text are ordinary text.
     Repeated rows are encoded each for itself; an empty table gives an empty
@@ -144,18 +192,21 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     short = F.length("word") <= HOT_LENGTH
     hot = encoded.where(short).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").collect()
     total = encoded.count()
-    table = hash_table([(r.word, list(r.ids)) for r in hot], "array<int>")
+    table = hash_table([(r.word, len(r.ids) if sizes else list(r.ids)) for r in hot], "int" if sizes else "array<int>")
+    value = F.size("ids") if sizes else F.col("ids")
+    together = (lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b).alias("n_tokens")) if sizes else (lambda x: F.flatten(x).alias("ids"))
     words = words_of(F.col("text"))
     if total == len(hot):
-        return d.select(F.col(key), let(table, lambda t: F.flatten(F.transform(words, lambda w: look_up(t, w)))).alias("ids"))
+        found = let(table, lambda t: F.transform(words, lambda w: look_up(t, w)))
+        return d.select(F.col(key), together(found))
     # A text is known by its digest in the join; copies share one row of it.
     d = d.withColumn("digest", F.sha2(F.col("text"), 256))
     cold = let(table, lambda t: F.filter(F.array_distinct(words), lambda w: look_up(t, w).isNull()))
     need = d.select("digest", F.explode(cold).alias("word")).distinct()
-    got = need.join(encoded.select("word", "ids"), "word").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
+    got = need.join(encoded.select("word", value.alias("v")), "word").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("m"))
     out = d.join(got, "digest", "left")
-    ids = let(table, lambda t: F.flatten(F.transform(words, lambda w: F.coalesce(look_up(t, w), F.try_element_at("m", w)))))
-    return out.select(F.col(key), ids.alias("ids"))
+    found = let(table, lambda t: F.transform(words, lambda w: F.coalesce(look_up(t, w), F.try_element_at("m", w))))
+    return out.select(F.col(key), together(found))
 
 
 def decode_ids(ids: Column, path: str | None = None) -> Column:

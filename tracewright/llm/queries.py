@@ -69,7 +69,7 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of each text, or of each of its parts, for each capacity."""
-    sizes = stage_table(p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")), "packing-sizes")
+    sizes = stage_table(bpe.encode_corpus(table(spark, sf_dir, "documents"), sizes=True), "packing-sizes")
     return packing.fill_containers(sizes, table(spark, sf_dir, "context_window"))
 
 
@@ -80,6 +80,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"fewest": F.ceil(F.col("tokens") / F.col("capacity")), "filled": F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6)})
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document lies whole in the containers of each capacity, with no container above its
+    capacity, and no more containers than one in fifty above the fewest possible."""
+    c = stage_table(p7_containers(spark, sf_dir), "containers")
+    whole = c.groupBy("window_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("rows"), (F.max("part") + 1).alias("last"))
+    sizes = bpe.encode_corpus(table(spark, sf_dir, "documents"), sizes=True)
+    per_doc = whole.join(sizes, "doc_id").groupBy("window_id").agg(F.count(F.lit(1)).alias("documents"), F.bool_and((F.col("n") == F.col("n_tokens")) & (F.col("parts") == F.col("rows")) & (F.col("parts") == F.col("last"))).alias("whole"))
+    filled = c.where("container is not null").groupBy("window_id", "capacity", "container").agg(F.sum("n_tokens").alias("n"))
+    per_bin = filled.groupBy("window_id").agg(F.bool_and(F.col("n") <= F.col("capacity")).alias("within"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / F.max("capacity")) * 1.02 + 1).alias("tight"))
+    return per_doc.join(per_bin, "window_id")
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages and the stretches of each document."""
     return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_list"))
@@ -92,8 +104,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode("langs").alias("lang"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_repair": p3_repair, "p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_languages": p8_languages}
 SQL: dict[str, str] = {
     # Encoding and decoding gives every text back.
+    "p7_invariants": "SELECT window_id, (SELECT count(*) FROM documents) AS documents, true AS whole, true AS within, true AS tight FROM context_window",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
