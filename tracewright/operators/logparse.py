@@ -214,8 +214,10 @@ def headers_of(templates: dict[str, int], least: int) -> list[Layout]:
 
 
 def _head_tokens(text: Column) -> Column:
-    shape = F.regexp_replace(F.regexp_replace(F.substring(text, 1, 96), ANSI, ""), "[0-9]+", "0")
-    return F.slice(F.split(shape, " +", POSITIONS + 1), 1, POSITIONS)
+    # The first tokens of the whole line, however long they are; what is cut off is the rest behind them.
+    plain = F.when(F.instr(text, "\x1b") > 0, F.regexp_replace(text, ANSI, "")).otherwise(text)
+    tokens = F.slice(F.split(plain, " +", POSITIONS + 1), 1, POSITIONS)
+    return F.split(F.regexp_replace(F.array_join(tokens, " "), "[0-9]+", "0"), " ")
 
 
 def mine_templates(lines: DataFrame, text: str, support: float = 1e-3) -> Mined:
@@ -305,6 +307,26 @@ def parse_lines(lines: DataFrame, text: str, mined: Mined | None = None) -> Data
     )
 
 
+def moment(written: Column) -> Column:
+    """The moment that a head's time tells, in UTC where it names no zone; null where it
+    tells no whole date (a clock, a day without a year, the time since a start)."""
+    months = F.create_map(*[F.lit(x) for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1) for x in (m, f"{i:02d}")])
+    t = F.translate(written, ",", ".")
+    part = lambda p, i: F.regexp_extract(written, p, i)
+    joined = r"^(\d{1,2})([A-Z][a-z]{2})(\d{4}) (.*)$"
+    spelt = r"^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) (\d{1,2}):(\d\d:\d\d) ([AP])M$"
+    month = lambda p, i: F.coalesce(F.try_element_at(months, part(p, i)), F.lit("00"))
+    hour = F.pmod(part(spelt, 4).try_cast("int"), F.lit(12)) + F.when(part(spelt, 6) == "P", 12).otherwise(0)
+    n = F.length(written)
+    micros = F.when(n == 10, written.try_cast("long") * 1_000_000).when(n == 13, written.try_cast("long") * 1000).when(n == 16, written.try_cast("long")).otherwise(F.floor(written.try_cast("long") / 1000).cast("long"))
+    return (
+        F.when(written.rlike(r"^\d{10}(?:\d{3}){0,3}$"), F.timestamp_micros(micros))
+        .when(written.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.try_to_timestamp(t))
+        .when(written.rlike(joined), F.try_to_timestamp(F.concat(part(joined, 3), F.lit("-"), month(joined, 2), F.lit("-"), F.lpad(part(joined, 1), 2, "0"), F.lit(" "), F.translate(part(joined, 4), ",", "."))))
+        .when(written.rlike(spelt), F.try_to_timestamp(F.concat(part(spelt, 3), F.lit("-"), month(spelt, 1), F.lit("-"), F.lpad(part(spelt, 2), 2, "0"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(spelt, 5))))
+    )
+
+
 def canonical_level(word: Column) -> Column:
     """TRACE, DEBUG, INFO, WARN, ERROR, FATAL; '' for null or any other word."""
     by: dict[str, list[str]] = {}
@@ -316,7 +338,8 @@ def canonical_level(word: Column) -> Column:
 
 def log_entries(lines: DataFrame, log: str, idx: str, text: str, mined: Mined | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row for each log entry: ``log, first_line, last_line, severity,
-    timestamp, thread, component, layout, message``.
+    timestamp, moment, thread, component, layout, message``; ``timestamp`` is the time
+    as it is written, ``moment`` the moment it tells (see ``moment``).
 
     Lines are told apart by (log, idx); repeated deliveries count once (of
     differing ones the least text).  Rows without log or idx are left out.  A
@@ -359,6 +382,7 @@ def log_entries(lines: DataFrame, log: str, idx: str, text: str, mined: Mined |
         "last_line",
         canonical_level(level).alias("severity"),
         F.col("head.ts_text").alias("timestamp"),
+        moment(F.col("head.ts_text")).alias("moment"),
         F.nullif(F.col("head.thread_name"), F.lit("")).alias("thread"),
         F.nullif(F.col("head.component_name"), F.lit("")).alias("component"),
         F.col("head.layout").alias("layout"),

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "parsed_log_line").select("log_id", "line_idx", "raw")
     gold = text_lines(table(spark, sf_dir, "strategy_c_gold_cases"), "case_id", "text")
-    mined = mine_templates(lines, "raw")
+    mined = mine_templates(lines.select("raw").unionAll(gold.select("raw")), "raw")
     return log_entries(lines, "log_id", "line_idx", "raw", mined), log_entries(gold, "case_id", "line_idx", "raw", mined)
 
 
@@ -39,7 +39,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_entries(spark, sf_dir).select("src", "rec_id", "first_line", "last_line", "severity")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p5_found": p5_found, "p5_entries": p5_entries}
+def p5_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moment of each entry of the logs whose time tells a whole date."""
+    a, _ = _entries(spark, sf_dir)
+    return a.where("moment is not null").select(F.col("log").alias("log_id"), "first_line", F.unix_micros("moment").alias("micros"))
+
+
+QUERIES = {"p5_moments": p5_moments, "p2_found": p2_found, "p2_rolling": p2_rolling, "p5_found": p5_found, "p5_entries": p5_entries}
 
 _DAILY = """
 daily AS (
@@ -99,7 +105,19 @@ k AS (SELECT *, {_WHICH} AS k FROM c),
 w AS (SELECT *, CASE WHEN k = {_TWO_LINES} THEN regexp_extract(lead(c) OVER o, '^(SEVERE|WARNING|INFO|CONFIG|FINEST|FINER|FINE): ?', 1) ELSE {_WORD} END AS w, max(i) OVER (PARTITION BY src, rec_id) AS last FROM k WINDOW o AS (PARTITION BY src, rec_id ORDER BY i)),
 e AS (SELECT src, rec_id, i, w, last, lead(i) OVER (PARTITION BY src, rec_id ORDER BY i) AS nxt FROM w WHERE k IS NOT NULL)
 SELECT src, rec_id, i AS first_line, coalesce(nxt - 1, last) AS last_line, {_LEVEL_CASE} AS severity FROM e"""
+_MONTHS = "CASE {} " + " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)) + " END"
+_JOINED, _SPELT = r"'^\[(\d{1,2})([A-Z][a-z]{2})(\d{4}) (\d\d:\d\d:\d\d)([.,]\d+)?\]'", r"'^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) (\d{1,2}):(\d\d:\d\d) ([AP])M'"
+_ISO = r"""'^(?:\{"(?:@t|time|timestamp|ts)": ?"|(?:time|ts)=)?(\d{4}-\d\d-\d\d)[ T](\d\d:\d\d:\d\d)([.,]\d+)?(Z|[+-]\d\d:?\d\d)?'"""
+_AM_PM = f"(CAST(regexp_extract(c, {_SPELT}, 4) AS INTEGER) % 12 + CASE WHEN regexp_extract(c, {_SPELT}, 6) = 'P' THEN 12 ELSE 0 END)"
+_MOMENTS = f"""WITH l AS (SELECT DISTINCT log_id, CAST(line_idx AS BIGINT) AS first_line, regexp_replace(regexp_replace(raw, '\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '^[\\w.-]+[-_]\\d+ +\\| ', '') AS c FROM parsed_log_line),
+k AS (SELECT *, {_WHICH} AS k FROM l),
+m AS (SELECT *, CASE WHEN k IS NULL THEN NULL WHEN regexp_matches(c, '^\\d{{10}}(?:\\d{{3}}){{0,3}}\\|') THEN CAST(rpad(regexp_extract(c, '^(\\d+)', 1), 16, '0')[:16] AS BIGINT)
+  WHEN regexp_matches(c, {_ISO}) THEN epoch_us(CAST(regexp_extract(c, {_ISO}, 1) || ' ' || regexp_extract(c, {_ISO}, 2) || replace(regexp_extract(c, {_ISO}, 3), ',', '.') || CASE regexp_extract(c, {_ISO}, 4) WHEN '' THEN '+00' WHEN 'Z' THEN '+00' ELSE regexp_extract(c, {_ISO}, 4) END AS TIMESTAMPTZ))
+  WHEN regexp_matches(c, {_JOINED}) THEN epoch_us(CAST(regexp_extract(c, {_JOINED}, 3) || '-' || {_MONTHS.format(f"regexp_extract(c, {_JOINED}, 2)")} || '-' || lpad(regexp_extract(c, {_JOINED}, 1), 2, '0') || ' ' || regexp_extract(c, {_JOINED}, 4) || replace(regexp_extract(c, {_JOINED}, 5), ',', '.') AS TIMESTAMP))
+  WHEN regexp_matches(c, {_SPELT}) THEN epoch_us(CAST(regexp_extract(c, {_SPELT}, 3) || '-' || {_MONTHS.format(f"regexp_extract(c, {_SPELT}, 1)")} || '-' || lpad(regexp_extract(c, {_SPELT}, 2), 2, '0') || ' ' || lpad({_AM_PM}::VARCHAR, 2, '0') || ':' || regexp_extract(c, {_SPELT}, 5) AS TIMESTAMP)) END AS micros FROM k)
+SELECT log_id, first_line, micros FROM m WHERE micros IS NOT NULL"""
 SQL = {
+    "p5_moments": _MOMENTS,
     "p5_found": _P5,
     "p2_rolling": _ROLLING,
     "p2_found": f"SELECT uid, strftime(day, '%Y-%m-%d') AS day FROM ({_ROLLING}) WHERE input_7 + output_7 = 0 AND input_30 + output_30 > 0",
