@@ -91,7 +91,7 @@ class Mined:
     headers: list[Layout] = field(default_factory=list)
 
     def ordered(self) -> list[Layout]:
-        """Of each first character: mined headers with an end mark, the given
+        """Of each first character: mined headers with an end mark (or joined brackets), the given
         layouts as fallback rules, then mined headers without an end mark, which
         say less.  The groups go by the weight of their layouts."""
         rank = {n: i for i, (n, _) in enumerate(sorted(self.layouts, key=lambda x: (-x[1], x[0])))}
@@ -99,11 +99,14 @@ class Mined:
         for x in LAYOUTS:
             groups[x.first] = min(groups.get(x.first, 99), rank.get(x.name, 99))
         given = sorted(LAYOUTS, key=lambda x: (groups[x.first], x.first, LAYOUTS.index(x)))
-        return [x for x in self.headers if x.name.endswith(ENDS)] + given + [x for x in self.headers if not x.name.endswith(ENDS)]
+        sure = [x for x in self.headers if x.name.endswith(ENDS) or _JOINED.fullmatch(x.name)]
+        return sure + given + [x for x in self.headers if x not in sure]
 
 
 #: Marks at which a header ends and the message begins.
-ENDS = (":", "-")
+ENDS = (":", "-", "(L)")
+#: Brackets that stand one at the other say as much as an end mark.
+_JOINED = re.compile(r"\[T\](?:\[[LX]\]){2,}")
 _WORDS = sorted((w for w in LEVELS if len(w) > 1), key=lambda w: (-len(w), w))
 _LEVEL = "(?:" + "|".join(_WORDS) + ")"
 #: A time in folded form.
@@ -113,6 +116,8 @@ _FIELDS = tuple(
     (name, re.compile(folded), pattern)
     for name, folded, pattern in (
         (" ", " ", " +"),
+        ("H", r"[\w.-]+(?= [^\s\[\]]+\[0\]:)", r"\S+"),
+        ("X[N]:", r"[^\s\[\]]+\[0\]:(?= |$)", r"(?<name>[^\s\[:]+)\[\d+\]: ?"),
         ("[X/L]", r"\[[^\]\[]*/(?i:" + _LEVEL + r")\]", r"\[(?<thread>[^\]]*)/(?<level>(?i:" + _LEVEL + r"))\]"),
         ("[L/X]", r"\[(?i:" + _LEVEL + r")/[^\]\[]*\]", r"\[(?<level>(?i:" + _LEVEL + r"))/(?<thread>[^\]]*)\]"),
         *((f"{a}L{b}", rf"\{a}(?i:{_LEVEL}) ?\{b}", rf"\{a}(?<level>(?i:{_LEVEL})) *\{b}") for a, b in ("[]", "()", "<>", "{}")),
@@ -150,6 +155,7 @@ def header_of(template: str) -> Layout | None:
     one is the component, or the thread if a bracketed one stands before the
     level; the last number before the level is the thread if no name is.  A
     starred end in a header that isn't complete is a name with its end mark.
+    Behind a host and a program with its process number a level may be missing.
     """
     m = re.match(r"([\[(<]?)", template)
     t = _TIME.match(template, m.end())
@@ -179,6 +185,9 @@ def header_of(template: str) -> Layout | None:
         if label == "L" and len(f[0]) == 1 and not re.search(r"[N\]|] $", name):
             return None
         name, pattern, at = name + label, pattern + part, f.end()
+    if "L" not in name and name.endswith("X[N]:"):
+        # Programs behind a host and a process number write their level first, if at all.
+        name, pattern = name + "(L)", pattern + r"(?:<?(?<level>(?i:trace|debug|info|notice|warn|warning|error|fatal|crit))(?:> |: | (?=\S)))?"
     if "L" not in name or name.endswith(" "):
         return None
     if name == "[T L]:":
