@@ -163,13 +163,12 @@ def encode_words(words: DataFrame, path: str | None = None, long_word: int = LON
                 ranks = ranks or load_ranks(path)
                 yield pdf.assign(ids=[merge_long(x.encode("utf-8"), ranks) for x in pdf["word"]])
 
-    long = w.where(F.octet_length("word") > long_word).mapInPandas(run, "word string, n long, ids array<int>")
-    w = w.where(F.octet_length("word") <= long_word)
-    return long.unionByName(_fold_words(w, path))
-
-
-def _fold_words(w: DataFrame, path: str | None) -> DataFrame:
-    return w.select("word", "n", let(rank_table(path), lambda rank: fold_merges(as_bytes(F.col("word")), rank)).alias("ids"))
+    short = F.octet_length("word") <= long_word
+    ids = F.when(short, let(rank_table(path), lambda rank: fold_merges(as_bytes(F.col("word")), rank)))
+    # Written once, so that the words aren't counted again for the long ones.
+    folded = stage_table(w.select("word", "n", ids.alias("ids")), "bpe-words")
+    long = stage_table(folded.where("ids is null").select("word", "n").mapInPandas(run, "word string, n long, ids array<int>"), "bpe-long-words")
+    return folded.where("ids is not null").unionByName(long)
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot_words: int = HOT_WORDS, sizes: bool = False) -> DataFrame:
@@ -188,7 +187,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     that join is hot.
     """
     d = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    encoded = stage_table(encode_words(d.select(F.explode(words_of(F.col("text"))).alias("word")), path), "bpe-words")
+    encoded = encode_words(d.select(F.explode(words_of(F.col("text"))).alias("word")), path)
     short = F.length("word") <= HOT_LENGTH
     hot = encoded.where(short).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").collect()
     total = encoded.count()
