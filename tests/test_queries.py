@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 from conftest import DATA
-from tracewright.plans import core_queries, log_queries
+from tracewright.plans import core_queries, log_queries, lookup_queries
 
-QUERIES = {**core_queries.QUERIES, **log_queries.QUERIES}
-SQL = {**core_queries.SQL, **log_queries.SQL}
+QUERIES = {**core_queries.QUERIES, **log_queries.QUERIES, **lookup_queries.QUERIES}
+SQL = {**core_queries.SQL, **log_queries.SQL, **lookup_queries.SQL}
 
 
 def _rows(names, rows):
