@@ -1,3 +1,9 @@
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
+
+from tracewright import session
 from tracewright.llm import mojibake as M
 
 SOUND = [
@@ -100,3 +106,32 @@ def test_rounds_settle_and_counts_are_soft(spark):
     a, b = M.fit(blobs, 8), M.fit(blobs, 30)
     assert a.shares.keys() == b.shares.keys() and abs(a.share("s", "sound") - b.share("s", "sound")) < 1e-9
     assert any(0.01 < n % 1 < 0.99 for n in a.shares["s"].values())
+
+
+def test_few_rows_of_megabytes_are_held_at_once(spark):
+    # Each text fills a row of its own; up to 100 of them were one row group before.
+    texts = {i: f"é{'ab ' * 140_000}{i}é" for i in range(5)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = M.repair(spark.createDataFrame([("s", i, t) for i, t in texts.items()], "source string, rec_id long, text string"), rounds=0)
+        assert {r.rec_id: r.restored for r in out.collect()} == texts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    path = session._STAGED[-1][1].removeprefix("file:")
+    parts = [pq.ParquetFile(p).metadata for p in Path(path).glob("*.parquet")]
+    groups = [m.row_group(k) for m in parts for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 5 and max(g.num_rows for g in groups) <= 4
+
+
+@pytest.mark.parametrize(("letters", "size"), [(40, 2), (300, 4)])
+def test_places_of_pairs_take_two_bytes_or_four(letters, size):
+    han = [chr(0x4E00 + i) for i in range(letters)]
+    text = "".join(a + b for a in han for b in han)
+    blob = M._Blob()
+    blob.add("s", 1, text)
+    row = blob.row()
+    p = M._Posterior(row, M._start())
+    assert len(row["seq"]) == size * sum(blob.lengths)
+    first = f" {text} "
+    assert p.keys[p.seq[: p.lengths[0]]].tolist() == [M.pair_key(first[i : i + 2]) for i in range(len(first) - 1)]

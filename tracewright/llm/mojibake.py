@@ -339,6 +339,11 @@ _LOSS_COST = (3.0, 1.0)
 _LOSS_GAIN = 5.0
 
 
+def _seq_type(pairs: int) -> type:
+    """Of the places in an array of so many pairs."""
+    return np.uint16 if pairs <= 1 << 16 else np.int32
+
+
 class _Blob:
     """Lines and their readings as arrays of pair numbers."""
 
@@ -385,7 +390,7 @@ class _Blob:
             "span": np.array([[x[0], x[1]] for x in s], dtype=np.int32).tobytes(),
             "extra": np.array([x[5] for x in s], dtype=np.float64).tobytes(),
             "pairs": np.array([pair_key(p) for p in self.local], dtype=np.int64).tobytes(),
-            "seq": np.array(self.seq, dtype=np.int32).tobytes(),
+            "seq": np.array(self.seq, dtype=_seq_type(len(self.local))).tobytes(),
             "lengths": np.array(self.lengths, dtype=np.int32).tobytes(),
             "texts": json.dumps([self.records, [x[:3] for x in u], [x[2:5] for x in s]]),
         }
@@ -401,7 +406,7 @@ class _Posterior:
         unit = np.frombuffer(row["unit"], dtype=np.int32).reshape(-1, 2)
         span = np.frombuffer(row["span"], dtype=np.int32).reshape(-1, 2)
         self.keys = np.frombuffer(row["pairs"], dtype=np.int64)
-        self.seq = np.frombuffer(row["seq"], dtype=np.int32)
+        self.seq = np.frombuffer(row["seq"], dtype=_seq_type(len(self.keys)))
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int32)
         self.sources, self.odd, self.source = list(row["sources"]), unit[:, 1] > 0, unit[:, 0]
         n, c = len(unit), len(NAMES)
@@ -672,7 +677,7 @@ def repair(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     gives an empty result; other columns, whatever their names, are not read.
     """
     some = records.select("source", "rec_id", "text").where(F.col("text").rlike(TRACE)).distinct()
-    blobs = stage_table(some.mapInPandas(_blobs, _ARRAYS + ", texts string"), "mojibake")
+    blobs = stage_table(some.mapInPandas(_blobs, _ARRAYS + ", texts string"), "mojibake", wide=True)
     model = fit(blobs, rounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
